@@ -7,21 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one is made only in local mode."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabframe-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tabframe-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Compute ``df`` once and keep it in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as sf
@@ -27,6 +29,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, path: str | None = None, dbName: str | None = None):
         self._spark, self._path, self._db = spark, path and path.rstrip("/"), dbName
         self._names: dict[str, Frame] = {}
+        self._tables_read: dict[tuple, Frame] = {}
 
     # -- tables ------------------------------------------------------------
 
@@ -35,7 +38,13 @@ class Workspace:
         return self._db or self._spark.catalog.currentDatabase()
 
     def _getDBTable(self, relName: str, dbName: str | None = None) -> Frame:
-        """A stored table as a frame."""
+        """A stored table as a frame; asked for twice it is the same frame."""
+        known = (dbName, relName)
+        if known not in self._tables_read:
+            self._tables_read[known] = self._read_table(relName, dbName)
+        return self._tables_read[known]
+
+    def _read_table(self, relName: str, dbName: str | None) -> Frame:
         if dbName is None and self._is_file(relName):
             rows = self._spark.read.parquet(f"{self._path}/{relName}.parquet")
             return self._base(rows, TableName(None, relName))
@@ -115,11 +124,14 @@ class Workspace:
     # -- SQL ---------------------------------------------------------------
 
     def _executeQry(self, sql: str, resultFormat: str = "column") -> Frame:
-        """Run SQL over stored tables and named frames; lazy like any frame."""
+        """Run SQL over stored tables and named frames; lazy like any frame.
+
+        Tables of the folder become views when their names occur in the text.
+        """
         if resultFormat != "column":
             raise NotImplementedError("only the column format is supported")
         for name in self._files():
-            if name not in self._names:
+            if name not in self._names and re.search(rf"\b{re.escape(name)}\b", sql):
                 self._getDBTable(name).unsorted().createOrReplaceTempView(name)
         return Frame.of(self._spark.sql(sql))
 
@@ -145,25 +157,43 @@ class Workspace:
     # -- saving ------------------------------------------------------------
 
     def _saveTblrData(self, tblrData: Frame, tableName: str, dbName: str | None = None,
-                      drop: bool = False) -> Frame:
-        """Write a frame as a stored table and return that table."""
+                      drop: bool = False, path: str | None = None) -> Frame:
+        """Write a frame as a stored table and return that table.
+
+        An existing table is replaced only with ``drop``, and only after the new
+        rows are written, so a table may be replaced by a frame that reads it.
+        With a ``path`` the files are kept there.
+        """
         frame = wide(tblrData)
         if frame.table is not None:
             raise TypeError(f"already a table: {frame.table.name}")
-        full = f"{dbName or self.dbName}.{tableName}"
-        if not drop and self._spark.catalog.tableExists(full):
-            raise ValueError(f"{full} already exists")
-        frame.df.write.mode("overwrite" if drop else "errorifexists").format("parquet").saveAsTable(full)
+        database = dbName or self.dbName
+        exists = self._spark.catalog.tableExists(f"{database}.{tableName}")
+        if exists and not drop:
+            raise ValueError(f"{database}.{tableName} already exists")
+        staged = f"{tableName}__new" if exists and not path else tableName
+        writer = frame.df.write.mode("overwrite" if drop else "errorifexists").format("parquet")
+        writer = writer.option("path", path) if path else writer
+        writer.saveAsTable(f"{database}.{staged}")
+        if staged != tableName:
+            old, new = quoted(database, tableName), quoted(database, staged)
+            self._spark.sql(f"DROP TABLE {old}")
+            self._spark.sql(f"ALTER TABLE {new} RENAME TO {old}")
+        self._forget(tableName)
         if tableName in self._names:
             self._dropTblUDF(None, tableName)
         return self._getDBTable(tableName, dbName)
 
     def _dropTable(self, tableName: str, dbName: str | None = None) -> None:
-        full = f"{dbName or self.dbName}.{tableName}"
-        if not self._spark.catalog.tableExists(full):
-            raise MissingTableError(f"no table {full}")
-        database, table = named_parts(full)
-        self._spark.sql(f"DROP TABLE {database}.{table}")
+        database = dbName or self.dbName
+        if not self._spark.catalog.tableExists(f"{database}.{tableName}"):
+            raise MissingTableError(f"no table {database}.{tableName}")
+        self._spark.sql(f"DROP TABLE {quoted(database, tableName)}")
+        self._forget(tableName)
+
+    def _forget(self, name: str) -> None:
+        for known in [k for k in self._tables_read if k[1] == name]:
+            del self._tables_read[known]
 
     # -- loading and generating --------------------------------------------
 
@@ -189,6 +219,6 @@ class Workspace:
         return generators.randn(self._spark, shape, cols, seed)
 
 
-def named_parts(full: str) -> list[str]:
-    """The parts of a dotted name, quoted for SQL."""
-    return ["`" + part.replace("`", "``") + "`" for part in full.split(".")]
+def quoted(*parts: str) -> str:
+    """A dotted name with its parts quoted for SQL."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession:
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tabframe")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
@@ -15,5 +15,8 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", os.environ.get("SPARK_WAREHOUSE", "/tmp/tabframe-warehouse"))
-        .getOrCreate()
     )
+    for item in filter(None, os.environ.get("TABFRAME_CONF", "").split(",")):
+        name, _, value = item.partition("=")
+        builder = builder.config(f"spark.tabframe.{name}", value)
+    return builder.getOrCreate()

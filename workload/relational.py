@@ -3,6 +3,7 @@
 from tabframe import (
     AVG, C, CASE, CMP, COL, COUNT, DATE, EXTRACT, F, JOIN, MAX, MIN, Q, SUBSTRING, SUM,
 )
+from tabframe.plans.durable import shared_folder
 from workload.registry import query
 
 COSTLY = 400000
@@ -349,7 +350,8 @@ def tail_ordered(ws):
 @query("select * from customer where c_acctbal > 100")
 def save_roundtrip(ws):
     solvent = ws.customer.filter(Q("c_acctbal", 100, CMP.GT))
-    return ws._saveTblrData(solvent, "tabframe_saved_customer", drop=True)
+    path = f"{shared_folder(ws._spark)}/tabframe_saved_customer"
+    return ws._saveTblrData(solvent, "tabframe_saved_customer", drop=True, path=path)
 
 
 @query("""select o_orderpriority, count(*) as n from orders where o_totalprice > 400000

@@ -1 +1,104 @@
+"""User functions, loading and names for results."""
 
+import numpy as np
+
+from tabframe import AVG, C, CMP, COUNT, MAX, Q, SUM
+from workload.algebra import VECTORS, vectors
+from workload.registry import query
+
+
+@query("""select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net,
+    l_quantity > 25 as large from lineitem""", digits=4)
+def udf_table(ws):
+    """A function over batches returning a dict of arrays."""
+
+    def net_price(batch):
+        rows = batch.rows
+        return {"l_orderkey": rows["l_orderkey"], "l_linenumber": rows["l_linenumber"],
+                "net": rows["l_extendedprice"] * (1 - rows["l_discount"]), "large": rows["l_quantity"] > 25}
+
+    needed = ws.lineitem.project(("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"))
+    return needed._U(net_price, schema="l_orderkey bigint, l_linenumber int, net double, large boolean")
+
+
+@query("""select count(*) as n, round(sum(v), 4) as s, round(max(v), 4) as m from
+    (select l_quantity * 2 + 1 as v from lineitem) where v > 50""", digits=4)
+def udf_then_sql(ws):
+    """A function returning (matrix, names), filtered and aggregated afterwards."""
+
+    def scale(batch, factor):
+        return batch.matrix * factor + 1, ["v"]
+
+    scaled = ws.lineitem.project("l_quantity")._U(scale, 2.0, schema="v double")
+    return scaled.filter(Q("v", 50, CMP.GT)).agg(({COUNT("*"): "n"}, {SUM("v"): "s"}, {MAX("v"): "m"}))
+
+
+@query("select o_orderstatus, round(avg(o_totalprice), 4) as avg_o_totalprice from orders group by 1", digits=4)
+def udf_plan(ws):
+    """A function of the whole frame that adds to the plan."""
+    return ws.orders._U(lambda frame: frame.agg(("o_orderstatus", AVG("o_totalprice")), "o_orderstatus"))
+
+
+@query("""select event_type, count(*) as n, round(avg(value), 6) as mean, round(var_pop(value), 6) as spread
+    from events group by event_type""", digits=6)
+def udf_groups(ws):
+    """Mean and variance by folding partial states of every group."""
+
+    def partial(batch):
+        x = batch.rows["value"]
+        return {"n": len(x), "mean": x.mean(), "m2": ((x - x.mean()) ** 2).sum()}
+
+    def merge(states):
+        rows = states.rows
+        n, mean, m2 = rows["n"], rows["mean"], rows["m2"]
+        middle = (n * mean).sum() / n.sum()
+        return {"n": n.sum(), "mean": middle, "m2": (m2 + n * (mean - middle) ** 2).sum()}
+
+    def finish(state):
+        return {"n": state["n"], "mean": state["mean"], "spread": state["m2"] / state["n"]}
+
+    return ws.events.project(("event_type", "value")).fold_groups(
+        "event_type", partial, merge, "n bigint, mean double, m2 double", finish,
+        "n bigint, mean double, spread double")
+
+
+@query(f"""select round(sum(v * v), 5) as norm2, round(sum(v), 5) as total from {VECTORS} group by vec_id""", digits=5)
+def udf_matrix(ws):
+    """A function over n x 64 arrays."""
+
+    def norms(matrix):
+        return np.column_stack([(matrix ** 2).sum(axis=1), matrix.sum(axis=1)])
+
+    return vectors(ws).map_matrix(norms, cols=["norm2", "total"])
+
+
+@query("select s_suppkey * 2.0::double as s_suppkey, s_acctbal * 2.0::double as s_acctbal from supplier")
+def udf_matrix_in_place(ws):
+    return ws.supplier.project(("s_suppkey", "s_acctbal"))._XP(lambda matrix: matrix * 2)
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
+def load_partitioned(ws):
+    """An outside loader called once per month of orders, on the executors."""
+    path = f"{ws._path}/orders.parquet"
+
+    def read_month(part, path):
+        import pyarrow.dataset as ds
+
+        month = (ds.field("o_orderdate") >= part["start"]) & (ds.field("o_orderdate") < part["stop"])
+        scan = ds.dataset(path).to_batches(columns=["o_orderkey", "o_totalprice", "o_orderstatus"], filter=month)
+        for batch in scan:
+            yield {name: batch.column(name).to_pylist() for name in batch.schema.names}
+
+    months = ws._executeQry("""select m as start, add_months(m, 1)::timestamp_ntz as stop from
+        (select distinct date_trunc('month', o_orderdate)::timestamp_ntz as m from orders)""")
+    loaded = ws._L(read_month, path, parts=months.df,
+                   schema="o_orderkey bigint, o_totalprice double, o_orderstatus string")
+    return loaded.filter(Q("o_orderstatus", C("F"))).project(("o_orderkey", "o_totalprice"))
+
+
+@query("select c_custkey, c_name from customer where c_custkey < 100")
+def read_files(ws):
+    """A Spark reader by format name."""
+    return ws.read("parquet", f"{ws._path}/customer.parquet").filter(Q("c_custkey", 100, CMP.LT)).project(
+        ("c_custkey", "c_name"))
