@@ -84,10 +84,7 @@ class Frame(Relational, Positional, Algebra, Statistics, UserFunctions):
     @property
     def df(self) -> DataFrame:
         """The frame as a DataFrame, sorted if it was just ordered."""
-        if not self.ordered:
-            return self.unsorted()
-        keys = self.rowset.total_order()
-        return self.rowset.df.orderBy(*(k.ordering() for k in keys)).select(*self._selected())
+        return self.rowset.sorted().select(*self._selected()) if self.ordered else self.unsorted()
 
     def positions(self) -> DataFrame:
         """``__pos`` and the visible columns."""
@@ -124,7 +121,7 @@ class Frame(Relational, Positional, Algebra, Statistics, UserFunctions):
         rows = source.rowset.df
         kept = durable(rows) if keep == "durable" else rows.persist(StorageLevel.MEMORY_AND_DISK)
         old = source.rowset
-        rowset = RowSet(kept, old.keys, old.unique, old.whole_scan, old._place, kept.count())
+        rowset = RowSet(kept, old.keys, old.unique, rows=kept.count())
         return Frame(rowset, source.cells, source.ordered, source.table)
 
     @property

@@ -207,6 +207,7 @@ def _batch_product(matrix: np.ndarray):
 
 def _tall_product(x, y, names: list[str]):
     """``x.T @ y``: sums over the shared rows, partial sums before the shuffle."""
+    same = x is y
     x, y = x.to_matrix(), y.to_matrix()
     rowset, (xs, ys) = align([x, y])
     xs, ys = list(xs.values()), list(ys.values())
@@ -219,7 +220,7 @@ def _tall_product(x, y, names: list[str]):
         ]
         wide = rowset.df.agg(*sums).select(sf.inline(sf.array(*line)))
     else:
-        vectors = rowset.df.select(sf.array(*xs).alias("x"), sf.array(*ys).alias("y"))
+        vectors = rowset.df.select(sf.array(*xs).alias("x"), *([] if same else [sf.array(*ys).alias("y")]))
         cells = vectors.mapInArrow(_partial_products, _LONG).groupBy("i", "j").agg(sf.sum("v").alias("v"))
         pick = [sf.max(sf.when(sf.col("j") == j, sf.col("v"))).alias(n) for j, n in enumerate(names)]
         wide = cells.groupBy(sf.col("i").alias(POS)).agg(*pick)
@@ -237,7 +238,8 @@ def _partial_products(batches):
     total = None
     for batch in batches:
         if batch.num_rows:
-            part = _dense(batch.column(0)).T @ _dense(batch.column(1))
+            x = _dense(batch.column(0))
+            part = x.T @ (_dense(batch.column(1)) if batch.num_columns > 1 else x)
             total = part if total is None else total + part
     if total is not None:
         i, j = np.indices(total.shape)

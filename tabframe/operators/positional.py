@@ -11,7 +11,7 @@ from pyspark.sql import functions as sf
 from tabframe.functions.expressions import is_number
 from tabframe.operators.relational import items, unique_names
 from tabframe.operators.rowset import RowSet
-from tabframe.plans.position import POS
+from tabframe.plans.position import POS, Placement
 
 
 class Positional:
@@ -43,11 +43,11 @@ class Positional:
         return self._picked_rows(np.asarray(rows))
 
     def _range(self, wanted: slice):
-        placed = self.rowset.positioned()
-        start, stop, step = wanted.indices(self.rowset.count())
+        placement = self.rowset.placement()
+        start, stop, step = wanted.indices(placement.rows)
         count = len(range(start, stop, step))
         low, high = (start, stop - 1) if step > 0 else (stop + 1, start)
-        kept = placed.filter(sf.col(POS).between(low, high))
+        kept = placement.between(low, high)
         offset = (sf.col(POS) - start) if step > 0 else (start - sf.col(POS))
         if abs(step) > 1:
             kept = kept.filter(offset % abs(step) == 0)
@@ -84,7 +84,7 @@ class Positional:
                 placed = part.positions()
                 moved.append(placed.toDF(POS, *names).withColumn(POS, sf.col(POS) + total))
                 total += part.rowset.count()
-            return _union(moved), total
+            return Placement(_union(moved), total)
 
         return self._of(rows, place=place)
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as sf
 
 from tabframe.functions.aggregates import Aggregate
 from tabframe.functions.expressions import COL, JOIN, Expression, Q, compile_operand
-from tabframe.operators.rowset import RowSet
 from tabframe.operators.scope import Scope
 from tabframe.plans.position import SortKey
 
@@ -63,7 +62,7 @@ class Relational:
         unique_names(name for name, _ in cells)
         rowset = self.rowset
         if scope.rows is not rowset.df:
-            rowset = RowSet(scope.rows, rowset.keys, rowset.unique)
+            rowset = rowset.widened(scope.rows)
         return self._derive(rowset, dict(cells))
 
     def join(self, otherTable, src1joincols, src2joincols,
@@ -146,18 +145,13 @@ class Relational:
 
     def top(self, n=5):
         """The first ``n`` rows as a frame; any ``n`` rows if there is no order."""
-        rowset = self.rowset
-        if rowset.keys or rowset.positional:
-            ordering = [key.ordering() for key in rowset.total_order()]
-            first = rowset.df.orderBy(*ordering).limit(n)
-        else:
-            first = rowset.df.limit(n)
-        return self._derive(rowset.with_rows(first), self.cells, ordered=self.ordered)
+        ordered = self.rowset.keys or self.rowset.positional
+        rows = self.rowset.sorted() if ordered else self.rowset.df
+        return self._derive(self.rowset.with_rows(rows.limit(n)), self.cells, ordered=self.ordered)
 
     def bottom(self, n=5):
         """The last ``n`` rows as a frame, in order."""
-        backwards = [k.reversed().ordering() for k in self.rowset.total_order()]
-        last = self.rowset.df.orderBy(*backwards).limit(n)
+        last = self.rowset.sorted(backwards=True).limit(n)
         return self._derive(self.rowset.with_rows(last), self.cells, ordered=True)
 
 

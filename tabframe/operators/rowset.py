@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as sf
 
 from tabframe.plans.position import (
-    FILE, POS, ROW, SortKey, identity_hash, number_by_file, number_by_key,
+    FILE, POS, ROW, Placement, SortKey, identity_hash, number_by_file, number_by_key,
 )
 
 _RANK = "__rank"
@@ -23,6 +23,10 @@ class RowSet:
 
     Frames that share a RowSet are aligned row by row, so combining their
     columns is a projection.  Positions are worked out at most once.
+
+    ``scan`` marks rows read from files (perhaps filtered): file and row number
+    identify them.  They are asked for only when an order needs them, because a
+    scan that carries them reads more than its columns.
     """
 
     def __init__(
@@ -30,28 +34,43 @@ class RowSet:
         df: DataFrame,
         keys: tuple[SortKey, ...] = (),
         unique: bool = False,
-        whole_scan: bool = False,
-        place: Callable[[], tuple[DataFrame, int]] | None = None,
+        scan: bool = False,
+        whole: bool = False,
+        place: Callable[[], Placement] | None = None,
         rows: int | None = None,
     ):
-        self.df, self.keys, self.unique, self.whole_scan = df, keys, unique, whole_scan
-        self._place, self._rows = place, rows
-        self._placed = df if POS in df.columns else None
+        self.df, self.keys, self.unique, self.scan, self.whole = df, keys, unique, scan, whole
+        self._place, self._rows, self._placement = place, rows, None
+
+    def placement(self) -> Placement:
+        if self._placement is None:
+            if POS in self.df.columns:
+                self._placement = Placement(self.df, self.count())
+            else:
+                self._placement = self._place() if self._place else self._number()
+            self._rows = self._placement.rows
+        return self._placement
 
     def positioned(self) -> DataFrame:
         """The rows with their dense zero-based position in ``__pos``."""
-        if self._placed is None:
-            self._placed, self._rows = self._number()
-        return self._placed
-
-    def _number(self):
-        if self._place:
-            return self._place()
-        if self.whole_scan and not self.keys:
-            return number_by_file(self.df)
-        if not self.keys and FILE not in self.df.columns:
+        return self.df if POS in self.df.columns else self.placement().placed
+
+    def _number(self) -> Placement:
+        if self.keys and self.unique:
+            return number_by_key(self.df, list(self.keys), unique=True)
+        rows = self._identified()
+        if self.whole and not self.keys:
+            return number_by_file(rows)
+        if not self.keys and FILE not in rows.columns:
             raise NoOrderError("these rows have no order; call order(..) first")
-        return number_by_key(self.df, list(self.keys), self.unique)
+        return number_by_key(rows, list(self.keys), unique=False)
+
+    def _identified(self) -> DataFrame:
+        """The rows with file and row number, where they come from a scan."""
+        if not self.scan or FILE in self.df.columns:
+            return self.df
+        return self.df.select("*", sf.col("_metadata.file_path").alias(FILE),
+                              sf.col("_metadata.row_index").alias(ROW))
 
     @property
     def positional(self) -> bool:
@@ -66,25 +85,30 @@ class RowSet:
     def with_rows(self, df: DataFrame) -> RowSet:
         """Row set over some of these rows (a filter or semi join), order kept."""
         if POS not in df.columns:
-            return RowSet(df, self.keys, self.unique)
+            return RowSet(df, self.keys, self.unique, self.scan)
         ranked = df.drop(_RANK).withColumnRenamed(POS, _RANK)
         return RowSet(ranked, (SortKey(sf.col(_RANK)),), unique=True)
 
-    def reordered(self, keys: list[SortKey], unique: bool) -> RowSet:
-        return RowSet(self.df.drop(POS), tuple(keys), unique, rows=self._rows)
+    def widened(self, df: DataFrame) -> RowSet:
+        """Row set of the same rows with more columns."""
+        return RowSet(df, self.keys, self.unique, self.scan, rows=self._rows)
 
-    def total_order(self) -> list[SortKey]:
-        """Sort keys with tie breakers, so that the order is one definite order."""
-        if not self.keys and POS in self.df.columns:
-            return [SortKey(sf.col(POS))]
-        if self.keys and self.unique:
-            return list(self.keys)
-        if FILE in self.df.columns:
-            return [*self.keys, SortKey(sf.col(FILE)), SortKey(sf.col(ROW))]
-        if self.keys:
-            return [*self.keys, SortKey(identity_hash(self.df))]
-        if self._place:
-            self._placed = self.positioned()
-            self.df = self._placed
-            return [SortKey(sf.col(POS))]
-        raise NoOrderError("these rows have no order; call order(..) first")
+    def reordered(self, keys: list[SortKey], unique: bool) -> RowSet:
+        return RowSet(self.df.drop(POS), tuple(keys), unique, self.scan, rows=self._rows)
+
+    def sorted(self, backwards: bool = False) -> DataFrame:
+        """The rows in order; ties are broken, so that it is one definite order."""
+        rows = self.positioned() if self.positional and not self.keys else self.df
+        if POS in rows.columns and not self.keys:
+            keys = [SortKey(sf.col(POS))]
+        elif self.keys and self.unique:
+            keys = list(self.keys)
+        else:
+            rows = self._identified()
+            if FILE in rows.columns:
+                keys = [*self.keys, SortKey(sf.col(FILE)), SortKey(sf.col(ROW))]
+            elif self.keys:
+                keys = [*self.keys, SortKey(identity_hash(rows))]
+            else:
+                raise NoOrderError("these rows have no order; call order(..) first")
+        return rows.orderBy(*((k.reversed() if backwards else k).ordering() for k in keys))

@@ -107,9 +107,9 @@ class Scope:
             needle = Q(test.left).compile(self)
             outer, inner = [needle], _single(test.right).unsorted().toDF("v")
             if not wanted:
-                counts = _null_counts(inner)
-                possible = (counts["n"] == 0) | ((counts["nulls"] == 0) & needle.isNotNull())
-                self.rows = self.rows.filter(possible)
+                # NULL passes NOT IN only of nothing; nothing passes if there is a NULL.
+                possible = sf.when(needle.isNull(), "empty").otherwise("full")
+                self.rows = self.rows.filter(_kind(inner) <= possible)
         keys, condition = _match(outer, inner)
         self.rows = self.rows.join(keys, condition, "left_semi" if wanted else "left_anti")
 
@@ -121,6 +121,13 @@ def _single(frame):
     return frame
 
 
+def _kind(values) -> Column:
+    """``empty``, ``full`` (no NULL) or ``null``, in this alphabetical order."""
+    kind = (sf.when(sf.count(sf.lit(1)) == 0, "empty")
+            .when(sf.count_if(sf.col("v").isNull()) == 0, "full").otherwise("null"))
+    return values.agg(kind).scalar()
+
+
 def _null_counts(values) -> Column:
     null = sf.col("v").isNull()
     counts = sf.struct(sf.count(sf.lit(1)).alias("n"), sf.count_if(null).alias("nulls"))

@@ -9,8 +9,10 @@ and re-run tasks give the same positions.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,7 +23,8 @@ from tabframe.plans.settings import setting
 
 POS = "__pos"
 FILE, ROW = "__file", "__row"
-_BUCKET = "__bucket"
+BUCKET = "__bucket"
+_PROBE = "__probe"
 _COPIES = "__copies"
 
 
@@ -38,10 +41,6 @@ class SortKey:
     def reversed(self) -> SortKey:
         return SortKey(self.column, not self.descending)
 
-    def after(self, bound: Column) -> Column:
-        low, high = (self.column, bound) if self.descending else (bound, self.column)
-        return (low.isNull() & high.isNotNull()) | sf.coalesce(high > low, sf.lit(False))
-
 
 def named(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
@@ -58,20 +57,26 @@ def identity_hash(df: DataFrame) -> Column:
     return sf.xxhash64(*(named(c) for c in df.columns))
 
 
-def is_reached(keys: list[SortKey], bound: Column) -> Column:
-    """Whether the row's key is at or after the bound in sort order."""
-    reached = sf.lit(True)
-    for i, key in reversed(list(enumerate(keys))):
-        part = bound.getField(f"k{i}")
-        reached = key.after(part) | (key.column.eqNullSafe(part) & reached)
-    return reached
+def key_groups(keys: list[SortKey]) -> list[tuple[Column, bool]]:
+    """Runs of keys of one direction as structs, which Spark compares as a whole."""
+    runs = itertools.groupby(enumerate(keys), key=lambda entry: entry[1].descending)
+    return [(sf.struct(*(key.column.alias(f"k{i}") for i, key in run)), down) for down, run in runs]
+
+
+def is_reached(groups: list[tuple[Column, Column, bool]]) -> Column:
+    """Whether a key, given as (own, bound, descending) groups, is at or after the bound."""
+    own, bound, down = groups[0]
+    if len(groups) == 1:
+        return own <= bound if down else own >= bound
+    return (own < bound if down else own > bound) | ((own == bound) & is_reached(groups[1:]))
 
 
 def sample_bounds(df: DataFrame, keys: list[SortKey], rows: int, buckets: int) -> pa.Array:
     """Sorted distinct split keys, taken evenly from a bounded random sample."""
     wanted = buckets * setting(df.sparkSession, "samplesPerBucket")
-    fields = [key.column.alias(f"k{i}") for i, key in enumerate(keys)]
-    ordering = [SortKey(sf.col(f"k{i}"), key.descending).ordering() for i, key in enumerate(keys)]
+    groups = key_groups(keys)
+    fields = [group.alias(f"g{g}") for g, (group, _) in enumerate(groups)]
+    ordering = [SortKey(sf.col(f"g{g}"), down).ordering() for g, (_, down) in enumerate(groups)]
     sample = df.select(*fields).sample(min(1.0, wanted / rows), seed=17)
     table = sample.orderBy(*ordering).toArrow().combine_chunks()
     step = table.num_rows / buckets
@@ -82,45 +87,98 @@ def sample_bounds(df: DataFrame, keys: list[SortKey], rows: int, buckets: int) -
 
 def with_bucket(df: DataFrame, keys: list[SortKey], bounds: pa.Array) -> DataFrame:
     """Add the range bucket of each row by binary search over the bounds."""
-    df = df.withColumn(_BUCKET, sf.lit(0))
+    df = df.withColumn(BUCKET, sf.lit(0))
     if not len(bounds):
         return df
     ladder = arrow_scalar(df.sparkSession, bounds)
+    groups = key_groups(keys)
+    own = [f"__own{g}" for g in range(len(groups))]
+    df = df.withColumns({name: group for name, (group, _) in zip(own, groups)})
     for power in reversed(range(len(bounds).bit_length())):
         step = 1 << power
-        probe = sf.get(ladder, sf.col(_BUCKET) + sf.lit(step - 1))
-        inside = sf.col(_BUCKET) + sf.lit(step - 1) < sf.lit(len(bounds))
-        hop = sf.when(inside & is_reached(keys, probe), sf.lit(step)).otherwise(sf.lit(0))
-        df = df.withColumn(_BUCKET, sf.col(_BUCKET) + hop)
-    return df
-
-
-def _bucketed(df: DataFrame, keys: list[SortKey], rows: int) -> DataFrame:
-    spark = df.sparkSession
-    buckets = min(math.ceil(rows / setting(spark, "rowsPerBucket")), setting(spark, "maxBuckets"))
-    bounds = sample_bounds(df, keys, rows, buckets) if buckets > 1 else pa.array([])
-    return with_bucket(df, keys, bounds)
-
-
-def _with_start(df: DataFrame, keys: list[SortKey], weight: Column | None) -> tuple[DataFrame, int]:
-    """Add the first position of each bucketed row; returns the number of positions."""
-    total = sf.count(sf.lit(1)) if weight is None else sf.sum(weight)
-    sizes = {r[0]: r[1] for r in df.groupBy(_BUCKET).agg(total).collect()}
-    width = max(sizes, default=0) + 1
-    starts = [0, *itertools.accumulate(sizes.get(b, 0) for b in range(width))]
-    inside = Window.partitionBy(_BUCKET).orderBy(*(k.ordering() for k in keys))
-    if weight is None:
-        before = sf.row_number().over(inside) - 1
-    else:
-        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-        before = sf.coalesce(sf.sum(weight).over(earlier), sf.lit(0))
-    offsets = arrow_scalar(df.sparkSession, pa.array(starts, pa.int64()))
-    placed = df.withColumn(POS, sf.get(offsets, sf.col(_BUCKET)) + before)
-    return placed.drop(_BUCKET), starts[-1]
-
-
-def number_by_key(df: DataFrame, keys: list[SortKey], unique: bool) -> tuple[DataFrame, int]:
-    """Add ``__pos`` (0..n-1) in key order.
+        index = sf.col(BUCKET) + sf.lit(step - 1)
+        df = df.withColumn(_PROBE, sf.get(ladder, index))
+        tests = [(sf.col(name), sf.col(_PROBE)[f"g{g}"], down)
+                 for g, (name, (_, down)) in enumerate(zip(own, groups))]
+        reached = (index < sf.lit(len(bounds))) & is_reached(tests)
+        df = df.withColumn(BUCKET, sf.col(BUCKET) + sf.when(reached, sf.lit(step)).otherwise(sf.lit(0)))
+    return df.drop(_PROBE, *own)
+
+
+@dataclass(frozen=True)
+class Placement:
+    """Rows with positions, their number, and a cheaper way to a range of them."""
+
+    placed: DataFrame
+    rows: int
+    narrow: Callable[[int, int], DataFrame] | None = None
+
+    def between(self, low: int, high: int) -> DataFrame:
+        """Rows at positions ``low`` to ``high``, both included."""
+        source = self.narrow(low, high) if self.narrow else self.placed
+        return source.filter(sf.col(POS).between(low, high))
+
+
+class _Buckets:
+    """Rows cut into key ranges, each of known size."""
+
+    def __init__(self, df: DataFrame, keys: list[SortKey], rows: int, weight: str | None = None):
+        spark = df.sparkSession
+        self.keys, self.weight = keys, weight
+        wanted = min(math.ceil(rows / setting(spark, "rowsPerBucket")), setting(spark, "maxBuckets"))
+        self.bounds = sample_bounds(df, keys, rows, wanted) if wanted > 1 else pa.array([])
+        self.df = with_bucket(df, keys, self.bounds)
+        total = sf.sum(weight) if weight else sf.count(sf.lit(1))
+        sizes = {r[0]: r[1] for r in self.df.groupBy(BUCKET).agg(total).collect()}
+        width = max(sizes, default=0) + 1
+        self.starts = [0, *itertools.accumulate(sizes.get(b, 0) for b in range(width))]
+
+    @property
+    def rows(self) -> int:
+        return self.starts[-1]
+
+    def place(self, inside: list[SortKey], df: DataFrame | None = None) -> DataFrame:
+        """Add the first position of each row, ranking by ``inside`` in a bucket."""
+        df = self.df if df is None else df
+        window = Window.partitionBy(BUCKET).orderBy(*(k.ordering() for k in inside))
+        if self.weight:
+            earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+            before = sf.coalesce(sf.sum(self.weight).over(earlier), sf.lit(0))
+        else:
+            before = sf.row_number().over(window) - 1
+        offsets = arrow_scalar(df.sparkSession, pa.array(self.starts, pa.int64()))
+        return df.withColumn(POS, sf.get(offsets, sf.col(BUCKET)) + before).drop(BUCKET)
+
+    def narrow(self, low: int, high: int) -> DataFrame:
+        """Positions of the buckets that hold ``low`` to ``high`` only.
+
+        The other buckets are dropped before the shuffle, and those rows that the
+        leading key already rules out before they are read.
+        """
+        first = max(bisect.bisect_right(self.starts, low) - 1, 0)
+        last = bisect.bisect_right(self.starts, high) - 1
+        rows = self.df.filter(sf.col(BUCKET).between(first, last))
+        lower = self._edge(first - 1) if first > 0 else None
+        upper = self._edge(last) if last < len(self.bounds) else None
+        key = self.keys[0]
+        # In sort order NULL is the least value, so it passes every test from above.
+        least, greatest = (upper, lower) if key.descending else (lower, upper)
+        if least is not None:
+            rows = rows.filter(key.column >= least)
+        if greatest is not None:
+            rows = rows.filter((key.column <= greatest) | key.column.isNull())
+        return self.place(self.keys, rows)
+
+    def _edge(self, index: int) -> Column | None:
+        """The leading key of a bound, where it is of a type with a plain literal."""
+        value = self.bounds[index]["g0"]["k0"]
+        kind = value.type
+        plain = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_string(kind)
+        return sf.lit(value.as_py()) if plain and value.is_valid else None
+
+
+def number_by_key(df: DataFrame, keys: list[SortKey], unique: bool) -> Placement:
+    """Positions 0..n-1 in key order.
 
     Ties are broken by where a row was read from, else by all its columns; rows
     equal in every column are counted first and expanded again at the end, so a
@@ -140,28 +198,30 @@ def number_by_key(df: DataFrame, keys: list[SortKey], unique: bool) -> tuple[Dat
 
 def _number_unique(df, keys, rows):
     if rows == 0:
-        return df.withColumn(POS, sf.lit(0).cast("long")), 0
-    return _with_start(_bucketed(df, keys, rows), keys, None)
+        return Placement(df.withColumn(POS, sf.lit(0).cast("long")), 0)
+    buckets = _Buckets(df, keys, rows)
+    return Placement(buckets.place(keys), buckets.rows, buckets.narrow)
 
 
 def _number_copies(df, keys, most):
     names = df.columns
     chunk = setting(df.sparkSession, "copiesPerChunk")
     kinds = df.groupBy(*(named(c) for c in names)).agg(sf.count(sf.lit(1)).alias(_COPIES))
+    buckets = _Buckets(kinds, keys, kinds.count(), _COPIES)
     # Different rows may share a hash: all columns decide inside a bucket.
-    total_keys = [*keys, *(SortKey(named(c)) for c in names)]
-    placed, rows = _with_start(_bucketed(kinds, keys, kinds.count()), total_keys, sf.col(_COPIES))
-    piece = sf.sequence(sf.lit(0).cast("long"), sf.expr(f"({_COPIES} - 1) div {chunk}"))
-    placed = placed.withColumn("__piece", sf.explode(piece))
+    placed = buckets.place([*keys, *(SortKey(named(c)) for c in names)])
+    pieces = sf.sequence(sf.lit(0).cast("long"), sf.expr(f"({_COPIES} - 1) div {chunk}"))
+    placed = placed.withColumn("__piece", sf.explode(pieces))
     if most > chunk:
         placed = placed.repartition(sf.col(POS), sf.col("__piece"))
     first = sf.col("__piece") * chunk
     last = sf.least(first + chunk, sf.col(_COPIES)) - 1
     expanded = placed.withColumn("__copy", sf.explode(sf.sequence(first, last)))
-    return expanded.select(*(named(c) for c in names), (sf.col(POS) + sf.col("__copy")).alias(POS)), rows
+    position = (sf.col(POS) + sf.col("__copy")).alias(POS)
+    return Placement(expanded.select(*(named(c) for c in names), position), buckets.rows)
 
 
-def number_by_file(df: DataFrame) -> tuple[DataFrame, int]:
+def number_by_file(df: DataFrame) -> Placement:
     """Positions of a whole, unfiltered file scan: file offset plus row in the file.
 
     The rows are not shuffled; the offsets have one row per file.
@@ -171,6 +231,5 @@ def number_by_file(df: DataFrame) -> tuple[DataFrame, int]:
     start = sf.coalesce(sf.sum("rows").over(running), sf.lit(0))
     offsets = per_file.select(sf.col(FILE).alias("__from"), start.alias("__start"))
     placed = df.join(offsets, sf.col(FILE) == sf.col("__from"))
-    placed = placed.withColumn(POS, sf.col("__start") + sf.col(ROW)).drop("__from", "__start")
-    return placed, df.count()
-
+    placed = placed.withColumn(POS, sf.col("__start") + sf.col(ROW))
+    return Placement(placed.drop("__from", "__start"), df.count())

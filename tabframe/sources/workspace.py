@@ -6,11 +6,9 @@ import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as sf
 
 from tabframe.operators.frame import Frame, TableName
 from tabframe.operators.positional import wide
-from tabframe.plans.position import FILE, ROW
 from tabframe.sources import generators, loaders
 
 
@@ -58,13 +56,13 @@ class Workspace:
         return self._base(self._spark.table(full), TableName(dbName or self.dbName, relName))
 
     def _base(self, rows: DataFrame, table: TableName) -> Frame:
-        """A base table; rows of files know their file and their place in it."""
+        """A base table; rows of files can be told apart by file and row number."""
         try:
-            place = [sf.col("_metadata.file_path").alias(FILE), sf.col("_metadata.row_index").alias(ROW)]
-            rows, placed = rows.select("*", *place), True
+            rows.select("_metadata.file_path", "_metadata.row_index")
+            scan = True
         except AnalysisException:
-            placed = False
-        frame = Frame.of(rows, whole_scan=placed)
+            scan = False
+        frame = Frame.of(rows, scan=scan, whole=scan)
         frame.table = table
         return frame
 
