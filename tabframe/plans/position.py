@@ -41,6 +41,12 @@ class SortKey:
     def reversed(self) -> SortKey:
         return SortKey(self.column, not self.descending)
 
+    def at_or_after(self, edge: Column) -> Column:
+        """Not before a non-null value in this order."""
+        if self.descending:
+            return (self.column <= edge) | self.column.isNull()
+        return self.column >= edge
+
 
 def named(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
@@ -85,11 +91,14 @@ def sample_bounds(df: DataFrame, keys: list[SortKey], rows: int, buckets: int) -
     return picked.combine_chunks() if isinstance(picked, pa.ChunkedArray) else picked
 
 
-def with_bucket(df: DataFrame, keys: list[SortKey], bounds: pa.Array) -> DataFrame:
-    """Add the range bucket of each row by binary search over the bounds."""
+def with_bucket(df: DataFrame, keys: list[SortKey], bounds: pa.Array, first: int = 0) -> DataFrame:
+    """Add the range bucket of each row by binary search over the bounds.
+
+    Buckets are numbered from ``first``.
+    """
     df = df.withColumn(BUCKET, sf.lit(0))
     if not len(bounds):
-        return df
+        return df.withColumn(BUCKET, sf.lit(first))
     ladder = arrow_scalar(df.sparkSession, bounds)
     groups = key_groups(keys)
     own = [f"__own{g}" for g in range(len(groups))]
@@ -102,7 +111,7 @@ def with_bucket(df: DataFrame, keys: list[SortKey], bounds: pa.Array) -> DataFra
                  for g, (name, (_, down)) in enumerate(zip(own, groups))]
         reached = (index < sf.lit(len(bounds))) & is_reached(tests)
         df = df.withColumn(BUCKET, sf.col(BUCKET) + sf.when(reached, sf.lit(step)).otherwise(sf.lit(0)))
-    return df.drop(_PROBE, *own)
+    return df.withColumn(BUCKET, sf.col(BUCKET) + sf.lit(first)).drop(_PROBE, *own)
 
 
 @dataclass(frozen=True)
@@ -127,7 +136,7 @@ class _Buckets:
         self.keys, self.weight = keys, weight
         wanted = min(math.ceil(rows / setting(spark, "rowsPerBucket")), setting(spark, "maxBuckets"))
         self.bounds = sample_bounds(df, keys, rows, wanted) if wanted > 1 else pa.array([])
-        self.df = with_bucket(df, keys, self.bounds)
+        self.source, self.df = df, with_bucket(df, keys, self.bounds)
         total = sf.sum(weight) if weight else sf.count(sf.lit(1))
         sizes = {r[0]: r[1] for r in self.df.groupBy(BUCKET).agg(total).collect()}
         width = max(sizes, default=0) + 1
@@ -152,22 +161,35 @@ class _Buckets:
     def narrow(self, low: int, high: int) -> DataFrame:
         """Positions of the buckets that hold ``low`` to ``high`` only.
 
-        The other buckets are dropped before the shuffle, and those rows that the
-        leading key already rules out before they are read.
+        Rows outside the key range of these buckets are dropped before the
+        shuffle; a plain leading key even narrows what is read from files.
         """
         first = max(bisect.bisect_right(self.starts, low) - 1, 0)
         last = bisect.bisect_right(self.starts, high) - 1
-        rows = self.df.filter(sf.col(BUCKET).between(first, last))
-        lower = self._edge(first - 1) if first > 0 else None
-        upper = self._edge(last) if last < len(self.bounds) else None
-        key = self.keys[0]
-        # In sort order NULL is the least value, so it passes every test from above.
-        least, greatest = (upper, lower) if key.descending else (lower, upper)
-        if least is not None:
-            rows = rows.filter(key.column >= least)
-        if greatest is not None:
-            rows = rows.filter((key.column <= greatest) | key.column.isNull())
-        return self.place(self.keys, rows)
+        rows = self.source
+        if first > 0:
+            rows = self._from(rows, first - 1)
+        if last < len(self.bounds):
+            rows = self._until(rows, last)
+        kept = self.bounds[first:last] if len(self.bounds) else self.bounds
+        return self.place(self.keys, with_bucket(rows, self.keys, kept, first))
+
+    def _from(self, rows: DataFrame, index: int) -> DataFrame:
+        key, edge = self.keys[0], self._edge(index)
+        if edge is not None:
+            rows = rows.filter(key.at_or_after(edge))
+        return rows.filter(self._reached(index))
+
+    def _until(self, rows: DataFrame, index: int) -> DataFrame:
+        key, edge = self.keys[0], self._edge(index)
+        if edge is not None:
+            rows = rows.filter(key.reversed().at_or_after(edge))
+        return rows.filter(~self._reached(index))
+
+    def _reached(self, index: int) -> Column:
+        bound = sf.get(arrow_scalar(self.source.sparkSession, self.bounds[index:index + 1]), sf.lit(0))
+        groups = key_groups(self.keys)
+        return is_reached([(own, bound[f"g{g}"], down) for g, (own, down) in enumerate(groups)])
 
     def _edge(self, index: int) -> Column | None:
         """The leading key of a bound, where it is of a type with a plain literal."""
