@@ -124,6 +124,8 @@ class Placement:
 
     def between(self, low: int, high: int) -> DataFrame:
         """Rows at positions ``low`` to ``high``, both included."""
+        if high < low:
+            return self.placed.filter(sf.lit(False))
         source = self.narrow(low, high) if self.narrow else self.placed
         return source.filter(sf.col(POS).between(low, high))
 
