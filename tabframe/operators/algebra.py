@@ -112,8 +112,10 @@ class Algebra:
 
     def to_matrix(self):
         """The same columns, all as doubles; NULL stays NULL."""
-        return self._derive(
-            self.rowset, {n: c.cast("double") for n, c in self.numeric_cells().items()}, self.ordered)
+        kinds = {f.name: f.dataType for f in self.schema}
+        cells = {n: c if isinstance(kinds[n], st.DoubleType) else c.cast("double")
+                 for n, c in self.numeric_cells().items()}
+        return self._derive(self.rowset, cells, self.ordered)
 
     @property
     def matrix(self) -> np.ndarray:

@@ -6,44 +6,60 @@ table or a whole group: a group is folded from partial states.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as sf
 from pyspark.sql import types as st
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabframe.functions.expressions import is_frame
 from tabframe.operators.relational import items
+from tabframe.plans.position import named
 from tabframe.plans.settings import setting
 
 
 class Batch:
     """Some rows of a frame as arrays, as a user function sees them."""
 
-    def __init__(self, data: pd.DataFrame):
+    def __init__(self, data: pa.RecordBatch):
         self._data = data
 
     @property
     def rows(self) -> dict[str, np.ndarray]:
-        return {name: self._data[name].to_numpy() for name in self._data}
+        """Columns as arrays; numbers with NULLs as masked arrays."""
+        return {name: _numpy(self._data.column(i)) for i, name in enumerate(self.columns)}
 
     @property
     def matrix(self) -> np.ndarray:
-        return self._data.to_numpy(dtype="float64")
+        """All columns as one n x c float64 array, NULL as NaN."""
+        columns = (c.cast(pa.float64()).fill_null(np.nan) for c in self._data.columns)
+        return np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
 
     @property
     def columns(self) -> list[str]:
-        return list(self._data)
+        return self._data.schema.names
 
     def __len__(self):
-        return len(self._data)
+        return self._data.num_rows
+
+
+def _numpy(column: pa.Array) -> np.ndarray:
+    kind = column.type
+    number = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)
+    if not (number and column.null_count):
+        return column.to_numpy(zero_copy_only=False)
+    filled = column.fill_null(False if pa.types.is_boolean(kind) else 0)
+    mask = column.is_null().to_numpy(zero_copy_only=False)
+    return np.ma.MaskedArray(filled.to_numpy(zero_copy_only=False), mask)
 
 
 def as_columns(result, who: str) -> dict[str, np.ndarray]:
     """Check a function result: a dict of arrays or ``(matrix, names)``."""
     if isinstance(result, dict):
-        return {name: np.asarray(values) for name, values in result.items()}
+        return {n: v if isinstance(v, np.ma.MaskedArray) else np.asarray(v) for n, v in result.items()}
     if isinstance(result, tuple) and len(result) == 2:
         matrix, names = result
         if matrix.shape[1] != len(names):
@@ -52,12 +68,18 @@ def as_columns(result, who: str) -> dict[str, np.ndarray]:
     raise TypeError(f"{who} must return a dict of arrays or a (matrix, names) pair")
 
 
-def as_table(result, who: str, names: list[str]) -> pd.DataFrame:
-    """A checked result in the order of the declared schema."""
+def as_batch(result, who: str, schema: pa.Schema) -> pa.RecordBatch:
+    """A checked result in the order and with the types of the declared schema."""
     columns = as_columns(result, who)
-    if set(columns) != set(names):
-        raise TypeError(f"{who} returned columns {list(columns)} but the schema has {names}")
-    return pd.DataFrame({name: pd.Series(columns[name]) for name in names})
+    if set(columns) != set(schema.names):
+        raise TypeError(f"{who} returned columns {list(columns)} but the schema has {schema.names}")
+    return pa.RecordBatch.from_arrays([_arrow(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def _arrow(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, np.ma.MaskedArray):
+        return pa.array(values.data, mask=np.ma.getmaskarray(values)).cast(kind)
+    return pa.array(values.tolist(), kind) if values.dtype == object else pa.array(values).cast(kind)
 
 
 def parse_schema(schema) -> st.StructType:
@@ -80,25 +102,30 @@ class UserFunctions:
                 raise TypeError(f"{func.__name__} returned no frame; give a schema to run it on batches")
             return result
         schema = parse_schema(schema)
-        names = schema.fieldNames()
+        arrow = to_arrow_schema(schema)
+        name = getattr(func, "__name__", "the function")
 
-        def run(batches: Iterator[pd.DataFrame]):
+        def run(batches):
             for data in batches:
-                yield as_table(func(Batch(data), *args, **kwargs), func.__name__, names)
+                yield as_batch(func(Batch(data), *args, **kwargs), name, arrow)
 
-        return self._of(self.unsorted().mapInPandas(run, schema))
+        return self._of(self.unsorted().mapInArrow(run, schema))
 
     def map_matrix(self, func: Callable, *args, cols=None, **kwargs):
-        """Apply ``func`` to n x c arrays; results go back under the old names or ``cols``."""
+        """Apply ``func`` to n x c arrays; results go back under the old names or ``cols``.
+
+        NULL cells are NaN in the arrays, and NaN in the result becomes NULL.
+        """
         names = list(cols or self.cells)
-        ddl = st.StructType([st.StructField(n, st.DoubleType()) for n in names])
+        schema = st.StructType([st.StructField(n, st.DoubleType()) for n in names])
 
         def on_matrix(batch: Batch):
             result = np.asarray(func(batch.matrix, *args, **kwargs), dtype="float64")
-            return (result.reshape(-1, 1) if result.ndim == 1 else result), names
+            result = result.reshape(len(result), -1)
+            return np.ma.MaskedArray(result, np.isnan(result)), names
 
-        on_matrix.__name__ = getattr(func, "__name__", "function")
-        return self.to_matrix()._U(on_matrix, schema=ddl)
+        on_matrix.__name__ = getattr(func, "__name__", "the function")
+        return self.to_matrix()._U(on_matrix, schema=schema)
 
     _XP = map_matrix
 
@@ -109,37 +136,61 @@ class UserFunctions:
         ``merge(states)`` does the same for a batch of earlier states and must be
         associative and commutative; ``finish(state)`` gives the result dict.
         ``state`` and ``schema`` declare their columns, without the group's.
+
+        Each task summarizes its own rows first.  The states of a large group are
+        then merged under several salts before they meet.
         """
         by = items(by)
         kinds = {f.name: f for f in self.schema}
         keys = [kinds[k] for k in by]
-        state = parse_schema(state)
+        state, schema = parse_schema(state), parse_schema(schema)
         states = st.StructType(keys + state.fields)
-        results = st.StructType(keys + parse_schema(schema).fields)
-        salts = setting(self.spark, "mergeFanIn")
-
-        def one_row(key, values, fields):
-            return pd.DataFrame([[*key, *(values[f] for f in fields)]], columns=[*by, *fields])
+        arrow = to_arrow_schema(states)
 
         def summarize(batches):
             for data in batches:
-                groups = data.groupby(by, dropna=False, sort=False)
-                rows = [one_row(_tuple(k), partial(Batch(g)), state.fieldNames()) for k, g in groups]
-                if rows:
-                    yield pd.concat(rows, ignore_index=True)
+                if data.num_rows:
+                    yield _states(data, by, partial, arrow)
+
+        def merge_some(key, table):
+            return _one_row(key[: len(by)], merge(_batch(table)), by, state)
+
+        def merge_all(key, table):
+            return _one_row(key, finish(merge(_batch(table))), by, schema)
+
+        parts = self.unsorted().mapInArrow(summarize, states)
+        salted = parts.withColumn("__salt", sf.spark_partition_id() % setting(self.spark, "mergeFanIn"))
+        keyed = [named(k) for k in by]
+        merged = salted.groupBy(*keyed, "__salt").applyInArrow(merge_some, states)
+        return self._of(merged.groupBy(*keyed).applyInArrow(merge_all, st.StructType(keys + schema.fields)))
+
+
+def _states(data: pa.RecordBatch, by: list[str], partial: Callable, arrow: pa.Schema) -> pa.RecordBatch:
+    """One state per group of a batch."""
+    codes = [data.column(k).dictionary_encode(null_encoding="encode") for k in by]
+    group = pd.DataFrame({i: c.indices.to_numpy(zero_copy_only=False) for i, c in enumerate(codes)})
+    lines = []
+    for _, members in group.groupby(list(group), sort=False).indices.items():
+        some = data.take(pa.array(members))
+        values = partial(Batch(some))
+        key = {k: some.column(k)[0].as_py() for k in by}
+        lines.append({**key, **{f: _plain(values[f]) for f in arrow.names[len(by):]}})
+    return pa.RecordBatch.from_pylist(lines, schema=arrow)
+
 
-        def merge_some(key, data):
-            return one_row(key[: len(by)], merge(Batch(data)), state.fieldNames())
+def _batch(table: pa.Table) -> Batch:
+    return Batch(table.combine_chunks().to_batches()[0])
 
-        def merge_all(key, data):
-            done = finish(merge(Batch(data)))
-            return one_row(key, done, results.fieldNames()[len(by):])
 
-        parts = self.unsorted().mapInPandas(summarize, states)
-        salted = parts.withColumn("__salt", sf.spark_partition_id() % salts)
-        merged = salted.groupBy(*by, "__salt").applyInPandas(merge_some, states)
-        return self._of(merged.groupBy(*by).applyInPandas(merge_all, results))
+def _one_row(key, values: dict, by: list[str], fields: st.StructType) -> pa.Table:
+    arrow = to_arrow_schema(fields)
+    columns = {k: pa.array([v.as_py()], v.type) for k, v in zip(by, key)}
+    columns |= {f.name: pa.array([_plain(values[f.name])], f.type) for f in arrow}
+    return pa.table(columns)
 
 
-def _tuple(key):
-    return key if isinstance(key, tuple) else (key,)
+def _plain(value):
+    """The Python value behind a NumPy scalar; a masked one is NULL."""
+    if value is np.ma.masked:
+        return None
+    return value.item() if isinstance(value, np.generic) else value

@@ -248,12 +248,16 @@ def _number_copies(df, keys, most):
 def number_by_file(df: DataFrame) -> Placement:
     """Positions of a whole, unfiltered file scan: file offset plus row in the file.
 
-    The rows are not shuffled; the offsets have one row per file.
+    The rows are not shuffled.  The offsets have one row per file, and are
+    broadcast unless there are very many files.
     """
     per_file = df.groupBy(FILE).agg((sf.max(ROW) + 1).alias("rows"))
+    rows, files = per_file.agg(sf.sum("rows"), sf.count(sf.lit(1))).first()
     running = Window.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
     start = sf.coalesce(sf.sum("rows").over(running), sf.lit(0))
     offsets = per_file.select(sf.col(FILE).alias("__from"), start.alias("__start"))
+    if files <= setting(df.sparkSession, "broadcastFiles"):
+        offsets = sf.broadcast(offsets)
     placed = df.join(offsets, sf.col(FILE) == sf.col("__from"))
     placed = placed.withColumn(POS, sf.col("__start") + sf.col(ROW))
-    return Placement(placed.drop("__from", "__start"), df.count())
+    return Placement(placed.drop("__from", "__start"), rows or 0)

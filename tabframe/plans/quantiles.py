@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as sf
@@ -10,93 +13,108 @@ from pyspark.sql import functions as sf
 from tabframe.plans.settings import setting
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], points: list[float]) -> dict:
-    """``{(name, point): value}`` with linear interpolation; NULL columns give None.
+@dataclass(frozen=True)
+class Bracket:
+    """Values of column ``c`` among which the one of rank ``target`` is found.
 
-    Approximate quantiles bracket each wanted rank.  The rows inside a bracket
-    are a small share of the column; equal values are counted before they are
-    ranked, so a frequent value is one row.
+    ``before`` values of the column lie below ``low``, and ``inside`` values from
+    ``low`` to ``high``; None is no bound.
     """
-    names = list(columns)
-    df = df.select(*(columns[n].cast("double").alias(f"v{c}") for c, n in enumerate(names)))
-    accuracy = setting(df.sparkSession, "quantileAccuracy")
-    found, margin = {}, 2 / accuracy
-    totals = df.agg(*(sf.count(f"v{c}") for c in range(len(names)))).first()
-    pending = {(c, p) for c in range(len(names)) for p in points if totals[c]}
-    while pending:
-        brackets = _brackets(df, pending, margin, accuracy)
-        below = _ranks(df, brackets)
-        sure = {}
-        for key in pending:
-            target = (totals[key[0]] - 1) * key[1]
-            before, upto = below[key]
-            if before <= math.floor(target) and math.ceil(target) < upto:
-                sure[key] = (target, before)
-        if sure:
-            found.update(_pick(df, brackets, sure))
-        pending -= set(sure)
-        margin *= 4
-    return {(names[c], p): v for (c, p), v in found.items()}
 
+    c: int
+    target: float
+    low: float | None
+    high: float | None
+    before: int
+    inside: int
 
-def _brackets(df, pending, margin, accuracy):
-    """Values a little below and above each wanted rank; None where there is no bound."""
-    asks = []
-    for c, p in sorted(pending):
-        edges = [min(max(p - margin, 0.0), 1.0), min(max(p + margin, 0.0), 1.0)]
-        asks.append(sf.percentile_approx(f"v{c}", edges, accuracy))
-    got = df.agg(*asks).first()
-    return {
-        (c, p): (got[i][0] if p > margin else None, got[i][1] if p < 1 - margin else None)
-        for i, (c, p) in enumerate(sorted(pending))
-    }
+    def column(self) -> Column:
+        """The column's values in the bracket, else NULL."""
+        value = sf.col(f"v{self.c}")
+        conditions = [] if self.low is None else [value >= self.low]
+        conditions += [] if self.high is None else [value <= self.high]
+        return sf.when(functools.reduce(operator.and_, conditions), value) if conditions else value
 
 
-def _inside(c: int, bracket) -> Column:
-    low, high = bracket
-    value = sf.col(f"v{c}")
-    condition = value.isNotNull()
-    condition = condition if low is None else condition & (value >= low)
-    return condition if high is None else condition & (value <= high)
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], points: list[float]) -> dict:
+    """``{(name, point): value}`` with linear interpolation; columns without values are left out.
+
+    Approximate quantiles bracket each wanted rank, again and again until few
+    values are left in the bracket; counts make sure that the rank is in it.
+    Equal values are counted before they are ranked, so a frequent value is one row.
+    """
+    names, few = list(columns), setting(df.sparkSession, "exactQuantileRows")
+    df = df.select(*(columns[n].cast("double").alias(f"v{c}") for c, n in enumerate(names)))
+    totals = df.agg(*(sf.count(f"v{c}") for c in range(len(names)))).first()
+    brackets = {
+        (c, p): Bracket(c, (totals[c] - 1) * p, None, None, 0, totals[c])
+        for c in range(len(names)) for p in points if totals[c]
+    }
+    accuracy = setting(df.sparkSession, "quantileAccuracy")
+    margin = 2 / accuracy
+    while wide := {k: b for k, b in brackets.items() if b.inside > few and (b.low is None or b.low != b.high)}:
+        narrowed = _narrow(df, wide, margin, accuracy)
+        margin = margin if all(narrowed[k].inside < b.inside for k, b in wide.items()) else margin * 4
+        if margin > 1:
+            break
+        brackets.update(narrowed)
+    found = {k: b.low for k, b in brackets.items() if b.low is not None and b.low == b.high}
+    found.update(_pick(df, {k: b for k, b in brackets.items() if k not in found}))
+    return {(names[c], p): v for (c, p), v in found.items()}
 
 
-def _ranks(df, brackets):
-    """How many values lie before each bracket, and up to its end."""
-    keys = sorted(brackets)
+def _narrow(df, brackets, margin, accuracy):
+    """Smaller brackets from approximate quantiles inside the given ones."""
+    asks: dict[tuple, list] = {}
+    for key, b in brackets.items():
+        share = (b.target - b.before) / max(b.inside - 1, 1)
+        edges = [max(share - margin, 0.0), min(share + margin, 1.0)]
+        asks.setdefault((b.c, b.low, b.high), []).append((key, edges))
+    got = df.agg(*(
+        sf.percentile_approx(brackets[wants[0][0]].column(), [e for _, edges in wants for e in edges], accuracy)
+        for wants in asks.values())).first()
+    closer = {}
+    for values, wants in zip(got, asks.values()):
+        for n, (key, edges) in enumerate(wants):
+            b = brackets[key]
+            low = values[2 * n] if edges[0] > 0 else b.low
+            high = values[2 * n + 1] if edges[1] < 1 else b.high
+            closer[key] = replace(b, low=low, high=high)
     counts = []
-    for c, p in keys:
-        low, high = brackets[c, p]
-        value = sf.col(f"v{c}")
-        counts.append(sf.lit(0) if low is None else sf.count_if(value < low))
-        counts.append(sf.count(value) if high is None else sf.count_if(value <= high))
+    for b in closer.values():
+        value = sf.col(f"v{b.c}")
+        counts.append(sf.lit(0) if b.low is None else sf.count_if(value < b.low))
+        counts.append(sf.count(b.column()))
     got = df.agg(*counts).first()
-    return {key: (got[2 * i], got[2 * i + 1]) for i, key in enumerate(keys)}
+    result = {}
+    for n, (key, b) in enumerate(closer.items()):
+        before, inside = got[2 * n], got[2 * n + 1]
+        holds = before <= math.floor(b.target) and math.ceil(b.target) < before + inside
+        result[key] = replace(b, before=before, inside=inside) if holds else brackets[key]
+    return result
 
 
-def _pick(df, brackets, sure):
-    keys = sorted(sure)
-    entries = [
-        sf.when(_inside(c, brackets[c, p]),
-                sf.struct(sf.lit(i).alias("id"), sf.col(f"v{c}").alias("v")))
-        for i, (c, p) in enumerate(keys)
-    ]
-    values = df.select(sf.inline(sf.filter(sf.array(*entries), lambda e: e.isNotNull())))
+def _pick(df, brackets):
+    """The values at the wanted ranks, from the values in the brackets."""
+    if not brackets:
+        return {}
+    keys = list(brackets)
+    entries = [sf.struct(sf.lit(i).alias("id"), brackets[k].column().alias("v")) for i, k in enumerate(keys)]
+    values = df.select(sf.inline(sf.array(*entries))).filter("v is not null")
     counted = values.groupBy("id", "v").count()
     rising = Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     upto = counted.withColumn("upto", sf.sum("count").over(rising))
     wanted = sf.lit(False)
-    for i, key in enumerate(keys):
-        target, before = sure[key]
-        for rank in {math.floor(target) - before, math.ceil(target) - before}:
+    for i, b in enumerate(brackets.values()):
+        for rank in {math.floor(b.target) - b.before, math.ceil(b.target) - b.before}:
             holds = (sf.col("upto") > rank) & (sf.col("upto") - sf.col("count") <= rank)
             wanted = wanted | ((sf.col("id") == i) & holds)
     hits: dict[int, list] = {}
     for row in upto.filter(wanted).orderBy("id", "v").collect():
         hits.setdefault(row["id"], []).append(row["v"])
     result = {}
-    for i, key in enumerate(keys):
-        target = sure[key][0]
+    for i, (key, b) in enumerate(brackets.items()):
         low, high = hits[i][0], hits[i][-1]
-        share = target - math.floor(target)
-        result[key] = low if low == high else (math.ceil(target) - target) * low + share * high
+        share = b.target - math.floor(b.target)
+        result[key] = low if low == high else (1 - share) * low + share * high
     return result

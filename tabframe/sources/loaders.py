@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as sf
 from pyspark.sql import types as st
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabframe.operators.frame import Frame
-from tabframe.operators.userfunc import as_table, parse_schema
+from tabframe.operators.userfunc import as_batch, parse_schema
 
 
 def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, **kwargs) -> Frame:
@@ -21,20 +22,19 @@ def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, **kwar
     returns, or yields piece by piece, a dict of arrays or ``(matrix, names)``.
     """
     schema = parse_schema(schema)
-    names = schema.fieldNames()
+    arrow = to_arrow_schema(schema)
     if not isinstance(parts, DataFrame):
         parts = spark.createDataFrame(pd.DataFrame(list(parts)))
     spread = parts.repartition(*(sf.col(f"`{c}`") for c in parts.columns))
 
     def run(batches):
         for batch in batches:
-            for part in batch.to_dict("records"):
+            for part in batch.to_pylist():
                 result = func(part, *args, **kwargs)
-                pieces = [result] if isinstance(result, (dict, tuple)) or not hasattr(result, "__next__") else result
-                for piece in pieces:
-                    yield as_table(piece, func.__name__, names)
+                for piece in result if isinstance(result, Iterator) else [result]:
+                    yield as_batch(piece, func.__name__, arrow)
 
-    return Frame.of(spread.mapInPandas(run, schema))
+    return Frame.of(spread.mapInArrow(run, schema))
 
 
 # Text formats recognized as dates and timestamps.

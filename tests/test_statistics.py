@@ -37,9 +37,10 @@ def test_describe(spark, small):
     assert [r[1] for r in sorted(map(tuple, small.describe().positions().collect()))][:2] == ["count", "unique"]
 
 
-@pytest.mark.parametrize("accuracy", ["100000", "50", "7"])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("accuracy, few", [("10000", "1048576"), ("100", "10"), ("50", "100"), ("7", "3")])
+def test_exact_quantiles(spark, accuracy, few):
     spark.conf.set("spark.tabframe.quantileAccuracy", accuracy)
+    spark.conf.set("spark.tabframe.exactQuantileRows", few)
     rng = np.random.default_rng(3)
     hot = np.where(rng.random(3000) < 0.4, 7.0, rng.normal(size=3000))
     table = frame(spark, [(float(v), None if i % 3 else i, None) for i, v in enumerate(hot)],
@@ -47,6 +48,7 @@ def test_exact_quantiles(spark, accuracy):
     points = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = table.quantiles(points, ["v", "w", "e"])
     spark.conf.unset("spark.tabframe.quantileAccuracy")
+    spark.conf.unset("spark.tabframe.exactQuantileRows")
     for p in points:
         assert got["v", p] == pytest.approx(np.quantile(hot, p), abs=1e-12)
         assert got["w", p] == pytest.approx(np.quantile(np.arange(0, 3000, 3), p))

@@ -53,3 +53,15 @@ def test_fold_groups(spark, partitions):
                             "mean double")
     want = {g: np.mean([x for h, x in data if h == g]) for g, _ in data}
     assert {g: m for g, m in rows(got)} == pytest.approx(want)
+
+
+def test_nulls_and_large_whole_numbers_survive(spark):
+    big = 2 ** 62 + 1
+    table = frame(spark, [(big, None), (None, 1.0), (big, float("nan"))], "k long, x double")
+    same = table._U(lambda batch: batch.rows, schema="k long, x double")
+    got = same.df.collect()
+    assert sorted(r["k"] or 0 for r in got) == [0, big, big]
+    assert sum(r["x"] is None for r in got) == 1
+    counted = table.fold_groups("k", lambda b: {"n": len(b)}, lambda s: {"n": s.rows["n"].sum()}, "n long",
+                                lambda s: s, "n long")
+    assert rows(counted) == [(None, 1), (big, 2)]

@@ -12,6 +12,7 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", os.environ.get("SPARK_WAREHOUSE", "/tmp/tabframe-warehouse"))

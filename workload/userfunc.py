@@ -79,20 +79,20 @@ def udf_matrix_in_place(ws):
 
 @query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
 def load_partitioned(ws):
-    """An outside loader called once per month of orders, on the executors."""
+    """An outside loader called once per year of orders, on the executors."""
     path = f"{ws._path}/orders.parquet"
 
-    def read_month(part, path):
+    def read_year(part, path):
         import pyarrow.dataset as ds
 
-        month = (ds.field("o_orderdate") >= part["start"]) & (ds.field("o_orderdate") < part["stop"])
-        scan = ds.dataset(path).to_batches(columns=["o_orderkey", "o_totalprice", "o_orderstatus"], filter=month)
+        year = (ds.field("o_orderdate") >= part["start"]) & (ds.field("o_orderdate") < part["stop"])
+        scan = ds.dataset(path).to_batches(columns=["o_orderkey", "o_totalprice", "o_orderstatus"], filter=year)
         for batch in scan:
             yield {name: batch.column(name).to_pylist() for name in batch.schema.names}
 
-    months = ws._executeQry("""select m as start, add_months(m, 1)::timestamp_ntz as stop from
-        (select distinct date_trunc('month', o_orderdate)::timestamp_ntz as m from orders)""")
-    loaded = ws._L(read_month, path, parts=months.df,
+    years = ws._executeQry("""select y as start, add_months(y, 12)::timestamp_ntz as stop from
+        (select distinct date_trunc('year', o_orderdate)::timestamp_ntz as y from orders)""")
+    loaded = ws._L(read_year, path, parts=years.df,
                    schema="o_orderkey bigint, o_totalprice double, o_orderstatus string")
     return loaded.filter(Q("o_orderstatus", C("F"))).project(("o_orderkey", "o_totalprice"))
 
