@@ -1,11 +1,19 @@
 """Tables, matrices and user functions on one Spark-backed frame object."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from tabframe.functions import (
     AVG, C, CASE, CMP, COL, COUNT, DATE, EXTRACT, F, JOIN, MAX, MIN, Q, SUBSTRING, SUM,
 )
 from tabframe.operators import Frame, Transposed, multiply_long
 from tabframe.sources import Workspace
 
+# Functions sent to executors carry this package's code with them, so that it
+# need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def head(frame, n=5):
     """Print the first rows."""

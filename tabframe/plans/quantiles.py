@@ -46,6 +46,9 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], points: list[floa
     names, few = list(columns), setting(df.sparkSession, "exactQuantileRows")
     df = df.select(*(columns[n].cast("double").alias(f"v{c}") for c, n in enumerate(names)))
     totals = df.agg(*(sf.count(f"v{c}") for c in range(len(names)))).first()
+    if max(totals, default=0) <= few:
+        ranked = df.agg(*(sf.percentile(f"v{c}", sf.array(*map(sf.lit, points))) for c in range(len(names)))).first()
+        return {(n, p): v for n, values in zip(names, ranked) if values for p, v in zip(points, values)}
     brackets = {
         (c, p): Bracket(c, (totals[c] - 1) * p, None, None, 0, totals[c])
         for c in range(len(names)) for p in points if totals[c]
@@ -98,23 +101,23 @@ def _pick(df, brackets):
     """The values at the wanted ranks, from the values in the brackets."""
     if not brackets:
         return {}
-    keys = list(brackets)
-    entries = [sf.struct(sf.lit(i).alias("id"), brackets[k].column().alias("v")) for i, k in enumerate(keys)]
+    sources = list({(b.c, b.low, b.high): b for b in brackets.values()}.items())
+    ids = {source: i for i, (source, _) in enumerate(sources)}
+    entries = [sf.struct(sf.lit(i).alias("id"), b.column().alias("v")) for i, (_, b) in enumerate(sources)]
     values = df.select(sf.inline(sf.array(*entries))).filter("v is not null")
     counted = values.groupBy("id", "v").count()
     rising = Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     upto = counted.withColumn("upto", sf.sum("count").over(rising))
-    wanted = sf.lit(False)
-    for i, b in enumerate(brackets.values()):
-        for rank in {math.floor(b.target) - b.before, math.ceil(b.target) - b.before}:
-            holds = (sf.col("upto") > rank) & (sf.col("upto") - sf.col("count") <= rank)
-            wanted = wanted | ((sf.col("id") == i) & holds)
-    hits: dict[int, list] = {}
-    for row in upto.filter(wanted).orderBy("id", "v").collect():
-        hits.setdefault(row["id"], []).append(row["v"])
+    wanted, ranks = sf.lit(False), {}
+    for key, b in brackets.items():
+        i = ids[b.c, b.low, b.high]
+        ranks[key] = [(i, rank - b.before) for rank in (math.floor(b.target), math.ceil(b.target))]
+        for _, rank in ranks[key]:
+            wanted = wanted | ((sf.col("id") == i) & (sf.col("upto") > rank) & (sf.col("upto") - sf.col("count") <= rank))
+    hits = sorted((r["id"], r["upto"], r["v"]) for r in upto.filter(wanted).collect())
     result = {}
-    for i, (key, b) in enumerate(brackets.items()):
-        low, high = hits[i][0], hits[i][-1]
+    for key, b in brackets.items():
+        low, high = (next(v for j, upto, v in hits if j == i and upto > rank) for i, rank in ranks[key])
         share = b.target - math.floor(b.target)
         result[key] = low if low == high else (1 - share) * low + share * high
     return result

@@ -14,7 +14,7 @@ DEFAULTS = {
     "literalCells": 10_000,          # largest matrix written into the plan as literals
     "aggregateCells": 400,           # largest matrix product done as one aggregate
     "transposeRows": 500,            # most rows a wide transpose may have
-    "exactQuantileRows": 1 << 20,    # most values that one task ranks for a quantile
+    "exactQuantileRows": 1 << 16,    # most values that one task ranks for a quantile
     "quantileAccuracy": 10_000,      # rank accuracy of an approximate bracket
     "fetchRows": 1_000_000,          # most rows brought to the driver by cdata
     "blockSide": 256,                # side of a block in the blocked matrix product
