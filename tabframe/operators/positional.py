@@ -55,7 +55,8 @@ class Positional:
             RowSet(kept.withColumn(POS, sf.floor(offset / abs(step))), rows=count), self.cells)
 
     def _picked_rows(self, picks: np.ndarray):
-        placed, n = self.rowset.positioned(), self.rowset.count()
+        placement = self.rowset.placement()
+        n = placement.rows
         if picks.dtype == bool:
             if picks.shape != (n,):
                 raise IndexError(f"mask of shape {picks.shape} for {n} rows")
@@ -63,9 +64,10 @@ class Positional:
         picks = picks.astype("int64").ravel()
         if len(picks) and (picks.min() < -n or picks.max() >= n):
             raise IndexError(f"row position out of range for {n} rows")
-        wanted = self.spark.createDataFrame(pa.table({
-            "__out": np.arange(len(picks), dtype="int64"), POS: np.where(picks < 0, picks + n, picks)}))
-        rows = placed.join(wanted, POS).drop(POS).withColumnRenamed("__out", POS)
+        picks = np.where(picks < 0, picks + n, picks)
+        wanted = self.spark.createDataFrame(pa.table({"__out": np.arange(len(picks)), POS: picks}))
+        near = placement.between(int(picks.min(initial=n)), int(picks.max(initial=-1)))
+        rows = near.join(wanted, POS).drop(POS).withColumnRenamed("__out", POS)
         return self._derive(RowSet(rows, rows=len(picks)), self.cells)
 
     def vstack(self, otherdatalist):

@@ -66,11 +66,15 @@ class RowSet:
         return number_by_key(rows, list(self.keys), unique=False)
 
     def _identified(self) -> DataFrame:
-        """The rows with file and row number, where they come from a scan."""
+        """The rows with file and row number, where they come from a scan.
+
+        As a tie breaker a hash of the file name does, which is shorter to move.
+        """
         if not self.scan or FILE in self.df.columns:
             return self.df
-        return self.df.select("*", sf.col("_metadata.file_path").alias(FILE),
-                              sf.col("_metadata.row_index").alias(ROW))
+        file = sf.col("_metadata.file_path")
+        file = sf.xxhash64(file) if self.keys else file
+        return self.df.select("*", file.alias(FILE), sf.col("_metadata.row_index").alias(ROW))
 
     @property
     def positional(self) -> bool:

@@ -12,11 +12,12 @@ DEFAULTS = {
     "copiesPerChunk": 1 << 16,       # rows one task expands from a repeated row at a time
     "broadcastFiles": 1_000_000,     # most files whose offsets are broadcast
     "literalCells": 10_000,          # largest matrix written into the plan as literals
-    "aggregateCells": 400,           # largest matrix product done as one aggregate
+    "aggregateCells": 100,           # largest matrix product done as one aggregate
     "transposeRows": 500,            # most rows a wide transpose may have
     "exactQuantileRows": 1 << 16,    # most values that one task ranks for a quantile
     "quantileAccuracy": 10_000,      # rank accuracy of an approximate bracket
     "fetchRows": 1_000_000,          # most rows brought to the driver by cdata
+    "loadTasks": 10_000,             # most tasks of an external load
     "blockSide": 256,                # side of a block in the blocked matrix product
     "mergeFanIn": 64,                # partial states merged per task by a user fold
 }

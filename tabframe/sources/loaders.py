@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabframe.operators.frame import Frame
 from tabframe.operators.userfunc import as_batch, parse_schema
+from tabframe.plans.settings import setting
 
 
 def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, **kwargs) -> Frame:
@@ -25,7 +26,7 @@ def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, **kwar
     arrow = to_arrow_schema(schema)
     if not isinstance(parts, DataFrame):
         parts = spark.createDataFrame(pd.DataFrame(list(parts)))
-    spread = parts.repartition(*(sf.col(f"`{c}`") for c in parts.columns))
+    spread = parts.repartition(max(1, min(parts.count(), setting(spark, "loadTasks"))))
 
     def run(batches):
         for batch in batches:

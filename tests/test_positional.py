@@ -126,3 +126,30 @@ def test_row_names(spark):
 def test_distinct_after_stack_is_a_set_union(spark):
     x = numbers(spark, 3).project("v")
     assert rows(x.vstack(x).distinct()) == [(0,), (1,), (2,)]
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "17"])
+def test_results_do_not_depend_on_partitions(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.tabframe.rowsPerBucket", "6")
+    try:
+        x = numbers(spark, 30).project("v")
+        y = numbers(spark, 30).order("v#desc", unique=True).project("v")
+        assert placed(x + y) == [(29,)] * 30
+        assert placed(x.hstack([y], ["a", "b"])[::7]) == [(i, 29 - i) for i in range(0, 30, 7)]
+        assert placed(x.T @ y) == [(sum(i * (29 - i) for i in range(30)),)]
+        assert sorted(map(tuple, x.T.long().collect()))[7] == (0, 7, 7.0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.tabframe.rowsPerBucket")
+
+
+def test_slices_of_hot_keys(spark, buckets):
+    """Slices under a key with many ties hold the right keys and cover every row once."""
+    data = [("hot", i) for i in range(30)] + [(f"k{i}", i) for i in range(30)]
+    x = frame(spark, data, "k string, v int").order("k")
+    pieces = [placed(x[low:low + 17]) for low in range(0, 60, 17)]
+    together = [r for piece in pieces for r in piece]
+    assert [r[0] for r in together] == sorted(k for k, _ in data)
+    assert sorted(together) == sorted(data)

@@ -88,6 +88,14 @@ def alg_array_col(ws):
     return result.positions().withColumnRenamed("__pos", "pos")
 
 
+@query(f"select pos, o_orderkey + 2 * pos as o_orderkey, o_totalprice + (2 * pos + 1) as o_totalprice from {RANKED}")
+def alg_array_cells(ws):
+    """An (n, k) array goes cell by cell."""
+    a, _ = pair(ws)
+    result = a + np.arange(2 * a.numRows).reshape(-1, 2)
+    return result.positions().withColumnRenamed("__pos", "pos")
+
+
 @query("""select s_suppkey, round(s_suppkey - s_acctbal / 1000, 6) as left_part, round(s_acctbal / 1000 * 2, 6) as right_part
     from supplier""", digits=6)
 def alg_same_rows(ws):

@@ -4,6 +4,7 @@ from tabframe import (
     AVG, C, CASE, CMP, COL, COUNT, DATE, EXTRACT, F, JOIN, MAX, MIN, Q, SUBSTRING, SUM,
 )
 from tabframe.plans.durable import shared_folder
+from tabframe.sources import infer_datetimes
 from workload.registry import query
 
 COSTLY = 400000
@@ -366,3 +367,24 @@ def bind_and_sql(ws):
 def raw_sql(ws):
     joined = ws._executeQry("select n_name, c_acctbal from customer join nation on c_nationkey = n_nationkey")
     return joined.filter(Q("c_acctbal", 0, CMP.GT)).agg(("n_name", {COUNT("*"): "n"}), "n_name")
+
+
+@query("select count(*) as numRows, 11 as numColumns from lineitem")
+def table_shape(ws):
+    """Rows and columns of a table; the rows come from file footers."""
+    width = len(ws.lineitem.columns)
+    return ws.lineitem.agg({COUNT("*"): "numRows"}).project(("numRows", {F(C(width)): "numColumns"}))
+
+
+@query("""select o_orderstatus, count(*) as n from orders where o_totalprice > 400000 group by o_orderstatus""")
+def load_data(ws):
+    """Rows computed once and kept in the shared folder, then used."""
+    kept = costly(ws).project(("o_orderkey", "o_orderstatus")).loadData(keep="durable")
+    return kept.agg(("o_orderstatus", {COUNT("*"): "n"}), "o_orderstatus")
+
+
+@query("""select o_orderkey, cast(o_orderdate as date) as day from orders where o_orderdate >= date '2000-01-01'""")
+def infer_dates(ws):
+    """Text columns become dates where every value is one."""
+    texts = ws._executeQry("select o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd') as day from orders")
+    return infer_datetimes(texts).filter(Q("day", DATE("2000-01-01"), CMP.GTE))
