@@ -130,9 +130,11 @@ class Frame(Relational, Positional, Algebra, Statistics, UserFunctions):
 
     @property
     def cdata(self):
-        """All rows as an Arrow table; refuses more rows than ``fetchRows``."""
+        """All rows, in order, as an Arrow table; refuses more rows than ``fetchRows``."""
         limit = setting(self.spark, "fetchRows")
-        table = self.df.limit(limit + 1).toArrow()
+        in_order = self.rowset.keys or self.rowset.positional
+        rows = self.rowset.sorted() if in_order else self.rowset.df
+        table = rows.select(*self._selected()).limit(limit + 1).toArrow()
         if table.num_rows > limit:
             raise ValueError(f"more than {limit} rows; write them out or raise fetchRows")
         return table

@@ -13,6 +13,7 @@ DEFAULTS = {
     "broadcastFiles": 1_000_000,     # most files whose offsets are broadcast
     "literalCells": 10_000,          # largest matrix written into the plan as literals
     "aggregateCells": 100,           # largest matrix product done as one aggregate
+    "topRows": 1 << 16,              # most rows taken by a top-n merge; beyond, by position
     "transposeRows": 500,            # most rows a wide transpose may have
     "exactQuantileRows": 1 << 16,    # most values that one task ranks for a quantile
     "quantileAccuracy": 10_000,      # rank accuracy of an approximate bracket

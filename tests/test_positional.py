@@ -153,3 +153,19 @@ def test_slices_of_hot_keys(spark, buckets):
     together = [r for piece in pieces for r in piece]
     assert [r[0] for r in together] == sorted(k for k, _ in data)
     assert sorted(together) == sorted(data)
+
+
+def test_long_heads_go_by_position(spark):
+    spark.conf.set("spark.tabframe.topRows", "3")
+    try:
+        x = numbers(spark).project("v")
+        assert list(x.head(3)["v"]) == [0, 1, 2] and list(x.tail(3)["v"]) == [17, 18, 19]
+        assert sorted(x.head(5)["v"]) == [0, 1, 2, 3, 4] and sorted(x.tail(5)["v"]) == [15, 16, 17, 18, 19]
+    finally:
+        spark.conf.unset("spark.tabframe.topRows")
+
+
+def test_fetched_rows_are_in_order(spark, buckets):
+    x = numbers(spark)
+    assert x[::-3].rows["v"].tolist() == list(range(20))[::-3]
+    assert x.order("v#desc").rows["s"].tolist() == [str(i) for i in reversed(range(20))]

@@ -124,3 +124,13 @@ def test_sql_result_is_a_frame(ws):
     assert isinstance(ws._executeQry("select n_name from nation"), Frame)
     with pytest.raises(NotImplementedError):
         ws._executeQry("select 1", resultFormat="row")
+
+
+def test_stateless_operators_take_streams(spark, ws, tmp_path):
+    stream = spark.readStream.schema(ws.orders.schema).parquet("/root/testdata/sf0.001/orders.parquet*")
+    dear = Frame.of(stream).filter(Q("o_totalprice", 400000, CMP.GT)).project(("o_orderkey", "o_totalprice"))
+    query = (dear.df.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state")
+             .trigger(availableNow=True).start(f"{tmp_path}/out"))
+    query.awaitTermination(60)
+    want = ws.orders.filter(Q("o_totalprice", 400000, CMP.GT)).project(("o_orderkey", "o_totalprice"))
+    assert rows(ws.read("parquet", f"{tmp_path}/out")) == rows(want)
