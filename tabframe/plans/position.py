@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as sf
 
+from tabframe.plans.durable import durable
 from tabframe.plans.settings import setting
 
 POS = "__pos"
@@ -230,7 +231,8 @@ def _number_unique(df, keys, rows):
 def _number_copies(df, keys, most):
     names = df.columns
     chunk = setting(df.sparkSession, "copiesPerChunk")
-    kinds = df.groupBy(*(named(c) for c in names)).agg(sf.count(sf.lit(1)).alias(_COPIES))
+    # Kept, as three passes follow over what may be a costly input.
+    kinds = durable(df.groupBy(*(named(c) for c in names)).agg(sf.count(sf.lit(1)).alias(_COPIES)))
     buckets = _Buckets(kinds, keys, kinds.count(), _COPIES)
     # Different rows may share a hash: all columns decide inside a bucket.
     placed = buckets.place([*keys, *(SortKey(named(c)) for c in names)])
