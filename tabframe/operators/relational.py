@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import functions as sf
 
 from tabframe.functions.aggregates import Aggregate
-from tabframe.functions.expressions import COL, JOIN, Expression, Q, compile_operand
+from tabframe.functions.expressions import COL, JOIN, Expression, compile_operand
 from tabframe.operators.scope import Scope
 from tabframe.plans.position import SortKey
 from tabframe.plans.settings import setting
