@@ -40,6 +40,8 @@ class Positional:
             rows = slice(int(rows), int(rows) + 1 or None)
         if isinstance(rows, slice):
             return self._range(rows)
+        if hasattr(rows, "rowset"):
+            return self._masked(rows)
         return self._picked_rows(np.asarray(rows))
 
     def _range(self, wanted: slice):
@@ -54,6 +56,14 @@ class Positional:
         return self._derive(
             RowSet(kept.withColumn(POS, sf.floor(offset / abs(step))), rows=count), self.cells)
 
+    def _masked(self, mask):
+        """Rows where a one-column boolean frame of the same length is true."""
+        if [f.dataType.simpleString() for f in mask.schema] != ["boolean"]:
+            raise IndexError("a mask frame has one boolean column")
+        rowset, (mine, theirs) = align([self, mask])
+        (wanted,) = theirs.values()
+        return self._derive(rowset.with_rows(rowset.df.filter(wanted)), mine)
+
     def _picked_rows(self, picks: np.ndarray):
         placement = self.rowset.placement()
         n = placement.rows

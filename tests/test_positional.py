@@ -169,3 +169,13 @@ def test_fetched_rows_are_in_order(spark, buckets):
     x = numbers(spark)
     assert x[::-3].rows["v"].tolist() == list(range(20))[::-3]
     assert x.order("v#desc").rows["s"].tolist() == [str(i) for i in reversed(range(20))]
+
+
+def test_mask_frames(spark, buckets):
+    x = numbers(spark)
+    even = x.project({Q("v", tuple(range(0, 20, 2)), CMP.IN): "m"})
+    assert [r[0] for r in placed(x.project("v")[even])] == list(range(0, 20, 2))
+    backwards = x.order("v#desc", unique=True).project({Q("v", 15, CMP.GT): "m"})
+    assert [r[0] for r in placed(x.project("v")[backwards])] == [0, 1, 2, 3]
+    with pytest.raises(IndexError):
+        x[x.project("v")]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as sf
 
 from tabframe import AVG, COUNT, MAX, MIN, SUM, Frame, multiply_long
 from tabframe.operators.matrix import long_form
-from workload.positional import BY_PRICE, RANKED
+from workload.positional import BY_PRICE, MONTHS, RANKED, monthly
 from workload.registry import query
 
 DIM = 64
@@ -79,20 +79,18 @@ def alg_array_row(ws):
     return weighted.positions().withColumnRenamed("__pos", "pos")
 
 
-@query(f"""select pos, pos / 2 - o_orderkey as o_orderkey, pos / 2 - o_totalprice as o_totalprice
-    from {RANKED}""")
+@query(f"select pos, pos / 2 - n as n, pos / 2 - top as top from {MONTHS}")
 def alg_array_col(ws):
-    """An (n,) array has one number per row; here on the left of the frame."""
-    a, _ = pair(ws)
-    result = np.arange(a.numRows) / 2 - a
-    return result.positions().withColumnRenamed("__pos", "pos")
+    """An (n,) array has one number per row; here on the left of the months of orders."""
+    months = monthly(ws)
+    return (np.arange(months.numRows) / 2 - months).positions().withColumnRenamed("__pos", "pos")
 
 
-@query(f"select pos, o_orderkey + 2 * pos as o_orderkey, o_totalprice + (2 * pos + 1) as o_totalprice from {RANKED}")
+@query(f"select pos, n + 2 * pos as n, top + (2 * pos + 1) as top from {MONTHS}")
 def alg_array_cells(ws):
     """An (n, k) array goes cell by cell."""
-    a, _ = pair(ws)
-    result = a + np.arange(2 * a.numRows).reshape(-1, 2)
+    months = monthly(ws)
+    result = months + np.arange(2 * months.numRows).reshape(-1, 2)
     return result.positions().withColumnRenamed("__pos", "pos")
 
 
@@ -125,15 +123,13 @@ def matmul_array(ws):
     return ws.part.project(("p_size", "p_retailprice")) @ np.array([[1.0, 3.0], [2.0, -0.5]])
 
 
-@query(f"""select 0 as pos, round(sum(p_size), 4)::double as p_size, round(sum(p_retailprice), 4) as p_retailprice from part
-    union all select 1, round(sum(p_size * (p_partkey % 3)), 4)::double, round(sum(p_retailprice * (p_partkey % 3)), 4)
-    from (select *, row_number() over (order by p_partkey) - 1 as pos from part)""", digits=4)
+@query(f"""select 0::bigint as pos, sum(n)::double as n, round(sum(top), 4) as top from {MONTHS}
+    union all select 1, sum(n * (pos % 3))::double, round(sum(top * (pos % 3)), 4) from {MONTHS}""", digits=4)
 def rmatmul_array(ws):
-    """A (2, n) array from the left."""
-    x = sizes(ws).project(("p_size", "p_retailprice"))
-    n = x.numRows
-    left = np.vstack([np.ones(n), np.arange(n) % 3])
-    return (left @ x).positions().withColumnRenamed("__pos", "pos").withColumn("pos", sf.col("pos").cast("int"))
+    """A (2, n) array from the left of the months of orders."""
+    months = monthly(ws)
+    left = np.vstack([np.ones(months.numRows), np.arange(months.numRows) % 3])
+    return (left @ months).positions().withColumnRenamed("__pos", "pos")
 
 
 @query("""select unnest([0, 1]) as pos, unnest([round(sum(p_size * p_size), 2), round(sum(p_retailprice * p_size), 2)])

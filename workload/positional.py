@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tabframe import CMP, Q
+from tabframe import CMP, COUNT, EXTRACT, F, MAX, MIN, Q
 from workload.registry import query
 
 RANKED = "(select *, row_number() over (order by o_orderkey) - 1 as pos from orders)"
@@ -46,8 +46,6 @@ def position_copies(ws):
 
 
 def _span(name):
-    from tabframe import COUNT, MAX, MIN
-
     return (name, {MIN("pos"): "first_pos"}, {MAX("pos"): "last_pos"}, {COUNT("pos", distinct=True): "n"})
 
 
@@ -55,8 +53,6 @@ def _span(name):
        "(select row_number() over () - 1 as pos from lineitem)")
 def position_of_scan(ws):
     """Positions in file order need no shuffle and cover 0..n-1 once."""
-    from tabframe import COUNT, MAX, MIN
-
     placed = ws.lineitem.positions().select("__pos").withColumnRenamed("__pos", "pos")
     return ws.lineitem._of(placed).agg(({COUNT("*"): "n"}, {MIN("pos"): "low"}, {MAX("pos"): "high"},
                                         {COUNT("pos", distinct=True): "d"}))
@@ -94,6 +90,19 @@ def slice_last_row(ws):
     return by_price(ws)[-1]
 
 
+MONTHS = """(select row_number() over (order by y, m) - 1 as pos, n, top from
+    (select extract(year from o_orderdate) as y, extract(month from o_orderdate) as m, count(*) as n,
+     max(o_totalprice) as top from orders group by 1, 2))"""
+
+
+def monthly(ws):
+    """Number of orders and highest price per month: as many rows as there are months."""
+    dated = ws.orders.project(({EXTRACT("o_orderdate", F.OP.YEAR): "y"}, {EXTRACT("o_orderdate", F.OP.MONTH): "m"},
+                               "o_totalprice"))
+    rows = dated.agg(("y", "m", {COUNT("*"): "n"}, {MAX("o_totalprice"): "top"}), ("y", "m"))
+    return rows.order(["y", "m"], unique=True).project(("n", "top"))
+
+
 PICKS = (5, 3, 3, 1400, 0, -1)
 
 
@@ -104,11 +113,18 @@ def slice_list(ws):
     return by_key(ws)[list(PICKS), ["o_orderkey", 2]].positions().withColumnRenamed("__pos", "pos")
 
 
-@query(f"select {FOUR} from {RANKED} where pos % 3 = 0 and pos % 5 <> 0")
+@query(f"select {FOUR} from {RANKED} where pos < (select count(*) from orders where o_totalprice > 250000)")
 def slice_mask(ws):
-    orders = by_key(ws)
-    index = np.arange(orders.numRows)
-    return orders[(index % 3 == 0) & (index % 5 != 0)]
+    """A mask that is a frame itself: true for the dear orders, by falling price."""
+    mask = by_price(ws).project({Q("o_totalprice", 250000, CMP.GT): "dear"})
+    return by_key(ws)[mask]
+
+
+@query(f"select n, top from {MONTHS} where pos % 3 = 0")
+def slice_mask_array(ws):
+    """A mask that is an array, on the months of orders."""
+    months = monthly(ws)
+    return months[np.arange(months.numRows) % 3 == 0]
 
 
 @query(f"select o_totalprice, o_orderkey from {RANKED} where pos < 500")
