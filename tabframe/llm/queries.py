@@ -1,10 +1,12 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from tabframe.llm import exact_dedup, mixing
+from tabframe.llm import bpe, exact_dedup, mixing, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
