@@ -1,11 +1,13 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from tabframe.llm import bpe, exact_dedup, langid, mixing, quality, warc
+from tabframe.llm import bpe, embeddings, exact_dedup, langid, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_embeddings": embeddings.op6_embeddings,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
