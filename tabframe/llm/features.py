@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as sf
 
+from tabframe.llm.common import held_out, written
+
 #: Bytes looked at together in a long text.
 BLOCK = 1 << 22
 LOWER = np.arange(256, dtype=np.uint8)
@@ -52,6 +54,22 @@ def sampled(rows: DataFrame, label: str, per_label: int, key=("doc_id", "text"),
     return rows.where(chance < share) if counts else rows
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_label: int, unlabelled: int, most: int) -> DataFrame:
+    """Rows of ``docs`` with ``label``: a bounded sample of each of the labels 0 and 1 and of rows without (label -1), of
+    rows that aren't held out and whose texts have at most ``most`` bytes. An id with both labels counts as 1.
+
+    Ids alone are joined and sampled; about 2 * ``per_label`` + ``unlabelled`` of them are then looked up, which is
+    what is broadcast.
+    """
+    marks = labels.where(sf.col(column).isin(0, 1)).groupBy("doc_id").agg(sf.max(column).alias("label"))
+    ids = docs.where(~held_out() & (sf.octet_length("text") <= most)).select("doc_id").distinct()
+    ids = ids.join(marks, "doc_id", "left").withColumn("label", sf.coalesce("label", sf.lit(-1)))
+    chosen = sampled(ids.where("label >= 0"), "label", per_label, ("doc_id",))
+    if unlabelled:
+        chosen = chosen.union(sampled(ids.where("label < 0"), "label", unlabelled, ("doc_id",)))
+    return docs.where(sf.octet_length("text") <= most).join(sf.broadcast(written(chosen, "sample")), "doc_id")
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

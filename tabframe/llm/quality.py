@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as sf
 
 from tabframe.llm.common import Texts, held_out, pieces, table
-from tabframe.llm.features import IS_SPACE, Logistic, gram_counts, sampled, shares, sigmoid, word_bounds, word_hashes
+from tabframe.llm.features import IS_SPACE, Logistic, gram_counts, labelled_sample, shares, sigmoid, word_bounds, word_hashes
 
 #: Hashed byte n-grams of the view of the text.
 GRAMS = 512
@@ -123,10 +123,7 @@ class CoTrained:
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoTrained:
     """Learn from bounded samples of labelled rows that are not held out and of rows without a label."""
-    mine = labels.where(sf.col("quality").isin(0, 1)).groupBy("doc_id").agg(sf.max("quality").alias("label"))
-    rows = docs.where(~held_out() & (sf.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text", "source", "lang")
-    rows = rows.join(mine, "doc_id", "left").withColumn("label", sf.coalesce("label", sf.lit(-1)))
-    rows = sampled(rows.where("label >= 0"), "label", labelled).union(sampled(rows.where("label < 0"), "label", unlabelled))
+    rows = labelled_sample(docs.select("doc_id", "text", "source", "lang"), labels, "quality", labelled, unlabelled, SAMPLE_BYTES)
     found = rows.select("label", "text", "source", "lang").mapInArrow(
         _sample_views, "label int, text binary, meta binary").toPandas().sort_values(["label", "text", "meta"])
     # rows of both labels are mixed by their content, so that every third one is a fair third
