@@ -30,9 +30,16 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors. The shuffles that made it
+    are given up at once, not when the driver happens to collect its garbage."""
+    path, conf = fresh_folder(df.sparkSession, name), df.sparkSession.conf
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean)
+    conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
