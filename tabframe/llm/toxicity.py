@@ -21,10 +21,10 @@ WIDTH = WORD_WIDTH + GRAM_WIDTH + 2
 #: Bytes at the start of a word that are looked at as a whole, and buckets for them.
 HEADS, HEAD_BUCKETS = (4, 5, 6, 7, 8), 1 << 16
 #: Labelled documents of each label to learn from, about, and the bytes that such a text may have.
-SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
 #: Passes over the windows chosen for learning, windows in a step, and its size for weights and for
 #: the vectors of words and grams: small, so that these don't learn single texts by heart.
-PASSES, BATCH, RATE, LOOKUP_RATE = 6, 64, 0.01, 0.2
+PASSES, BATCH, RATE, LOOKUP_RATE = 4, 64, 0.01, 0.2
 THRESHOLD = 0.7
 #: Windows that are run together.
 TOGETHER = 4096
@@ -230,30 +230,37 @@ def summary(logits, doc, docs: int) -> np.ndarray:
     return out
 
 
-def odds(buckets, owner, labels, size: int) -> np.ndarray:
-    """Log-odds of label 1 for each bucket by the number of texts it is in, drawn to 0 where these are few."""
-    pairs = np.unique(np.stack([owner, buckets]), axis=1)
-    toxic = labels[pairs[0]] == 1
-    yes, no = np.bincount(pairs[1][toxic], minlength=size), np.bincount(pairs[1][~toxic], minlength=size)
+def odds(buckets, bounds, labels, size: int) -> np.ndarray:
+    """Log-odds of label 1 for each bucket by the number of texts it is in, drawn to 0 where these are few. Text i has
+    ``buckets[bounds[i]:bounds[i + 1]]``."""
+    counts = np.zeros((2, size))
+    for label, a, b in zip(labels, bounds[:-1], bounds[1:]):
+        counts[label, np.unique(buckets[a:b])] += 1
     share = (labels == 1).mean()
-    out = np.log((yes + 6 * share) / (no + 6 * (1 - share))) - np.log(share / (1 - share))
+    out = np.log((counts[1] + 6 * share) / (counts[0] + 6 * (1 - share))) - np.log(share / (1 - share))
     return np.clip(out, -3, 4)
 
 
+def compact(words: Words):
+    """All parts of ``words``, in small numbers."""
+    parts = [words.part(a, min(a + BLOCK, len(words.starts))) for a in range(0, max(1, len(words.starts)), BLOCK)]
+    return (np.concatenate([p[i].astype(kind) for p in parts]) for i, kind in enumerate((np.int32, np.uint16, np.uint16, np.int32)))
+
+
 def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5):
     """A network and what turns the windows of a text into its score. A quarter of the texts is for the latter."""
     rng = np.random.default_rng(seed)
     check = np.arange(len(labels)) % 4 == 3
     mine, ours = Words(texts.filter(pa.array(~check))), labels[~check]
     net = Network(seed)
-    words, heads, grams, lengths = mine.part(0, len(mine.starts))
-    owner = np.repeat(np.arange(mine.docs), np.diff(mine.first))
-    net.start(odds(words, owner, ours, WORDS), odds(grams, np.repeat(owner, lengths), ours, GRAMS),
-              odds(heads.ravel(), np.repeat(owner, len(HEADS)), ours, HEAD_BUCKETS))
-    first, count, doc = mine.windows()
-    index, mask = placed(first, count, len(words))
+    words, heads, grams, lengths = compact(mine)
     gram_at = np.concatenate([[0], np.cumsum(lengths)])
-    lead = np.append(net.word[words, 0] + net.head[heads].max(1), -9)[index].max(1)
+    net.start(odds(words, mine.first, ours, WORDS), odds(grams, gram_at[mine.first], ours, GRAMS),
+              odds(heads, mine.first, ours, HEAD_BUCKETS))
+    first, count, doc = mine.windows()
+    hint = np.append(net.word[words, 0] + net.head[heads].max(1), -9)
+    lead = np.concatenate([np.zeros(0), *(hint[placed(first[i : i + BATCH], count[i : i + BATCH], len(words))[0]].max(1)
+                                          for i in range(0, len(first), BATCH))])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.weights.items()}
     turn = 0
     for step in range(PASSES):
@@ -270,12 +277,12 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5):
         rng.shuffle(rows)
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
-            used, where = np.unique(index[some], return_inverse=True)
+            index, mask = placed(first[some], count[some], len(words))
+            used, where = np.unique(index, return_inverse=True)
             real = used[used < len(words)]
             own = np.concatenate([grams[gram_at[i] : gram_at[i + 1]] for i in real]) if len(real) else grams[:0]
             x = net.inputs(words[real], heads[real], own, lengths[real])
-            where = where.reshape(index[some].shape)
-            slopes, dx = net.gradients(x, where, mask[some], ours[doc[some]])
+            slopes, dx = net.gradients(x, where.reshape(index.shape), mask, ours[doc[some]])
             turn += 1
             for k, slope in slopes.items():
                 m, v = moments[k]
