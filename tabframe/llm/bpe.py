@@ -16,7 +16,7 @@ from tabframe.llm.common import pieces, table
 #: Fixed value of byte-level vocabularies: what counts as one word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Characters of a long text that are handled at once.
 STRETCH = 1 << 20
 NEVER = 1 << 60
@@ -76,12 +76,14 @@ class Vocabulary:
             letters_of[i] = word.encode()
         self.bytes_of = Ragged([np.frombuffer(b, np.uint8) for b in letters_of], np.uint8)
         self.decimal = Ragged([np.frombuffer(b"%d," % i, np.uint8) for i in range(size)], np.uint8)
-        #: for each last byte, the lengths of the tokens that end in it, longest first
-        self.ending = [[] for _ in range(256)]
-        for last, length in {(word[-1], len(word)) for word in self.ids}:
-            self.ending[last].append(length)
-        for lengths in self.ending:
-            lengths.sort(reverse=True)
+        #: for up to three last bytes, the lengths of the tokens that can end there, longest first
+        self.ending = {}
+        for word in self.ids:
+            for n in range(1, min(3, len(word)) + 1):
+                self.ending.setdefault(word[-n:], set()).add(len(word))
+        for end in sorted(self.ending, key=len):
+            self.ending[end] |= {n for n in self.ending.get(end[1:], ()) if n < len(end)}
+        self.ending = {end: sorted(lengths, reverse=True) for end, lengths in self.ending.items()}
         self.edges, self.fits = {}, {}
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -122,7 +124,10 @@ class Vocabulary:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(word) + 1):
-                for length in ending[word[end - 1]]:
+                tail = word[max(0, end - 3) : end]
+                while tail not in ending:
+                    tail = tail[1:]
+                for length in ending[tail]:
                     if length > end:
                         continue
                     token = ids.get(word[end - length : end])

@@ -91,6 +91,13 @@ def exact_copies(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
         "text_sha256", sf.col("points").alias("n_code_points"))
 
 
+def unique(docs: DataFrame) -> DataFrame:
+    """The documents that stay, one of equal texts, with the columns of ``docs``."""
+    keep = exact_copies(docs).where("kept").select(sf.col("doc_id").alias("stays"), sf.col("text_sha256").alias("sha")).distinct()
+    own = [sf.col("doc_id").cast("long").eqNullSafe(sf.col("stays")), sf.sha2(normalised(sf.col("text")), 256) == sf.col("sha")]
+    return docs.join(keep, own, "left_semi")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_copies(table(spark, sf_dir, "documents"))
 

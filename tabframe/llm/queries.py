@@ -1,10 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from tabframe.llm import bpe, embeddings, exact_dedup, langid, mixing, quality, substrings, toxicity, warc
+from tabframe.llm import bpe, embeddings, exact_dedup, jaccard, langid, mixing, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_embeddings": embeddings.op6_embeddings,

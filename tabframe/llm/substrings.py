@@ -13,7 +13,7 @@ from tabframe.llm.common import Texts, pieces, table, tasks, written
 from tabframe.llm.features import mixed
 
 #: Bytes of a string that must not occur again, and of the grams whose rolling hashes trigger phrases.
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 48
 #: Starts of strings in a phrase at most; bytes that are parsed together; phrases that a task merges at once.
 LONGEST, STRETCH, MERGED = 63, 1 << 21, 1 << 20
 #: Different phrases of one trigger that a task sends on; a trigger with more is hot.
