@@ -13,9 +13,9 @@ from tabframe.llm.features import IS_SPACE, LOWER, mixed, word_bounds, word_hash
 #: Words of a shingle; a link needs 100 * common >= PERCENT * all.
 SHINGLE, PERCENT = 5, 75
 #: How far prefixes may be lengthened, in shares of a set: each step asks for as many more common shingles.
-STEPS = (0.0, 0.05, 0.15, 0.35, 0.75)
+STEPS = (0.05, 0.1, 0.2, 0.4, 0.75)
 #: Sets in which a task has a shingle, from which on the shingle counts as frequent there; and from which on it is hot.
-FREQUENT, HOT = 3, 64
+FREQUENT, HOT = 2, 64
 #: Entries that a task merges at once.
 MERGED = 1 << 21
 #: Bytes of text whose entries go to a bucket, about.
@@ -92,9 +92,9 @@ def adapted(token, count):
     """The prefix of each set: its length and need. ``token`` are the sets' shingles in order, ``count`` of each.
 
     The cost of a prefix is judged by how many of its shingles are frequent among the sets at hand. A set none of whose
-    shingles is frequent keeps the plain prefix; others take the first step at which the frequent ones are too few for
-    what is needed, so that they cost nothing; where there is none, the set is likely a near copy and a middle step
-    tells it from others.
+    shingles is frequent keeps the shortest prefix; others take the first step at which the frequent ones are too few for
+    what is needed, so that they cost nothing; where there is none, the set is likely a near copy, and the
+    second step does.
     """
     names, where, often = np.unique(token, return_inverse=True, return_counts=True)
     frequent = np.concatenate([[0], np.cumsum(often[where] >= FREQUENT)])
@@ -102,7 +102,7 @@ def adapted(token, count):
     length, need = lengths(count, 0)
     seen = frequent[start + length] - frequent[start]
     open_ = seen > 0
-    middle = lengths(count, 2)
+    middle = lengths(count, 1)
     length, need = np.where(open_, middle[0], length), np.where(open_, middle[1], need)
     for step in range(1, len(STEPS)):
         longer, more = lengths(count, step)
@@ -254,7 +254,10 @@ def _members(batches):
         for piece in pieces(batch, "text", 1 << 21):
             token, count = shingles(Texts(piece.column("text")))
             ends = np.cumsum(count)
-            yield pa.RecordBatch.from_pydict({"set": piece.column("set"), "tokens": [token[b - n : b].tobytes() for n, b in zip(count, ends)]})
+            # of rows with one id, those whose text has the set
+            own = np.flatnonzero(set_ids(token, count) == np.asarray(piece.column("set"), np.int64))
+            yield pa.RecordBatch.from_pydict({
+                "set": piece.column("set").take(pa.array(own)), "tokens": pa.array([token[ends[i] - count[i] : ends[i]].tobytes() for i in own], pa.binary())})
 
 
 def _verified(pairs: pa.Table, hubs: pa.Table) -> pa.Table:
@@ -272,8 +275,16 @@ def _verified(pairs: pa.Table, hubs: pa.Table) -> pa.Table:
     return pa.table({"x": found.column("x"), "y": found.column("y")})
 
 
-def _links(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) that are links; each set's shingles go to its pairs, a hub's once for a salted group."""
+def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of the pairs (x, y) that are links. The shingles of a set are taken from one document that has it; each set's
+    go to its pairs, a hub's once to each salted part of them."""
+    if pairs.isEmpty():
+        return pairs
+    named = pairs.select(sf.col("x").alias("set")).union(pairs.select("y")).distinct()
+    lead = ids.join(named, "set").groupBy("set").agg(sf.min("doc_id").alias("lead"))
+    # a set that only rows without id have is looked up among these
+    texts = docs.join(lead, sf.col("doc_id").eqNullSafe(sf.col("lead")))
+    members = written(texts.select("set", "text").mapInArrow(_members, "set long, tokens binary"), "members")
     salted = pairs.withColumn("salt", sf.pmod(sf.xxhash64("y"), sf.lit(16)))
     left = salted.join(members.select(sf.col("set").alias("y"), sf.col("tokens").alias("theirs")), "y")
     hubs = salted.select(sf.col("x").alias("hub"), sf.col("salt").alias("part")).distinct().join(
@@ -289,11 +300,7 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     dealt = docs.select(text).mapInArrow(_index(buckets), ROWS).groupBy("bucket").applyInArrow(_own(buckets), ROWS)
     index = written(dealt.groupBy("bucket").applyInArrow(
         _picked, "token long, set long, size long, need long, left long, common double"), "index")
-    # the texts of the sets still open, one for each
-    open_ = index.select("set").distinct()
-    lead = ids.join(open_, "set").groupBy("set").agg(sf.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", text).join(lead, "doc_id").dropDuplicates(["set"])
-    members = written(texts.select("set", "text").mapInArrow(_members, "set long, tokens binary"), "members")
+    docs = docs.select("doc_id", text)
     strong = index.where("left >= need")
     fits = (sf.col("need") <= sf.col("left2")) & (sf.col("need") <= sf.col("need2")) & (
         100 * sf.least("size", "size2") >= PERCENT * sf.greatest("size", "size2"))
@@ -304,7 +311,7 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
         "token", sf.col("hub.set").alias("x"), sf.col("hub.size").alias("size"), sf.col("hub.need").alias("need"))
     fits_hub = (sf.least("need", "need2") <= sf.col("left2")) & (100 * sf.least("size", "size2") >= PERCENT * sf.greatest("size", "size2"))
     tried = written(hubs.join(other, "token").where(fits_hub & (sf.col("x") != sf.col("y"))).select("x", "y").distinct(), "pairs")
-    links = _links(tried, members)
+    links = _links(tried, docs, ids)
     # then what shares a shingle and isn't joined yet
     known = components(links, "x", "y")
     named = lambda df, c, to: df.join(known.withColumnRenamed("node", c), c, "left").withColumn(
@@ -314,7 +321,7 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     apart = theirs.groupBy("token").agg((sf.min("group2") != sf.max("group2")).alias("apart")).where("apart").select("token")
     rest = mine.join(apart, "token").join(theirs, "token").where(fits & (sf.col("group") != sf.col("group2")))
     rest = rest.select(*ordered).distinct().join(tried.select(*ordered).distinct(), ["x", "y"], "left_anti")
-    return links.union(_links(written(rest, "pairs"), members))
+    return links.union(_links(written(rest, "pairs"), docs, ids))
 
 
 def similar(docs: DataFrame) -> DataFrame:

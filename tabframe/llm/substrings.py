@@ -15,7 +15,7 @@ from tabframe.llm.features import mixed
 #: Bytes of a string that must not occur again, and of the grams whose rolling hashes trigger phrases.
 LENGTH, GRAM = 100, 48
 #: Starts of strings in a phrase at most; bytes that are parsed together; phrases that a task merges at once.
-LONGEST, STRETCH, MERGED = 63, 1 << 21, 1 << 20
+LONGEST, STRETCH, MERGED = 63, 1 << 19, 1 << 18
 #: Different phrases of one trigger that a task sends on; a trigger with more is hot.
 DISTINCT = 4
 #: Text bytes in a bucket of documents or of phrases, about.
@@ -145,7 +145,8 @@ def _dealt(rows, buckets, kind, base=0):
 
 
 def _slot(hashes, buckets: int):
-    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """Buckets of hashes; triggers are least ones, so they are mixed again to spread."""
+    return (((mixed(hashes ^ np.uint64(ROOT)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _merged(trigger, own, doc, at):
@@ -260,8 +261,9 @@ def _cut(buckets: int):
         for doc, part in zip(docs.tolist(), np.split(rows, at[1:])):
             data = np.frombuffer(text[doc].as_py() or b"", np.uint8)
             hot = part[part["hot"] > 0]
-            for row in part[part["hot"] == 0]:
-                cold.setdefault(int(_slot(row["trigger"], buckets)), []).append(
+            own = part[part["hot"] == 0]
+            for row, slot in zip(own, _slot(own["trigger"], buckets).tolist()):
+                cold.setdefault(slot, []).append(
                     (row, data[row["at"] : int(row["at"]) + int(row["count"]) + LENGTH - 1].tobytes()))
             if len(hot):
                 count = hot["count"].astype(np.int64)
@@ -276,6 +278,7 @@ def _cut(buckets: int):
             hashes, doc, place, of = hashes[order], doc[order], place[order], of[order]
             new = np.ones(len(order), bool)
             new[1:] = hashes[1:] != hashes[:-1]
+            slots = _slot(hashes, buckets)
             bytes_of = lambda k: windows[of[k]][3][place[k] : place[k] + LENGTH].tobytes()
             start = 0
             later = []
@@ -287,7 +290,7 @@ def _cut(buckets: int):
                     later.append(k)
                 else:
                     row = _opened(hashes[k : k + 1], doc[k : k + 1], place[k : k + 1], 1, 1)[0]
-                    cold.setdefault(int(_slot(hashes[k], buckets)), []).append((row, bytes_of(k)))
+                    cold.setdefault(int(slots[k]), []).append((row, bytes_of(k)))
             if later:
                 later = np.array(later)[np.lexsort((place[later], doc[later]))]
                 spans = joined(doc[later], place[later])
