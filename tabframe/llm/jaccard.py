@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as sf
 
 from tabframe.llm.common import Texts, components, pieces, table, tasks, written
+from tabframe.llm.embeddings import forest
 from tabframe.llm.features import IS_SPACE, LOWER, mixed, word_bounds, word_hashes
 
 #: Words of a shingle; a link needs 100 * common >= PERCENT * all.
@@ -20,6 +21,8 @@ FREQUENT, HOT = 2, 64
 MERGED = 1 << 21
 #: Bytes of text whose entries go to a bucket, about.
 BUCKET_BYTES = 4 << 20
+#: Sets that picked a shingle, from which on they are a crowd; sets in a tile of one; shingles that are counted together.
+CROWD, TILE, COLUMNS = 16, 512, 4096
 OFTEN = (1 << 31) - 1
 #: An entry: a shingle (the part its bucket doesn't tell), a set, its size and how many shingles it must share.
 ENTRY = np.dtype([("low", "<u4"), ("set", "<i8"), ("size", "<u4"), ("need", "<u4"), ("hot", "u1")])
@@ -160,7 +163,8 @@ def _index(buckets: int):
         start = np.cumsum(own) - own
         at = np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
         token, sets, size, need = token[at], np.repeat(sets, length), np.repeat(own, length), np.repeat(need, length)
-        # a shingle goes by its owner and part of its hash
+        # a shingle goes by its owner and part of its hash, mixed again because prefixes have the least hashes
+        token = mixed(token ^ BASE)
         slot = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         token = (slot << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
         order = np.lexsort((sets, token))
@@ -237,7 +241,7 @@ def _picked(part: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     left = common[group] - (np.arange(len(rows)) - first[group]) if len(rows) else np.zeros(0, np.int64)
     keep = left >= np.minimum(rows["need"], rows["other"])
-    rows, left, share = rows[keep], left[keep], (common[group] / rows["size"])[keep]
+    rows, left, share = rows[keep], left[keep], (common[group] / (rows["size"] - required(rows["size"].astype(np.int64)) + rows["need"]))[keep]
     return pa.table({"token": pa.array(rows["token"]), "set": pa.array(rows["set"]), "size": pa.array(rows["size"].astype(np.int64)),
                      "need": pa.array(rows["need"].astype(np.int64)), "left": pa.array(left.astype(np.int64)), "common": pa.array(share)})
 
@@ -276,15 +280,11 @@ def _verified(pairs: pa.Table, hubs: pa.Table) -> pa.Table:
 
 
 def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) that are links. The shingles of a set are taken from one document that has it; each set's
-    go to its pairs, a hub's once to each salted part of them."""
+    """Those of the pairs (x, y) that are links: each set's shingles go to its pairs, a hub's once to each salted part."""
     if pairs.isEmpty():
         return pairs
     named = pairs.select(sf.col("x").alias("set")).union(pairs.select("y")).distinct()
-    lead = ids.join(named, "set").groupBy("set").agg(sf.min("doc_id").alias("lead"))
-    # a set that only rows without id have is looked up among these
-    texts = docs.join(lead, sf.col("doc_id").eqNullSafe(sf.col("lead")))
-    members = written(texts.select("set", "text").mapInArrow(_members, "set long, tokens binary"), "members")
+    members = _shingles_of(named, docs, ids)
     salted = pairs.withColumn("salt", sf.pmod(sf.xxhash64("y"), sf.lit(16)))
     left = salted.join(members.select(sf.col("set").alias("y"), sf.col("tokens").alias("theirs")), "y")
     hubs = salted.select(sf.col("x").alias("hub"), sf.col("salt").alias("part")).distinct().join(
@@ -292,6 +292,55 @@ def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(left.groupBy("x", "salt").cogroup(hubs.groupBy("hub", "part")).applyInArrow(_verified, "x long, y long"), "links")
 
 
+def _crowds(strong: DataFrame) -> DataFrame:
+    """set, crowds: up to eight shingles of each set that at least CROWD sets have picked, the most frequent ones."""
+    often = strong.groupBy("token").agg(sf.count("*").alias("n")).where(sf.col("n") >= CROWD)
+    rank = Window.partitionBy("set").orderBy(sf.desc("n"), "token")
+    return written(strong.join(often, "token").select("set", "token", "n", sf.row_number().over(rank).alias("place")).where(
+        "place <= 8").groupBy("set").agg(sf.collect_list(sf.struct("token", "n")).alias("crowds")), "crowds")
+
+
+def _block(part: pa.Table) -> pa.Table:
+    """Two tiles of a crowd: links among all their sets, as a forest. Common shingles are counted by products of 0/1
+    matrices, some thousand shingles at a time."""
+    token = [np.frombuffer(t.as_py(), np.uint64) for t in part.column("tokens")]
+    sets, size = np.asarray(part.column("set")), np.array([len(t) for t in token])
+    flat, row = np.concatenate(token), np.repeat(np.arange(len(token)), size)
+    names, column = np.unique(flat, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(token), len(token)), np.float32)
+    for at in range(0, len(names), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        some = np.zeros((len(token), min(COLUMNS, len(names) - at)), np.float32)
+        some[row[a:b], column[a:b] - at] = 1
+        common += some @ some.T
+    i, j = np.nonzero(100.0 * common >= PERCENT * (size[:, None] + size[None] - common.astype(np.float64)))
+    root = forest(i, j, len(token))
+    far = np.flatnonzero(root != np.arange(len(token)))
+    return pa.table({"x": pa.array(sets[root[far]]), "y": pa.array(sets[far])})
+
+
+def _crowd_links(crowds: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links within crowds: tiles of each are compared in pairs inside tasks, which return forests."""
+    members = _shingles_of(crowds.select("set"), docs, ids)
+    placed = crowds.select("set", sf.explode("crowds").alias("c")).select(
+        "set", sf.col("c.token").alias("token"), sf.ceil(sf.col("c.n") / TILE).cast("int").alias("tiles")).withColumn(
+        "tile", sf.pmod(sf.xxhash64("set"), sf.col("tiles")).cast("int"))
+    other = sf.explode(sf.sequence(sf.lit(0), sf.col("tiles") - 1)).alias("other")
+    met = placed.select("set", "token", "tile", other).select(
+        "set", "token", sf.least("tile", "other").alias("a"), sf.greatest("tile", "other").alias("b"))
+    return written(met.join(members, "set").groupBy("token", "a", "b").applyInArrow(_block, "x long, y long"), "links")
+
+
+def _shingles_of(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """set, tokens: the shingles of each set, taken from one document that has it."""
+    lead = ids.join(sets, "set", "left_semi").groupBy("set").agg(sf.min("doc_id").alias("lead"))
+    # a set that only rows without id have is looked up among these
+    texts = docs.join(lead, sf.col("doc_id").eqNullSafe(sf.col("lead")))
+    return written(texts.select("set", "text").mapInArrow(_members, "set long, tokens binary"), "members")
+
+
 def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Links (x, y) between sets: enough of them to join all that are linked, each with at least the wanted similarity."""
     text = sf.encode(sf.coalesce("text", sf.lit("")), "utf-8").alias("text")
@@ -312,14 +361,24 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     fits_hub = (sf.least("need", "need2") <= sf.col("left2")) & (100 * sf.least("size", "size2") >= PERCENT * sf.greatest("size", "size2"))
     tried = written(hubs.join(other, "token").where(fits_hub & (sf.col("x") != sf.col("y"))).select("x", "y").distinct(), "pairs")
     links = _links(tried, docs, ids)
-    # then what shares a shingle and isn't joined yet
+    # then all pairs in crowds that picked a shingle, inside tasks
+    crowds = _crowds(strong)
+    if not crowds.isEmpty():
+        links = links.union(_crowd_links(crowds, docs, ids))
+    # then what shares a shingle, isn't joined yet and was in no crowd together
     known = components(links, "x", "y")
-    named = lambda df, c, to: df.join(known.withColumnRenamed("node", c), c, "left").withColumn(
-        to, sf.coalesce("component", c)).drop("component")
-    mine = named(strong.withColumnRenamed("set", "x"), "x", "group").select("token", "x", "size", "need", "group")
-    theirs = named(other, "y", "group2")
+    in_crowds = crowds.select("set", sf.col("crowds.token").alias("in"))
+
+    def named(df, c, group, crowd):
+        df = df.join(known.select(sf.col("node").alias(c), "component"), c, "left")
+        df = df.join(in_crowds.select(sf.col("set").alias(c), sf.col("in").alias(crowd)), c, "left")
+        return df.withColumn(group, sf.coalesce("component", c)).drop("component")
+
+    mine = named(strong.withColumnRenamed("set", "x"), "x", "group", "in").select("token", "x", "size", "need", "group", "in")
+    theirs = named(other, "y", "group2", "in2")
     apart = theirs.groupBy("token").agg((sf.min("group2") != sf.max("group2")).alias("apart")).where("apart").select("token")
-    rest = mine.join(apart, "token").join(theirs, "token").where(fits & (sf.col("group") != sf.col("group2")))
+    together = sf.coalesce(sf.arrays_overlap("in", "in2"), sf.lit(False))
+    rest = mine.join(apart, "token").join(theirs, "token").where(fits & (sf.col("group") != sf.col("group2")) & ~together)
     rest = rest.select(*ordered).distinct().join(tried.select(*ordered).distinct(), ["x", "y"], "left_anti")
     return links.union(_links(written(rest, "pairs"), docs, ids))
 
