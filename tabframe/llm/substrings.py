@@ -421,7 +421,7 @@ def _spread(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The documents by key, the stretches to be removed, and the number of buckets."""
     keyed = _keyed(docs)
     size = keyed.agg(sf.sum(sf.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * tasks(docs), size // BUCKET_BYTES)
+    buckets = max(tasks(docs), size // BUCKET_BYTES)
     texts = keyed.withColumn("bucket", sf.pmod("key", sf.lit(buckets)))
     parsed_ = keyed.select("key", "text").mapInArrow(_parse(buckets, buckets), ROWS)
     settled = written(parsed_.groupBy("bucket").applyInArrow(_own(buckets), ROWS), "phrases")
