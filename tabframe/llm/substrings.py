@@ -345,6 +345,9 @@ def _compare(docs: int):
             again[:-1] |= equal
             some = order[again]
             some = some[np.lexsort((at[some], doc[some]))]  # corpus order, which a stable order keeps among equals
+            once = np.ones(len(some), bool)  # a phrase may have come twice
+            once[1:] = (doc[some][1:] != doc[some][:-1]) | (at[some][1:] != at[some][:-1])
+            some = some[once]
             order, same = suffix_order(data, place[some])
             later = some[order[same]]
             later = later[np.lexsort((at[later], doc[later]))]

@@ -49,7 +49,7 @@ def test_repeats(docs, rows, small, monkeypatch):
 
 
 def test_repeats_of_odd_ids(spark):
-    long = "".join(random.Random(1).choice("abcdef ") for _ in range(150))
+    long = "".join(random.Random(1).choices("abcdef ", k=150))
     data = [(5, long), (5, long), (None, long), (2, "x" + long), (7, None)]
     out = got(substrings.repeats(spark.createDataFrame(data, "doc_id long, text string")))
     assert [(r[0], r[2]) for r in out] == [(2, 0), (5, 150), (5, 150), (7, 0), (None, 150)]
