@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as st
 
 from tabframe.llm.common import pieces, table
 
@@ -259,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = _shared(docs.sparkSession, path)
     names = [c for c in docs.columns if c != "ids"]
     kept = docs.select(*names)
-    schema = kept.schema.add("ids", "array<int>")
+    schema = kept.schema.add("ids", st.ArrayType(st.IntegerType()))
     return kept.mapInArrow(lambda batches: _encoded(Vocabulary(shared.value), batches, "text", names), schema)
 
 
