@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = _shared(docs.sparkSession, path)
     names = [c for c in docs.columns if c != "ids"]
     kept = docs.select(*names)
-    schema = kept.schema.add("ids", st.ArrayType(st.IntegerType()))
+    schema = st.StructType([*kept.schema.fields, st.StructField("ids", st.ArrayType(st.IntegerType()))])
     return kept.mapInArrow(lambda batches: _encoded(Vocabulary(shared.value), batches, "text", names), schema)
 
 
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     name is replaced; ids must not be null."""
     shared = _shared(encoded.sparkSession, path)
     kept = encoded.select(*(c for c in encoded.columns if c != "decoded"))
-    schema = kept.schema.add("decoded", "string")
+    schema = st.StructType([*kept.schema.fields, st.StructField("decoded", st.StringType())])
     return kept.mapInArrow(lambda batches: _decoded(Vocabulary(shared.value), batches), schema)
 
 

@@ -71,8 +71,10 @@ def tiled(vectors: DataFrame, size: int = TILE) -> tuple[DataFrame, Axes]:
     chance = sf.pmod(sf.xxhash64("vec_id", "e"), sf.lit(1 << 20)) < int(min(1, SAMPLE / max(1, total)) * (1 << 20)) + 1
     sample = rows.where((sf.size("e") == main) & chance).select("e").toPandas()["e"]
     x = np.array(sorted(map(tuple, sample)), np.float64).reshape(len(sample), main)
-    x = x / np.abs(x).max(1, keepdims=True)
-    axes = Axes(x / np.linalg.norm(x, axis=1, keepdims=True), -(-total // size))
+    if x.size:
+        x = x / np.abs(x).max(1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    axes = Axes(x, -(-total // size))
     shared = spark.sparkContext.broadcast(axes)  # of fixed size but for the cuts, one per tile
 
     def place(batches):
