@@ -26,13 +26,14 @@ def tail(frame, n=5):
 
 
 def describe(frame):
-    """Print the metrics of every column."""
-    print(frame.describe().df.toPandas())
+    """Print the metrics of every column, numbers with two decimals."""
+    print(frame.describe().df.toPandas().to_string(float_format="{:.2f}".format, na_rep=""))
 
 
 def tables(workspace):
     """Print the stored tables."""
-    workspace._tables().show(1000, truncate=False)
+    names = workspace._tables()
+    names.show(max(1, names.count()), truncate=False)
 
 
 __all__ = [

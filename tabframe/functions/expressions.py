@@ -67,6 +67,12 @@ _ARITHMETIC = {
     ARITH.DIVIDE: operator.truediv,
 }
 
+
+def _verbatim(pattern: Column) -> Column:
+    """A LIKE pattern in which a backslash is a character like others."""
+    return sf.replace(pattern, sf.lit("\\"), sf.lit("\\\\"))
+
+
 _BINARY = {
     **_ARITHMETIC,
     CMP.EQ: operator.eq,
@@ -77,8 +83,8 @@ _BINARY = {
     CMP.LTE: operator.le,
     CMP.AND: operator.and_,
     CMP.OR: operator.or_,
-    CMP.LIKE: lambda text, pattern: sf.like(text, pattern),
-    CMP.NOTLIKE: lambda text, pattern: ~sf.like(text, pattern),
+    CMP.LIKE: lambda text, pattern: sf.like(text, _verbatim(pattern)),
+    CMP.NOTLIKE: lambda text, pattern: ~sf.like(text, _verbatim(pattern)),
 }
 
 _UNARY = {

@@ -146,12 +146,18 @@ class Frame(Relational, Positional, Algebra, Statistics, UserFunctions):
         return {name: data[name].to_numpy() for name in data}
 
     def head(self, n=5):
-        """The first ``n`` rows as pandas."""
-        return self.top(n).df.toPandas()
+        """The first ``n`` rows as pandas; refuses more than ``fetchRows``, see ``top``."""
+        return self.top(self._fetchable(n)).df.toPandas()
 
     def tail(self, n=5):
-        """The last ``n`` rows as pandas."""
-        return self.bottom(n).df.toPandas()
+        """The last ``n`` rows as pandas, with the same bound; see ``bottom``."""
+        return self.bottom(self._fetchable(n)).df.toPandas()
+
+    def _fetchable(self, n: int) -> int:
+        limit = setting(self.spark, "fetchRows")
+        if n > limit:
+            raise ValueError(f"more than {limit} rows; take them as a frame or raise fetchRows")
+        return n
 
     def __repr__(self):
         return f"Frame[{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in self.schema)}]"

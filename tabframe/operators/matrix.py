@@ -15,7 +15,6 @@ import functools
 import operator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as sf
@@ -185,8 +184,7 @@ def _project_product(left, matrix: np.ndarray, names: list[str]):
     if matrix.size <= setting(left.spark, "literalCells"):
         products = [_dot(cells, matrix[:, j]) for j in range(matrix.shape[1])]
     else:
-        dense = np.array(matrix, dtype="float64")
-        result = _batch_product(dense)(sf.array(*cells))
+        result = _batch_product(np.array(matrix, dtype=object))(sf.array(*cells))
         products = [sf.get(result, sf.lit(j)) for j in range(matrix.shape[1])]
     return left._derive(left.rowset, dict(zip(names, products)))
 
@@ -197,10 +195,17 @@ def _dot(cells: list[Column], weights) -> Column:
 
 
 def _batch_product(matrix: np.ndarray):
-    @sf.pandas_udf("array<double>")
-    def product(rows: pd.Series) -> pd.Series:
-        out = np.array(rows.tolist(), dtype="float64") @ matrix
-        return pd.Series([[None if np.isnan(x) else x for x in row] for row in out])
+    """Rows of arrays times ``matrix``; as in ``_dot`` a product with NULL is NULL, and NaN stays NaN."""
+    unknown = np.equal(matrix, None).astype(bool)
+    weights, null_columns = np.where(unknown, 0.0, matrix).astype("float64"), unknown.any(axis=0)
+
+    @sf.arrow_udf("array<double>")
+    def product(rows: pa.Array) -> pa.Array:
+        values, missing = _dense(rows)
+        out = values @ weights
+        null = missing.any(axis=1)[:, None] | null_columns
+        offsets = np.arange(len(rows) + 1, dtype="int32") * weights.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel(), mask=null.ravel()))
 
     return product
 
@@ -221,30 +226,47 @@ def _tall_product(x, y, names: list[str]):
         wide = rowset.df.agg(*sums).select(sf.inline(sf.array(*line)))
     else:
         vectors = rowset.df.select(sf.array(*xs).alias("x"), *([] if same else [sf.array(*ys).alias("y")]))
-        cells = vectors.mapInArrow(_partial_products, _LONG).groupBy("i", "j").agg(sf.sum("v").alias("v"))
+        sums = vectors.mapInArrow(_partial_products, _LONG + ", n bigint").groupBy("i", "j").agg(
+            sf.when(sf.sum("n") > 0, sf.sum("v")).alias("v"))
+        every = x.spark.range(len(xs)).select(sf.col("id").alias("i"))  # also where there are no rows
+        cells = every.join(sums, "i", "left")
         pick = [sf.max(sf.when(sf.col("j") == j, sf.col("v"))).alias(n) for j, n in enumerate(names)]
         wide = cells.groupBy(sf.col("i").alias(POS)).agg(*pick)
     return x._of(wide, rows=len(xs))
 
 
-def _dense(column: pa.ListArray) -> np.ndarray:
-    """Equal-length lists of one batch as a 2-D array, NULL cells as zero."""
-    flat = column.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def _dense(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal-length lists of one batch as a 2-D array, NULL cells as zero, and which cells are NULL."""
+    flat = column.flatten()
+    values = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return values, flat.is_null().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _batch_sums(x, no_x, y, no_y):
+    """Sums of products over the rows of a batch, and how many products there are: those without NULL."""
+    if not (no_x.any() or no_y.any()):
+        return x.T @ y, np.full((x.shape[1], y.shape[1]), float(len(x)))
+    n = (~no_x).T.astype("float64") @ (~no_y).astype("float64")
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        # zeros cannot stand for NULL beside infinities
+        rows = [np.where(no_x[:, [i]] | no_y, 0.0, x[:, [i]] * y).sum(axis=0) for i in range(x.shape[1])]
+        return np.array(rows), n
+    return x.T @ y, n
 
 
 def _partial_products(batches):
     """One k x m partial sum per task, however many rows the task reads."""
-    total = None
+    total = count = None
     for batch in batches:
         if batch.num_rows:
             x = _dense(batch.column(0))
-            part = x.T @ (_dense(batch.column(1)) if batch.num_columns > 1 else x)
-            total = part if total is None else total + part
+            part, n = _batch_sums(*x, *(_dense(batch.column(1)) if batch.num_columns > 1 else x))
+            total, count = (part, n) if total is None else (total + part, count + n)
     if total is not None:
         i, j = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "v"])
+            [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel()), pa.array(count.ravel().astype("int64"))],
+            names=["i", "j", "v", "n"])
 
 
 def multiply_long(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -148,17 +148,20 @@ class Relational:
         """The first ``n`` rows as a frame; any ``n`` rows if there is no order."""
         ordered = self.rowset.keys or self.rowset.positional
         if ordered and self._is_long(n):
-            return self[:n]
+            return self._in_order(self[:n])
         rows = self.rowset.sorted() if ordered else self.rowset.df
         return self._derive(self.rowset.with_rows(rows.limit(n)), self.cells, ordered=self.ordered)
 
     def bottom(self, n=5):
         """The last ``n`` rows as a frame, in order."""
         if self._is_long(n):
-            return self[-n:]
+            return self._in_order(self[-n:])
         last = self.rowset.sorted(backwards=True).limit(n)
         return self._derive(self.rowset.with_rows(last), self.cells, ordered=True)
 
+    def _in_order(self, part):
+        return self._derive(part.rowset, part.cells, ordered=True)
+
     def _is_long(self, n):
         """Too many rows for the one task that merges a top-n; positions have no such task."""
         return n > setting(self.spark, "topRows")

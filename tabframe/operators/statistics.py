@@ -11,9 +11,8 @@ from tabframe.plans.position import POS
 from tabframe.plans.quantiles import exact_quantiles
 from tabframe.plans.settings import setting
 
-# The metrics of describe, in order, and the width of a value.
+# The metrics of describe, in order.
 METRICS = ["count", "unique", "nulls", "max", "min", "avg", "median", "25%", "50%", "75%", "stddev"]
-WIDTH = 20
 _POINTS = {"median": 0.5, "25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
@@ -73,7 +72,8 @@ class Statistics:
         return exact_quantiles(self.rowset.df, cells, list(points))
 
     def describe(self):
-        """Eleven metrics by row, the columns by column, as right-aligned text."""
+        """Eleven metrics by row, the columns by column: doubles for numeric columns, whole text for others, NULL where a
+        metric has no meaning."""
         numbers = [f.name for f in self.schema if isinstance(f.dataType, st.NumericType)]
         large = self.numRows > setting(self.spark, "exactQuantileRows")
         points = self.quantiles(sorted(set(_POINTS.values())), numbers) if large and numbers else None
@@ -83,8 +83,8 @@ class Statistics:
                 measured.append(column.alias(f"{metric}_{c}"))
         for position, metric in enumerate(METRICS):
             values = [
-                _text(f"{metric}_{c}", n in numbers or position < 3).alias(n)
-                if n in numbers or position < 5 else sf.lit(" " * WIDTH).alias(n)
+                (sf.col(f"{metric}_{c}") if n in numbers or position < 5 else sf.lit(None)).cast(
+                    "double" if n in numbers else "string").alias(n)
                 for c, n in enumerate(self.cells)
             ]
             lines.append(sf.struct(sf.lit(position).cast("bigint").alias(POS),
@@ -105,9 +105,3 @@ def _metrics(name, cell, numeric, points):
             known = points and sf.lit(points.get((name, point))).cast("double")
             yield metric, known if points else sf.percentile(cell, sf.lit(point))
         yield "stddev", sf.stddev_pop(cell)
-
-
-def _text(name: str, number: bool) -> Column:
-    value = sf.col(f"`{name}`")
-    text = value.cast("decimal(20,2)").cast("string") if number else sf.left(value.cast("string"), sf.lit(WIDTH))
-    return sf.lpad(text, WIDTH, " ")

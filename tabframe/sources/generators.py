@@ -17,13 +17,13 @@ def generated(spark: SparkSession, shape, cols, value) -> Frame:
     """``shape`` is n, (n,) or (n, k); ``value(j)`` is the Column of column j.
 
     The number of partitions follows from n alone, so seeded values are the same
-    on every cluster and on every recomputation.
+    on every cluster and on every recomputation; it stays below what a scheduler handles well.
     """
     n, k = shape if isinstance(shape, tuple) and len(shape) == 2 else (*_as_tuple(shape), 1)
     names = [cols] if isinstance(cols, str) else list(cols or (f"_c{j}_" for j in range(k)))
     if len(names) != k:
         raise TypeError(f"{k} columns need {k} names, got {len(names)}")
-    parts = max(1, math.ceil(n / setting(spark, "rowsPerBucket")))
+    parts = min(max(1, math.ceil(n / setting(spark, "rowsPerBucket"))), 1 << 16)
     rows = spark.range(0, n, 1, parts).select(
         sf.col("id").alias(POS), *(value(j).alias(name) for j, name in enumerate(names)))
     return Frame.of(rows, rows=n)

@@ -40,7 +40,7 @@ def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, **kwar
 
 # Text formats recognized as dates and timestamps.
 DATE_FORMAT = "yyyy-MM-dd"
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def infer_datetimes(frame: Frame) -> Frame:
@@ -71,5 +71,5 @@ def _as_date(cell):
 
 
 def _as_timestamp(cell):
-    parsed = sf.try_to_timestamp(cell, sf.lit(TIMESTAMP_FORMAT)).cast("timestamp_ntz")
-    return sf.when(sf.length(cell) == len(TIMESTAMP_FORMAT), parsed)
+    # not by way of a timestamp with zone, in which some hours of the session's zone are missing
+    return sf.when(cell.rlike(TIMESTAMP_SHAPE), cell.try_cast("timestamp_ntz"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tabframe import Frame, multiply_long
+from tabframe import CMP, Frame, Q, multiply_long
 from tabframe.operators.matrix import long_form
 from tabframe.operators.positional import array_frame
 from tests.helpers import frame, placed
@@ -140,3 +140,23 @@ def test_long_products(a, b, buckets):
 def test_matrix_views(a, b):
     np.testing.assert_allclose(b.order("p").to_matrix().matrix, B[B[:, 0].argsort()])
     assert set(a.rows) == {"x", "y", "z"}
+
+
+INF, NAN = float("inf"), float("nan")
+
+
+def _same(got, expected):
+    assert len(got) == len(expected)
+    for a, b in zip(got, expected):
+        assert [str(v) for v in a] == [str(v) for v in b]
+
+
+def test_products_of_nulls_and_infinities(spark, buckets):
+    """One result at every size: NULL makes a row's product NULL and adds nothing to a sum; NaN stays."""
+    x = frame(spark, [(0, None, INF), (1, 2.0, 3.0), (2, NAN, 1.0)], "k int, a double, b double").order("k", unique=True)
+    ab = x.project(("a", "b"))
+    _same(placed(ab @ np.array([[1.0, 0.0], [1.0, 2.0]])), [(None, None), (5.0, 6.0), (NAN, NAN)])
+    finite = x.filter(Q("k", 2, CMP.LT)).project(("a", "b"))
+    _same(placed(finite.T @ finite), [(4.0, 6.0), (6.0, INF)])
+    nothing = x.filter(Q("k", 9, CMP.GT)).project(("a", "b"))
+    _same(placed(nothing.T @ nothing), [(None, None), (None, None)])

@@ -160,9 +160,23 @@ def test_long_heads_go_by_position(spark):
     try:
         x = numbers(spark).project("v")
         assert list(x.head(3)["v"]) == [0, 1, 2] and list(x.tail(3)["v"]) == [17, 18, 19]
-        assert sorted(x.head(5)["v"]) == [0, 1, 2, 3, 4] and sorted(x.tail(5)["v"]) == [15, 16, 17, 18, 19]
+        assert list(x.head(5)["v"]) == [0, 1, 2, 3, 4] and list(x.tail(5)["v"]) == [15, 16, 17, 18, 19]
+        backwards = x.order("v#desc")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert list(backwards.head(9)["v"]) == [*range(19, 10, -1)] and list(backwards.tail(9)["v"]) == [*range(8, -1, -1)]
     finally:
         spark.conf.unset("spark.tabframe.topRows")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_heads_beyond_what_the_driver_takes(spark):
+    spark.conf.set("spark.tabframe.fetchRows", "3")
+    try:
+        with pytest.raises(ValueError):
+            numbers(spark).head(4)
+        assert numbers(spark).top(4).df.count() == 4
+    finally:
+        spark.conf.unset("spark.tabframe.fetchRows")
 
 
 def test_fetched_rows_are_in_order(spark, buckets):

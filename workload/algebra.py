@@ -175,10 +175,11 @@ def transpose_long(ws):
     return vectors(ws).T.long()
 
 
-@query("""select 'n' as label, * from (pivot (select o_orderpriority as p, count(*)::double as v from orders group by 1) on
-    ('r_' || lpad((left(p, 1)::int - 1)::varchar, 10, '0')) using max(v))
-    union all by name select 'total' as label, * from (pivot (select o_orderpriority as p, round(sum(o_totalprice), 2) as v
-    from orders group by 1) on ('r_' || lpad((left(p, 1)::int - 1)::varchar, 10, '0')) using max(v))""", digits=2)
+@query("""select label, max(v) filter (p like '1%') as r_0000000000, max(v) filter (p like '2%') as r_0000000001,
+    max(v) filter (p like '3%') as r_0000000002, max(v) filter (p like '4%') as r_0000000003,
+    max(v) filter (p like '5%') as r_0000000004 from
+    (select 'n' as label, o_orderpriority as p, count(*)::double as v from orders group by 2
+     union all select 'total', o_orderpriority, round(sum(o_totalprice), 2) from orders group by 2) group by label""", digits=2)
 def transpose_small_wide(ws):
     """Five summary rows of orders become five columns."""
     rows = ws.orders.agg(("o_orderpriority", {COUNT("*"): "n"}, {SUM("o_totalprice"): "total"}), "o_orderpriority")

@@ -46,37 +46,41 @@ def col_max(ws):
 
 def described(table, columns):
     """SQL of ``describe``: one SELECT per metric, over (column, is_number) pairs."""
-    number = "lpad(cast(cast({} as decimal(20,2)) as varchar), 20, ' ')"
-    text = "lpad(left(cast({} as varchar), 20), 20, ' ')"
-    # Metric, SQL, and whether text columns have it and how.
+    # Metric, SQL, and whether text columns have it.
     metrics = [
-        ("count", "count({})", number), ("unique", "count(distinct {})", number),
-        ("nulls", "count(*) filter ({} is null)", number), ("max", "max({})", text), ("min", "min({})", text),
-        ("avg", "avg({})", None), ("median", "median({})", None), ("25%", "quantile_cont({}, 0.25)", None),
-        ("50%", "quantile_cont({}, 0.5)", None), ("75%", "quantile_cont({}, 0.75)", None),
-        ("stddev", "stddev_pop({})", None),
+        ("count", "count({})", True), ("unique", "count(distinct {})", True),
+        ("nulls", "count(*) filter ({} is null)", True), ("max", "max({})", True), ("min", "min({})", True),
+        ("avg", "avg({})", False), ("median", "median({})", False), ("25%", "quantile_cont({}, 0.25)", False),
+        ("50%", "quantile_cont({}, 0.5)", False), ("75%", "quantile_cont({}, 0.75)", False),
+        ("stddev", "stddev_pop({})", False),
     ]
-    blank = "repeat(' ', 20)"
 
     def value(column, is_number, sql, for_text):
-        shape = number if is_number else for_text
-        return f"{shape.format(sql.format(column)) if shape else blank} as {column}"
+        if is_number:
+            return f"round(cast({sql.format(column)} as double), 6) as {column}"
+        return f"cast({sql.format(column) if for_text else 'null'} as varchar) as {column}"
 
     return " union all ".join(
         f"select '{metric}' as metric, {', '.join(value(c, n, sql, t) for c, n in columns)} from {table}"
         for metric, sql, t in metrics)
 
 
-@query(described("supplier", [("s_suppkey", True), ("s_nationkey", True), ("s_acctbal", True)]))
+@query(described("supplier", [("s_suppkey", True), ("s_nationkey", True), ("s_acctbal", True)]), digits=6)
 def describe_numeric(ws):
     return ws.supplier.project(("s_suppkey", "s_nationkey", "s_acctbal")).describe()
 
 
-@query(described("customer", [("c_name", False), ("c_mktsegment", False), ("c_nationkey", True)]))
+@query(described("customer", [("c_name", False), ("c_mktsegment", False), ("c_nationkey", True)]), digits=6)
 def describe_text(ws):
     return ws.customer.project(("c_name", "c_mktsegment", "c_nationkey")).describe()
 
 
+@query(described("documents", [("text", False), ("doc_id", True)]), digits=6)
+def describe_long_text(ws):
+    """Texts are described whole, however long."""
+    return ws.documents.project(("text", "doc_id")).describe()
+
+
 @query("""select unnest([0.1, 0.5, 0.99])::double as point,
     unnest([quantile_cont(l_extendedprice, 0.1), quantile_cont(l_extendedprice, 0.5),
             quantile_cont(l_extendedprice, 0.99)]) as price,
