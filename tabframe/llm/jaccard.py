@@ -91,6 +91,11 @@ def lengths(size, step: int):
     return size - required(size) + need, need
 
 
+def least_other(size):
+    """The least need that any set can have that a set of this size links to."""
+    return lengths(required(size), 0)[1]
+
+
 def adapted(token, count):
     """The prefix of each set: its length and need. ``token`` are the sets' shingles in order, ``count`` of each.
 
@@ -175,6 +180,8 @@ def _index(buckets: int):
         if hot.any():
             replies = _replies(token[hot], sets[hot], size[hot], need[hot], np.zeros(int(hot.sum()), bool))
             replies["count"] = OFTEN
+            # a set of another batch may have a smaller need than all here, and only the owner would hear of it
+            replies["other"] = least_other(replies["size"].astype(np.int64))
             out += _dealt(replies, replies["set"] % buckets, REPLIES)
         # of a hot shingle the owner gets the two sets with the least needs, as the others see them
         rank = np.lexsort((need, where))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tabframe.llm import bpe, embeddings, exact_dedup, jaccard, langid, mixing, quality, queries, substrings, toxicity, warc
-from tabframe.llm.common import components, fresh_folder, table
+from tabframe.llm.common import Texts, components, fresh_folder, table
 from tests.llm import helpers
 
 FOLDER = "/root/testdata/sf0.01"
@@ -105,6 +105,25 @@ def test_similar_with_hot_shingles(docs, rows, monkeypatch):
     assert got(jaccard.similar(docs)) == helpers.similar(pairs(rows))
 
 
+def test_similar_with_a_shingle_hot_elsewhere(spark):
+    """A link whose only shingle in both prefixes is hot where the one set is, and needs less where the other is."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(n))
+    hashes = lambda text: jaccard.shingles(Texts(pa.array([text])))[0]
+    passage = min((words(5) for _ in range(200)), key=lambda p: hashes(p)[0])  # first in everyone's order
+    y = passage + " " + words(11)
+    while hashes(y)[0] != hashes(passage)[0] or len(hashes(y)) != 12:
+        y = passage + " " + words(11)
+    x, second = y, hashes(y)[1]
+    for _ in range(4):  # 12 of 16 in common, and the other 4 before all but one of these
+        x = next(t for t in (x + " " + words(1) for _ in range(1000)) if (hashes(t) < second).sum() == (hashes(x) < second).sum() + 1)
+    hot = [(i, passage + " " + words(40)) for i in range(10, 90)] + [(1, y)]
+    parts = spark.sparkContext.parallelize([hot, [(2, x)]], 2).flatMap(list)  # x in a task of its own
+    docs = spark.createDataFrame(parts, "doc_id long, text string")
+    found = got(jaccard.similar(docs))
+    assert (2, 16, 1) in found and found == helpers.similar([*hot, (2, x)])
+
+
 def test_representatives(docs, rows):
     want = {(i, c) for i, _, c in helpers.similar(pairs(rows)) if i == c}
     out = jaccard.representatives(docs)
