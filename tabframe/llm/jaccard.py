@@ -23,6 +23,8 @@ MERGED = 1 << 21
 BUCKET_BYTES = 4 << 20
 #: Sets that picked a shingle, from which on they are a crowd; sets in a tile of one; shingles that are counted together.
 CROWD, TILE, COLUMNS = 16, 512, 4096
+#: Parts that the pairs of a hub go to, at least; bytes of shingles in a part of a hub that needs more, about.
+SALTS, PART_BYTES = 16, 4 << 20
 OFTEN = (1 << 31) - 1
 #: An entry: a shingle (the part its bucket doesn't tell), a set, its size and how many shingles it must share.
 ENTRY = np.dtype([("low", "<u4"), ("set", "<i8"), ("size", "<u4"), ("need", "<u4"), ("hot", "u1")])
@@ -286,13 +288,22 @@ def _verified(pairs: pa.Table, hubs: pa.Table) -> pa.Table:
     return pa.table({"x": found.column("x"), "y": found.column("y")})
 
 
+def _salted(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y, size) with the salt of their part; size is that of y. A hub whose partners have more than SALTS times
+    PART_BYTES of shingles gets more parts; there are few of these, as each has that many bytes."""
+    large = pairs.groupBy("x").agg(sf.ceil(sf.sum("size") * 8 / PART_BYTES).alias("parts")).where(sf.col("parts") > SALTS)
+    parts = sf.coalesce("parts", sf.lit(SALTS))
+    return pairs.join(sf.broadcast(large), "x", "left").withColumn("salt", sf.pmod(sf.xxhash64("y"), parts)).drop("parts")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Those of the pairs (x, y) that are links: each set's shingles go to its pairs, a hub's once to each salted part."""
+    pairs, sized = pairs.drop("size"), pairs
     if pairs.isEmpty():
         return pairs
     named = pairs.select(sf.col("x").alias("set")).union(pairs.select("y")).distinct()
     members = _shingles_of(named, docs, ids)
-    salted = pairs.withColumn("salt", sf.pmod(sf.xxhash64("y"), sf.lit(16)))
+    salted = _salted(sized).drop("size")
     left = salted.join(members.select(sf.col("set").alias("y"), sf.col("tokens").alias("theirs")), "y")
     hubs = salted.select(sf.col("x").alias("hub"), sf.col("salt").alias("part")).distinct().join(
         members.select(sf.col("set").alias("hub"), sf.col("tokens").alias("own")), "hub")
@@ -366,7 +377,8 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     hubs = strong.groupBy("token").agg(sf.max_by(sf.struct("set", "size", "need"), sf.struct("common", "set")).alias("hub")).select(
         "token", sf.col("hub.set").alias("x"), sf.col("hub.size").alias("size"), sf.col("hub.need").alias("need"))
     fits_hub = (sf.least("need", "need2") <= sf.col("left2")) & (100 * sf.least("size", "size2") >= PERCENT * sf.greatest("size", "size2"))
-    tried = written(hubs.join(other, "token").where(fits_hub & (sf.col("x") != sf.col("y"))).select("x", "y").distinct(), "pairs")
+    tried = written(hubs.join(other, "token").where(fits_hub & (sf.col("x") != sf.col("y"))).select(
+        "x", "y", sf.col("size2").alias("size")).distinct(), "pairs")
     links = _links(tried, docs, ids)
     # then all pairs in crowds that picked a shingle, inside tasks
     crowds = _crowds(strong)
@@ -386,7 +398,8 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     apart = theirs.groupBy("token").agg((sf.min("group2") != sf.max("group2")).alias("apart")).where("apart").select("token")
     together = sf.coalesce(sf.arrays_overlap("in", "in2"), sf.lit(False))
     rest = mine.join(apart, "token").join(theirs, "token").where(fits & (sf.col("group") != sf.col("group2")) & ~together)
-    rest = rest.select(*ordered).distinct().join(tried.select(*ordered).distinct(), ["x", "y"], "left_anti")
+    size = sf.when(sf.col("x") < sf.col("y"), sf.col("size2")).otherwise(sf.col("size")).alias("size")
+    rest = rest.select(*ordered, size).distinct().join(tried.select(*ordered).distinct(), ["x", "y"], "left_anti")
     return links.union(_links(written(rest, "pairs"), docs, ids))
 
 

@@ -124,6 +124,14 @@ def test_similar_with_a_shingle_hot_elsewhere(spark):
     assert (2, 16, 1) in found and found == helpers.similar([*hot, (2, x)])
 
 
+def test_parts_grow_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_BYTES", 8000)
+    hubs = spark.sql("select 1L as x, id as y, 100L as size from range(2000) union all select 2L, id, 100L from range(20)")
+    parts = jaccard._salted(hubs).groupBy("x", "salt").count().collect()
+    assert sum(r["count"] for r in parts) == 2020 and max(r["count"] for r in parts) <= 40  # 10 are meant
+    assert len([r for r in parts if r.x == 2]) <= 16
+
+
 def test_representatives(docs, rows):
     want = {(i, c) for i, _, c in helpers.similar(pairs(rows)) if i == c}
     out = jaccard.representatives(docs)
