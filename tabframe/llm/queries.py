@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from tabframe.llm import bpe, embeddings, exact_dedup, jaccard, langid, mixing, quality, substrings, toxicity, warc
+from tabframe.llm import bpe, embeddings, exact_dedup, jaccard, langid, merkle, mixing, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
+    "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLES = {"op2_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op13_merkle": merkle.ORACLE}
