@@ -1,6 +1,7 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from tabframe.llm import bpe, embeddings, exact_dedup, jaccard, langid, merkle, mixing, quality, substrings, toxicity, warc
+from tabframe.llm import (
+    bpe, embeddings, exact_dedup, jaccard, langid, licenses, merkle, mixing, quality, substrings, toxicity, warc)
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
+    "op11_licenses": licenses.op11_licenses,
     "op13_merkle": merkle.op13_merkle,
 }
 
