@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
 from tabframe.llm import (
-    bpe, embeddings, exact_dedup, jaccard, langid, licenses, merkle, mixing, quality, substrings, toxicity, warc)
+    bpe, collocations, embeddings, exact_dedup, jaccard, langid, licenses, merkle, mixing, quality, substrings, toxicity, warc)
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -15,7 +15,11 @@ QUERIES = {
     "op9_langid": langid.op9_langid,
     "op10_bpe": bpe.op10_bpe,
     "op11_licenses": licenses.op11_licenses,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLES = {"op2_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op13_merkle": merkle.ORACLE}
+ORACLES = {
+    "op2_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op12_collocations": collocations.ORACLE,
+    "op13_merkle": merkle.ORACLE,
+}
