@@ -101,20 +101,20 @@ def in_piece(words: Words, size: int):
     return fits
 
 
-class Filter:
-    """A set of hashes as bits: what is in it is always found, a little else is too."""
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A set of hashes (column ``h``) as bits: what is in it is always found, a little else is too. The bits are merged in
+    Spark, and at most 2 ** FILTER_BITS of them come back."""
+    place = sf.shiftrightunsigned("h", 64 - FILTER_BITS)
+    found = hashes.select(place.alias("p")).groupBy(sf.shiftright("p", 6).alias("slot")).agg(
+        sf.bit_or(sf.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[np.asarray(found.column("slot"))] = np.asarray(found.column("bits")).view(np.uint64)
+    return bits
 
-    def __init__(self, hashes: DataFrame):
-        """``hashes`` has a column ``h``; its bits are merged in Spark, and at most 2 ** FILTER_BITS of them come back."""
-        place = sf.shiftrightunsigned("h", 64 - FILTER_BITS)
-        bits = hashes.select(place.alias("p")).groupBy(sf.shiftright("p", 6).alias("slot")).agg(
-            sf.bit_or(sf.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-        self.bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-        self.bits[np.asarray(bits.column("slot"))] = np.asarray(bits.column("bits")).view(np.uint64)
 
-    def has(self, hashes):
-        place = hashes >> np.uint64(64 - FILTER_BITS)
-        return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - (6 + (len(bits) - 1).bit_length()))
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _batches(run):
@@ -153,14 +153,14 @@ def hashed(phrases: DataFrame) -> DataFrame:
     return phrases.select("lang", "word").mapInArrow(run, "h long")
 
 
-def supported(texts: DataFrame, below: Filter, sizes: tuple[int, ...], shorter: int) -> DataFrame:
+def supported(texts: DataFrame, below: np.ndarray, sizes: tuple[int, ...], shorter: int) -> DataFrame:
     """h of phrases of ``sizes`` words that occur LEAST times at least, all of whose phrases of ``shorter`` words are in
     ``below``. Hashes that collide are added up, so that nothing that is frequent is left out."""
     send = texts.sparkSession.sparkContext.broadcast(below)
 
     def run(words):
         hashes = phrase_hashes(words)
-        known = send.value.has(hashes[shorter - 1]) & in_piece(words, shorter)
+        known = has(send.value, hashes[shorter - 1]) & in_piece(words, shorter)
         found = []
         for size in sizes:
             able = in_piece(words, size)
@@ -178,11 +178,11 @@ def supported(texts: DataFrame, below: Filter, sizes: tuple[int, ...], shorter:
 
 def spelled(texts: DataFrame, hashes: DataFrame) -> DataFrame:
     """lang, phrase of the phrases of two and more words whose hash is in ``hashes``."""
-    send = texts.sparkSession.sparkContext.broadcast(Filter(hashes))
+    send = texts.sparkSession.sparkContext.broadcast(filter_of(hashes))
 
     def run(words):
         for size, own in list(enumerate(phrase_hashes(words), 1))[1:]:
-            at = np.flatnonzero(in_piece(words, size) & send.value.has(own))
+            at = np.flatnonzero(in_piece(words, size) & has(send.value, own))
             h, first = np.unique(own[at], return_index=True)
             if len(h):
                 yield pa.RecordBatch.from_pydict({
@@ -335,10 +335,10 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         row = built.where(sf.col("state").isNull() & (sf.col("shard") == shard)).select(*TRIE).first()
         if row is None:
             continue
-        send = spark.sparkContext.broadcast(Trie.opened(row))
+        send = spark.sparkContext.broadcast(row.asDict())
 
         def run(batches):
-            trie = send.value
+            trie = Trie.opened(send.value)
             totals = np.zeros(len(trie.base), np.int64)
             for batch in batches:
                 for piece in pieces(batch, "text", PIECE_BYTES):
@@ -404,8 +404,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     words = written(word_counts(texts), "words")
     totals = words.groupBy("lang").agg(sf.sum("f").alias("n"))
     words = words.where(sf.col("f") >= LEAST)
-    pairs = supported(texts, Filter(hashed(words)), (2,), 1)
-    longer = supported(texts, Filter(pairs), tuple(range(3, WORDS + 1)), 2)
+    pairs = supported(texts, filter_of(hashed(words)), (2,), 1)
+    longer = supported(texts, filter_of(pairs), tuple(range(3, WORDS + 1)), 2)
     phrases = phrase_counts(texts, spelled(texts, pairs.union(longer)))
     phrases = written(phrases.where(sf.col("f") >= LEAST), "phrases")
     best = scored(phrases, words.withColumnRenamed("word", "phrase"))

