@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as sf
 
@@ -21,8 +22,12 @@ FILTER_BITS = 26
 TRIE_PHRASES = 1 << 19
 #: Bytes of text looked at together, and words that are hashed together.
 PIECE_BYTES, BLOCK = 4 << 20, 1 << 18
-#: Free slots of a double array that are looked at together.
-SLOTS = 4096
+#: States whose counts are sent together, and in how many parts counts are added up first.
+SLICE, SALTS = 4096, 512
+SUMS = "slice long, salt long, n binary"
+#: Symbols of a trie: a word is a few of them, so that there are few however many words there are. Children that a state must
+#: have to get a stretch of the double array for itself.
+SYMBOLS, MANY = 64, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -84,11 +89,12 @@ def extended(hashes, words):
     return mixed((hashes ^ words) * BASE + words)
 
 
-def phrase_hashes(words: Words):
-    """For each number of words the hashes of all phrases, by place; those that aren't within a piece mean nothing."""
+def phrase_hashes(words: Words, most: int):
+    """For each number of words up to ``most`` the hashes of all phrases, by place; those that aren't within a piece mean
+    nothing."""
     own = words.hashes()
     out = [extended(lang_hashes(words.langs)[words.lang], own)] if len(own) else [own]
-    for i in range(1, WORDS):
+    for i in range(1, most):
         out.append(extended(out[-1], np.append(own[i:], np.zeros(min(i, len(own)), np.uint64))))
     return out
 
@@ -159,7 +165,7 @@ def supported(texts: DataFrame, below: np.ndarray, sizes: tuple[int, ...], short
     send = texts.sparkSession.sparkContext.broadcast(below)
 
     def run(words):
-        hashes = phrase_hashes(words)
+        hashes = phrase_hashes(words, max(sizes))
         known = has(send.value, hashes[shorter - 1]) & in_piece(words, shorter)
         found = []
         for size in sizes:
@@ -181,7 +187,7 @@ def spelled(texts: DataFrame, hashes: DataFrame) -> DataFrame:
     send = texts.sparkSession.sparkContext.broadcast(filter_of(hashes))
 
     def run(words):
-        for size, own in list(enumerate(phrase_hashes(words), 1))[1:]:
+        for size, own in list(enumerate(phrase_hashes(words, WORDS), 1))[1:]:
             at = np.flatnonzero(in_piece(words, size) & has(send.value, own))
             h, first = np.unique(own[at], return_index=True)
             if len(h):
@@ -195,86 +201,94 @@ def spelled(texts: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """A double-array trie over words: from state ``s`` a word with code ``c`` leads to ``base[s] + c`` if ``check`` there is
-    ``s``. The first states are the roots, one for each language."""
+    """A double-array trie over words: from state ``s`` symbol ``c`` leads to ``base[s] + c`` if ``check`` there is ``s``. The
+    symbols of a word are the digits of its number. The first states are the roots, one for each language."""
 
     def __init__(self, langs: pa.Array, phrases: pa.Array):
         """``states`` has the state of each phrase."""
         names = pc.dictionary_encode(langs)
         self.langs, root = lang_hashes(names.dictionary), np.asarray(names.indices, np.int64)
-        roots = len(self.langs)
         words = pc.split_pattern(phrases, " ")
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
         size = np.asarray(pc.list_value_length(words), np.int64)
         coded = pc.dictionary_encode(words.flatten())
         texts = Texts(coded.dictionary)
         hashes = word_hashes(texts.data, texts.starts[:-1], texts.starts[1:])
-        code = np.asarray(coded.indices, np.int64)
-        # frequent words get small codes, which packs states densely
-        often = np.bincount(code, minlength=len(hashes))
-        rank = np.empty(len(hashes), np.int64)
-        rank[np.argsort(-often, kind="stable")] = np.arange(1, len(hashes) + 1)
-        code = rank[code]
         order = np.argsort(hashes)
-        self.hashes, self.codes = hashes[order], rank[order].astype(np.int32)
-        self.lengths = texts.lengths[order].astype(np.int32)
-        first = np.cumsum(size) - size
-        # nodes of each level: numbers of (node above, code)
-        self.top, state = len(hashes) + 1, root
-        self.used = np.zeros(max(4 * len(code), 1024) + roots + 2 * self.top, bool)
+        self.hashes, self.lengths = hashes[order], texts.lengths[order].astype(np.int32)
+        number = np.empty(len(hashes), np.int64)
+        number[order] = np.arange(len(hashes))  # a word's number is its place in the table that it is looked up in
+        number = number[np.asarray(coded.indices, np.int64)]
+        first, roots = np.cumsum(size) - size, len(self.langs)
+        digits = symbols(number, len(hashes))
+        self.used = np.zeros(roots, bool)
         self.used[:roots] = True
-        self.base = np.zeros(len(self.used), np.int64)
-        self.check = np.full(len(self.used), -1, np.int64)
-        self.states = np.empty(len(size), np.int64)
+        self.base, self.check, state = np.zeros(roots, np.int64), np.full(roots, -1, np.int64), root.copy()
         alive = np.arange(len(size))
         for level in range(int(size.max(initial=0))):
             alive = alive[size[alive] > level]
-            keys, inverse = np.unique(state[alive] * (self.top + 1) + code[first[alive] + level], return_inverse=True)
-            state[alive] = self._placed(keys // (self.top + 1), keys % (self.top + 1))[inverse]
-        self.states[:] = state
-        end = int(np.flatnonzero(self.used)[-1]) + 1
-        self.base, self.check = self.base[:end].astype(np.int32), np.append(self.check[:end], np.full(self.top + 1, -1)).astype(np.int32)
+            for digit in digits:
+                keys, inverse = np.unique(state[alive] * SYMBOLS + digit[first[alive] + level], return_inverse=True)
+                state[alive] = self._placed(keys // SYMBOLS, keys % SYMBOLS)[inverse]
+        self.states = state
+        # beyond the last state there are slots that no state has, so that no step leaves the arrays
+        self.base = np.append(self.base, np.zeros(SYMBOLS)).astype(np.int32)
+        self.check = np.append(self.check, np.full(SYMBOLS, -1)).astype(np.int32)
         del self.used
 
     def _room(self, size: int):
-        if size > len(self.used):
-            more = size + len(self.used) - len(self.used)
+        more = size - len(self.used)
+        if more > 0:
             self.used = np.append(self.used, np.zeros(more, bool))
             self.base = np.append(self.base, np.zeros(more, np.int64))
             self.check = np.append(self.check, np.full(more, -1, np.int64))
 
-    def _placed(self, parent, code):
-        """States for the edges (parent, code), which are in order: those of one parent keep their distances."""
+    def _placed(self, parent, symbol):
+        """States for the edges (parent, symbol), which are in order: those of one parent keep their distances.
+
+        MANY children and more get a stretch for themselves. Smaller families draw places, all at once, and keep theirs if it
+        is free and no other has drawn it; there are three times as many slots as states. Single children take any free slot.
+        """
         out = np.empty(len(parent), np.int64)
         new = np.ones(len(parent), bool)
         new[1:] = parent[1:] != parent[:-1]
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(parent)))
-        low = int(np.flatnonzero(~self.used)[0])
-        for i in np.argsort(-count, kind="stable")[: int((count > 1).sum())]:
-            own = code[first[i] : first[i] + count[i]]
-            at = max(low, int(own[0]))
-            while True:
-                self._room(at + SLOTS + int(own[-1]) + 1)
-                fits = np.flatnonzero(~self.used[at : at + SLOTS]) + (at - own[0])
-                for c in own[1:]:
-                    fits = fits[~self.used[fits + c]]
-                    if not len(fits):
-                        break
-                if len(fits):
-                    break
-                at += SLOTS
-            out[first[i] : first[i] + count[i]] = fits[0] + own
-            self.used[fits[0] + own] = True
-        # parents with one child take any free slots
+        family = np.cumsum(new) - 1
+        large = count >= MANY
+        begin = len(self.used) + (np.cumsum(large) - 1) * SYMBOLS
+        edge = large[family]
+        out[edge] = begin[family[edge]] + symbol[edge]
+        self._room(len(self.used) + int(large.sum()) * SYMBOLS)
+        self.used[out[edge]] = True
+        rng = np.random.default_rng(1)
+        for least, most in ((4, MANY), (2, 4)):  # larger ones first
+            left = np.flatnonzero((count >= least) & (count < most))
+            while len(left):
+                self._room(3 * int(self.used.sum() + count[left].sum()) + 2 * SYMBOLS)
+                # no more at once than leave most of the slots alone
+                fit = max(1, int(np.searchsorted(np.cumsum(count[left]), len(self.used) // 8)))
+                some, number = left[:fit], count[left[:fit]]
+                edge = np.repeat(first[some] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+                who = np.repeat(np.arange(len(some)), number)
+                slot = rng.integers(0, len(self.used) - SYMBOLS, len(some))[who] + symbol[edge]
+                holder = np.full(len(self.used), -1, np.int32)
+                holder[slot] = who
+                bad = np.bincount(who, self.used[slot] | (holder[slot] != who), len(some)) > 0
+                good = ~bad[who]
+                out[edge[good]] = slot[good]
+                self.used[slot[good]] = True
+                left = np.concatenate([some[bad], left[fit:]])
         alone = first[count == 1]
-        self._room(self.top + int(self.used.sum()) + len(alone) + 1)
-        free = np.flatnonzero(~self.used[self.top :])[: len(alone)] + self.top
+        self._room(int(self.used.sum()) + len(alone) + SYMBOLS)
+        free = np.flatnonzero(~self.used[SYMBOLS:])  # far enough from the start for any symbol
+        if len(free) < len(alone):
+            self._room(len(self.used) + len(alone) - len(free))
+            free = np.flatnonzero(~self.used[SYMBOLS:])
+        free = free[: len(alone)] + SYMBOLS
         out[alone] = free
         self.used[free] = True
         self.check[out] = parent
-        self.base[parent] = out - code
+        self.base[parent] = out - symbol
         return out
 
     def packed(self) -> dict[str, bytes]:
@@ -291,24 +305,30 @@ class Trie:
         """How often each state is reached from any place: all places advance together, word by word."""
         own = words.hashes()
         found = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        same = (self.hashes[found] == own) & (self.lengths[found] == words.ends - words.starts)
-        code = np.where(same, self.codes[found], 0)
-        mine = lang_hashes(words.langs)
-        root = np.array([np.append(np.flatnonzero(self.langs == h), -1)[0] for h in mine])[words.lang]
-        at = np.flatnonzero((code > 0) & (root >= 0))
+        known = (self.hashes[found] == own) & (self.lengths[found] == words.ends - words.starts)
+        steps = symbols(found, len(self.hashes))
+        root = np.array([np.append(np.flatnonzero(self.langs == h), -1)[0] for h in lang_hashes(words.langs)])[words.lang]
+        at = np.flatnonzero(known & (root >= 0))
         state, total = root[at], np.zeros(len(self.base), np.int64)
         for level in range(WORDS):
             if level:
-                able = words.joined[at + level - 1]
-                at, state = at[able], state[able]
-            step = self.base[state] + code[np.minimum(at + level, len(code) - 1)]
-            able = (self.check[step] == state) & (code[at + level] > 0) if len(at) else np.zeros(0, bool)
-            at, state = at[able], step[able].astype(np.int64)
+                at, state = at[words.joined[at + level - 1]], state[words.joined[at + level - 1]]
+                at, state = at[known[at + level]], state[known[at + level]]
+            for symbol in steps:
+                step = self.base[state] + symbol[at + level]
+                able = self.check[step] == state
+                at, state = at[able], step[able]
             total += np.bincount(state, minlength=len(total))
         return total
 
 
-TRIE = {"langs": np.uint64, "hashes": np.uint64, "codes": np.int32, "lengths": np.int32, "base": np.int32, "check": np.int32}
+def symbols(number, words: int) -> list:
+    """The digits of words' numbers below ``words``, the first one first."""
+    places = max(1, -(-(words - 1).bit_length() // (SYMBOLS - 1).bit_length()))
+    return [number // SYMBOLS**place % SYMBOLS for place in reversed(range(places))]
+
+
+TRIE = {"langs": np.uint64, "hashes": np.uint64, "lengths": np.int32, "base": np.int32, "check": np.int32}
 
 
 def _built(part: pa.Table) -> pa.Table:
@@ -322,6 +342,20 @@ def _built(part: pa.Table) -> pa.Table:
                      **own, **{c: blank(c) for c in TRIE}})
 
 
+def _summed(part: pa.Table) -> pa.Table:
+    """Counts of the same states from several tasks, added up."""
+    total = np.sum([np.frombuffer(n.as_py(), np.int64) for n in part.column("n")], axis=0)
+    return pa.table({"slice": part.column("slice")[:1], "salt": part.column("salt")[:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+
+def _states(batches):
+    for batch in batches:
+        for at, n in zip(batch.column("slice"), batch.column("n")):
+            total = np.frombuffer(n.as_py(), np.int64)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"state": some + at.as_py() * SLICE, "f": total[some]})
+
+
 def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """lang, phrase, f of ``phrases`` (lang, phrase): shards of bounded size are built into tries inside tasks; each trie
     is broadcast and runs over all texts, whose counts of states are then summed."""
@@ -345,10 +379,15 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
                     words = Words(piece)
                     if len(words):
                         totals += trie.counts(words)
-            some = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_pydict({"state": some, "n": totals[some]})
-
-        sums = texts.mapInArrow(run, "state long, n long").groupBy("state").agg(sf.sum("n").alias("f"))
+            salt = TaskContext.get().partitionId() % SALTS
+            parts = [totals[at : at + SLICE] for at in range(0, len(totals), SLICE)]
+            some = [i for i, part in enumerate(parts) if part.any()]
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array(some, pa.int64()), "salt": pa.array([salt] * len(some), pa.int64()),
+                "n": pa.array([parts[i].tobytes() for i in some], pa.binary())})
+
+        sums = texts.mapInArrow(run, SUMS).groupBy("slice", "salt").applyInArrow(_summed, SUMS).groupBy("slice").applyInArrow(_summed, SUMS)
+        sums = sums.mapInArrow(_states, "state long, f long")
         sums = written(sums.withColumn("shard", sf.lit(shard).cast("long")), "counts")
         send.destroy()
         found = sums if found is None else found.union(sums)

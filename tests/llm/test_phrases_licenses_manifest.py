@@ -218,7 +218,7 @@ def phrase_rows():
 def test_collocations(spark, small, monkeypatch):
     monkeypatch.setattr(collocations, "LEAST", 5)
     if small:  # filters that let much through, many tries, short pieces and few slots
-        for name, value in {"FILTER_BITS": 8, "TRIE_PHRASES": 20, "PIECE_BYTES": 900, "BLOCK": 16, "SLOTS": 4}.items():
+        for name, value in {"FILTER_BITS": 8, "TRIE_PHRASES": 20, "PIECE_BYTES": 900, "BLOCK": 16, "SLICE": 8, "SALTS": 2}.items():
             monkeypatch.setattr(collocations, name, value)
     rows = phrase_rows()
     data = [(lang, text, *["x"] * len(CLASHES)) for lang, text in rows]
