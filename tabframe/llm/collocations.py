@@ -449,7 +449,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     phrases = written(phrases.where(sf.col("f") >= LEAST), "phrases")
     best = scored(phrases, words.withColumnRenamed("word", "phrase"))
     rank = sf.row_number().over(Window.partitionBy("lang").orderBy(sf.desc("score"), sf.desc("a"), "phrase"))
-    ranked = best.withColumn("rank", rank.cast("long")).where(sf.col("rank") <= top)
+    # the limit is on the rank itself, so that Spark cuts each task's candidates before they meet
+    ranked = best.withColumn("rank", rank).where(sf.col("rank") <= top).withColumn("rank", sf.col("rank").cast("long"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
