@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as sf
+from pyspark.sql.types import IntegralType
 
 
 class Aggregate:
@@ -59,9 +60,14 @@ class AVG(Aggregate):
     def over_all(self, column):
         return sf.avg(column)
 
-    def over_distinct(self, column):
-        # No avg_distinct function exists; call_function cannot pass DISTINCT either.
-        return sf.sum_distinct(column) / sf.count_distinct(column)
+    def compile(self, scope):
+        column = scope.column(self.source)
+        if not self.distinct:
+            return sf.avg(column)
+        # whole numbers are summed as decimals: their sum may have more than 64 bits where their mean hasn't
+        whole = isinstance(scope.kind(self.source), IntegralType)
+        total = sf.sum_distinct(column.cast("decimal(38,0)")).cast("double") if whole else sf.sum_distinct(column)
+        return total / sf.count_distinct(column)
 
 
 class MIN(Aggregate):

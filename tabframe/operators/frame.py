@@ -130,15 +130,29 @@ class Frame(Relational, Positional, Algebra, Statistics, UserFunctions):
 
     @property
     def cdata(self):
-        """All rows, in order, as an Arrow table; refuses more rows than ``fetchRows``."""
+        """All rows, in order, as an Arrow table; refuses more rows than ``fetchRows``, see ``fetch``.
+
+        Long results come as they are, with their positions, and are put in order here: no task merges them.
+        """
         limit = setting(self.spark, "fetchRows")
         in_order = self.rowset.keys or self.rowset.positional
+        if in_order and self.numRows > setting(self.spark, "topRows"):
+            self._fetchable(self.numRows, "write them out, take them by fetch() or raise fetchRows")
+            table = self.positions().toArrow()
+            return table.sort_by(POS).drop_columns([POS]).combine_chunks()
         rows = self.rowset.sorted() if in_order else self.rowset.df
         table = rows.select(*self._selected()).limit(limit + 1).toArrow()
-        if table.num_rows > limit:
-            raise ValueError(f"more than {limit} rows; write them out or raise fetchRows")
+        self._fetchable(table.num_rows, "write them out, take them by fetch() or raise fetchRows")
         return table
 
+    def fetch(self, size: int = 1 << 16):
+        """All rows in order, however many, as a stream of Arrow tables of at most ``size`` rows; each is a query of its own
+        over the rows of some positions."""
+        placement = self.rowset.placement()
+        for low in range(0, placement.rows, size):
+            rows = placement.between(low, min(low + size, placement.rows) - 1)
+            yield rows.select(POS, *self._selected()).toArrow().sort_by(POS).drop_columns([POS]).combine_chunks()
+
     @property
     def rows(self) -> dict:
         """All columns as NumPy arrays, with the same bound as ``cdata``."""
@@ -153,10 +167,10 @@ class Frame(Relational, Positional, Algebra, Statistics, UserFunctions):
         """The last ``n`` rows as pandas, with the same bound; see ``bottom``."""
         return self.bottom(self._fetchable(n)).df.toPandas()
 
-    def _fetchable(self, n: int) -> int:
+    def _fetchable(self, n: int, instead: str = "take them as a frame or raise fetchRows") -> int:
         limit = setting(self.spark, "fetchRows")
         if n > limit:
-            raise ValueError(f"more than {limit} rows; take them as a frame or raise fetchRows")
+            raise ValueError(f"more than {limit} rows; {instead}")
         return n
 
     def __repr__(self):

@@ -272,50 +272,77 @@ def _partial_products(batches):
 def multiply_long(a: DataFrame, b: DataFrame) -> DataFrame:
     """Product of two long-form matrices ``(i, j, v)``; cell keys must be unique.
 
-    Cells are gathered into square blocks of bounded size, so the join moves and
-    pairs blocks, not cells.  The left blocks of one contraction band are spread
-    over salts, to which the right blocks are copied.
+    A cell that is absent or NULL adds nothing, whatever stands opposite; a result cell to which nothing is added is
+    absent.
+
+    The product is cut into a grid: blocks of rows of ``a``, blocks of columns of ``b``, and bands of what they share. Each
+    point of the grid is a task's work, of about ``blockCells`` cells of either side, so the number of bands follows from
+    the fullest block as counted. Cells of ``a`` are sent once for each block of columns, those of ``b`` for each of rows.
     """
-    side = setting(a.sparkSession, "blockSide")
-    salts = 16
-    left = _blocks(a, side).select(
-        sf.col("bi").alias("row_block"), sf.col("bj").alias("band"),
-        sf.pmod("bi", sf.lit(salts)).cast("int").alias("salt"), sf.col("cells").alias("x"))
-    right = _blocks(b, side).select(
-        sf.col("bi").alias("band"), sf.col("bj").alias("col_block"), sf.col("cells").alias("y"),
-        sf.explode(sf.sequence(sf.lit(0), sf.lit(salts - 1))).alias("salt"))
-    pairs = left.join(right, ["band", "salt"]).select("row_block", "col_block", "x", "y")
-    partial = pairs.mapInArrow(functools.partial(_block_products, side), _LONG)
+    spark = a.sparkSession
+    side, cells = setting(spark, "blockSide"), setting(spark, "blockCells")
+    # aliases, as both may come from one DataFrame
+    a, b = (m.where("v is not null").select(*(sf.col(c).alias(c) for c in "ijv")) for m in (a, b))
+    fullest = lambda m, c: m.groupBy((sf.floor(sf.col(c) / side)).alias("block")).count().agg(
+        sf.max("block"), sf.max("count"), sf.sum("count")).first()
+    (rows, row_most, row_all), (columns, column_most, column_all) = fullest(a, "i"), fullest(b, "j")
+    if rows is None or columns is None:
+        return a.where("false")
+    bands = -(-max(row_most, column_most) // cells)
+    if row_all + column_all > cells >> 4:  # enough work to be worth a task for every core
+        bands = max(bands, spark.sparkContext.defaultParallelism // ((rows + 1) * (columns + 1)))
+    block = lambda c: sf.floor(sf.col(c) / side).cast("long")
+    band = lambda c: sf.pmod(sf.xxhash64(c), sf.lit(bands))
+    every = lambda last: sf.explode(sf.sequence(sf.lit(0).cast("long"), sf.lit(last).cast("long")))
+    left = a.select(block("i").alias("r"), every(columns).alias("c"), band("j").alias("b"), "i", "j", "v")
+    right = b.select(every(rows).alias("r"), block("j").alias("c"), band("i").alias("b"), "i", "j", "v")
+    partial = left.groupBy("r", "c", "b").cogroup(right.groupBy("r", "c", "b")).applyInArrow(_point, _LONG)
     return partial.groupBy("i", "j").agg(sf.sum("v").alias("v"))
 
 
-def _blocks(cells: DataFrame, side: int) -> DataFrame:
-    """At most ``side * side`` cells per block, as parallel arrays."""
-    return cells.groupBy(
-        sf.floor(sf.col("i") / side).alias("bi"), sf.floor(sf.col("j") / side).alias("bj")
-    ).agg(
-        sf.collect_list(
-            sf.struct((sf.col("i") % side).cast("int").alias("r"),
-                      (sf.col("j") % side).cast("int").alias("c"),
-                      sf.coalesce("v", sf.lit(0.0)).alias("v"))
-        ).alias("cells")
-    )
-
-
-def _block(cells: pa.ListScalar, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a block, and which of its cells are there."""
-    values = cells.values
-    place = values.field("r").to_numpy(), values.field("c").to_numpy()
-    block, present = np.zeros((side, side)), np.zeros((side, side))
-    block[place], present[place] = values.field("v").to_numpy(), 1.0
-    return block, present
-
-
-def _block_products(side, batches):
-    for batch in batches:
-        for row_block, col_block, x, y in zip(*batch.columns):
-            (a, in_a), (b, in_b) = _block(x, side), _block(y, side)
-            r, c = np.nonzero(in_a @ in_b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r + row_block.as_py() * side), pa.array(c + col_block.as_py() * side),
-                 pa.array((a @ b)[r, c])], names=["i", "j", "v"])
+#: Products of single cells made at once.
+_AT_ONCE = 1 << 21
+
+
+def _point(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The partial product at one point of the grid."""
+    (i, k, v), (l, j, w) = ([t.column(c).to_numpy() for c in "ijv"] for t in (left, right))
+    shared = np.intersect1d(k, l)
+    keep, other = np.isin(k, shared), np.isin(l, shared)
+    (i, k, v), (l, j, w) = (i[keep], np.searchsorted(shared, k[keep]), v[keep]), (np.searchsorted(shared, l[other]), j[other], w[other])
+    rows, i = np.unique(i, return_inverse=True)
+    columns, j = np.unique(j, return_inverse=True)
+    dense = min(len(i) / max(1, len(rows) * len(shared)), len(j) / max(1, len(columns) * len(shared))) > 0.05
+    if dense and np.isfinite(v).all() and np.isfinite(w).all():
+        x, there = _filled((len(rows), len(shared)), i, k, v)
+        y, here = _filled((len(shared), len(columns)), l, j, w)
+        r, c = np.nonzero(there @ here)  # where any product is
+        return pa.table({"i": rows[r], "j": columns[c], "v": (x @ y)[r, c]})
+    # zeros cannot stand for absent cells beside infinities, and would be too many: only cells that are there meet
+    order = np.argsort(l, kind="stable")
+    l, j, w = l[order], j[order], w[order]
+    begin = np.searchsorted(l, np.arange(len(shared) + 1))
+    times = (begin[1:] - begin[:-1])[k]
+    ends = np.cumsum(times)
+    parts, at = [], 0
+    while at < len(k):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _AT_ONCE, "right")))
+        number = times[at:to]
+        own = np.repeat(np.arange(at, to), number)
+        opposite = np.repeat(begin[k[at:to]] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        with np.errstate(invalid="ignore", over="ignore"):
+            key, place = np.unique(i[own] * len(columns) + j[opposite], return_inverse=True)
+            total = np.zeros(len(key))
+            np.add.at(total, place, v[own] * w[opposite])
+        parts.append((key, total))
+        at = to
+    key = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in parts)])
+    total = np.concatenate([np.zeros(0), *(t for _, t in parts)])
+    return pa.table({"i": rows[key // max(1, len(columns))] if len(key) else key, "j": columns[key % max(1, len(columns))] if len(key) else key, "v": total})
+
+
+def _filled(shape, i, k, v):
+    """Cells as a matrix with zeros, and which of its cells are there."""
+    values, there = np.zeros(shape), np.zeros(shape, np.float32)
+    values[i, k], there[i, k] = v, 1
+    return values, there

@@ -12,6 +12,7 @@ from tabframe.functions.expressions import is_number
 from tabframe.operators.relational import items, unique_names
 from tabframe.operators.rowset import RowSet
 from tabframe.plans.position import POS, Placement
+from tabframe.plans.settings import setting
 
 
 class Positional:
@@ -45,6 +46,11 @@ class Positional:
         return self._picked_rows(np.asarray(rows))
 
     def _range(self, wanted: slice):
+        first, stop, step = wanted.start or 0, wanted.stop, wanted.step or 1
+        short = stop is not None and 0 <= first and 0 <= stop <= setting(self.spark, "topRows") and step > 0
+        if short and self.rowset._placement is None and not self.rowset.positional:
+            kept = self.rowset.first(stop).filter((sf.col(POS) >= first) & ((sf.col(POS) - first) % step == 0))
+            return self._derive(RowSet(kept.withColumn(POS, sf.floor((sf.col(POS) - first) / step))), self.cells)
         placement = self.rowset.placement()
         start, stop, step = wanted.indices(placement.rows)
         count = len(range(start, stop, step))

@@ -12,6 +12,7 @@ from tabframe.functions.expressions import COL, JOIN, Expression, compile_operan
 from tabframe.operators.scope import Scope
 from tabframe.plans.position import SortKey
 from tabframe.plans.settings import setting
+from tabframe.plans.skew import full_join
 
 
 def items(value) -> list:
@@ -170,8 +171,4 @@ class Relational:
 def _joined(left, right, condition, join, width):
     if join is not JOIN.OUTER:
         return left.join(right, condition, join.value)
-    # A full join cannot be split at a hot key at run time; a left join and an
-    # anti join can, and together they give the same rows.
-    keys = left.select(*(f"__lk{i}" for i in range(width))).dropna().distinct()
-    lonely = right.join(keys, condition, "left_anti")
-    return left.join(right, condition, "left").unionByName(lonely, allowMissingColumns=True)
+    return full_join(left, right, [f"__lk{i}" for i in range(width)], [f"__rk{i}" for i in range(width)])

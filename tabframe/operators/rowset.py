@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as sf
 
 from tabframe.plans.position import (
@@ -100,8 +100,8 @@ class RowSet:
     def reordered(self, keys: list[SortKey], unique: bool) -> RowSet:
         return RowSet(self.df.drop(POS), tuple(keys), unique, self.scan, rows=self._rows)
 
-    def sorted(self, backwards: bool = False) -> DataFrame:
-        """The rows in order; ties are broken, so that it is one definite order."""
+    def sort_keys(self) -> tuple[DataFrame, list[SortKey]]:
+        """The rows and keys that put them in one definite order; ties are broken."""
         rows = self.positioned() if self.positional and not self.keys else self.df
         if POS in rows.columns and not self.keys:
             keys = [SortKey(sf.col(POS))]
@@ -115,4 +115,16 @@ class RowSet:
                 keys = [*self.keys, SortKey(identity_hash(rows))]
             else:
                 raise NoOrderError("these rows have no order; call order(..) first")
+        return rows, keys
+
+    def sorted(self, backwards: bool = False) -> DataFrame:
+        """The rows in order; ties are broken, so that it is one definite order."""
+        rows, keys = self.sort_keys()
         return rows.orderBy(*((k.reversed() if backwards else k).ordering() for k in keys))
+
+    def first(self, n: int) -> DataFrame:
+        """The first rows, at most ``n``, with their positions: a top-n and a ranking of what it leaves, so that positions
+        of the others need not be worked out."""
+        rows, keys = self.sort_keys()
+        order = [k.ordering() for k in keys]
+        return rows.orderBy(*order).limit(n).withColumn(POS, (sf.row_number().over(Window.orderBy(*order)) - 1).cast("long"))

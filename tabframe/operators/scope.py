@@ -22,12 +22,17 @@ class Scope:
     def __init__(self, frame):
         self.cells = frame.cells
         self.rows = frame.rowset.df
+        self._frame = frame
 
     def column(self, name: str) -> Column:
         if name not in self.cells:
             raise AttributeError(f"no column {name!r} among {list(self.cells)}")
         return self.cells[name]
 
+    def kind(self, name: str):
+        """The type of a column."""
+        return self._frame.schema[name].dataType
+
     def scalar(self, frame) -> Column:
         """A one-row, one-column frame as a value; more rows fail at run time."""
         return _single(frame).unsorted().scalar()

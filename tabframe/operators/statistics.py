@@ -66,17 +66,24 @@ class Statistics:
             raise ValueError("value() needs exactly one row")
         return rows[0][0] if len(self.cells) == 1 else rows[0].asDict()
 
-    def quantiles(self, points, collist=None) -> dict:
-        """Exact quantiles ``{(column, point): value}`` of numeric columns."""
-        cells = self.numeric_cells() if collist is None else {n: self.cells[n] for n in items(collist)}
-        return exact_quantiles(self.rowset.df, cells, list(points))
+    def quantiles(self, points, collist=None):
+        """Exact quantiles as a frame: a row per point, in the order given, with ``point`` and the columns as doubles; NULL
+        for a column without values."""
+        names = list(self.numeric_cells()) if collist is None else items(collist)
+        points = [float(p) for p in points]
+        found = exact_quantiles(self.rowset.df, {n: self.cells[n] for n in names}, points)
+        lines = [(i, p, *(found.get((n, p)) for n in names)) for i, p in enumerate(points)]
+        schema = st.StructType([st.StructField(POS, st.LongType()), st.StructField("point", st.DoubleType()),
+                                *(st.StructField(n, st.DoubleType()) for n in names)])
+        return self._of(self.spark.createDataFrame(lines, schema), rows=len(points))
 
     def describe(self):
         """Eleven metrics by row, the columns by column: doubles for numeric columns, whole text for others, NULL where a
         metric has no meaning."""
         numbers = [f.name for f in self.schema if isinstance(f.dataType, st.NumericType)]
-        large = self.numRows > setting(self.spark, "exactQuantileRows")
-        points = self.quantiles(sorted(set(_POINTS.values())), numbers) if large and numbers else None
+        # few values are ranked within the one aggregation below, which is the same but for the passes
+        large = numbers and self.numRows > setting(self.spark, "exactQuantileRows")
+        points = exact_quantiles(self.rowset.df, {n: self.cells[n] for n in numbers}, sorted(set(_POINTS.values()))) if large else None
         measured, lines = [], []
         for c, name in enumerate(self.cells):
             for metric, column in _metrics(name, self.cells[name], name in numbers, points):
@@ -102,6 +109,6 @@ def _metrics(name, cell, numeric, points):
     if numeric:
         yield "avg", sf.avg(cell)
         for metric, point in _POINTS.items():
-            known = points and sf.lit(points.get((name, point))).cast("double")
-            yield metric, known if points else sf.percentile(cell, sf.lit(point))
+            known = points is not None and sf.lit(points.get((name, point))).cast("double")
+            yield metric, known if points is not None else sf.percentile(cell, sf.lit(point))
         yield "stddev", sf.stddev_pop(cell)

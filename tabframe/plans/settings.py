@@ -15,12 +15,16 @@ DEFAULTS = {
     "aggregateCells": 100,           # largest matrix product done as one aggregate
     "topRows": 1 << 16,              # most rows taken by a top-n merge; beyond, by position
     "transposeRows": 500,            # most rows a wide transpose may have
-    "exactQuantileRows": 1 << 16,    # most values that one task ranks for a quantile
-    "quantileAccuracy": 10_000,      # rank accuracy of an approximate bracket
     "fetchRows": 1_000_000,          # most rows brought to the driver by cdata
     "loadTasks": 10_000,             # most tasks of an external load
-    "blockSide": 256,                # side of a block in the blocked matrix product
+    "exactQuantileRows": 1 << 16,    # most rows whose values describe() ranks in one aggregation
+    "blockSide": 1024,               # rows or columns of a block in the product of two large matrices
+    "blockCells": 1 << 20,           # cells of a block, about, that a task has of either matrix
     "mergeFanIn": 64,                # partial states merged per task by a user fold
+    "foldBytes": 1 << 23,            # largest state of a fold over a whole frame
+    "skewBytes": 1 << 28,            # estimated bytes from which on a full join looks for frequent keys
+    "skewRows": 1 << 20,             # rows of a key from which on a full join deals them out
+    "smallCells": 1 << 20,           # most cells of a matrix that is whole beside every batch
 }
 
 

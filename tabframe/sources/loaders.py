@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as sf
 from pyspark.sql import types as st
@@ -13,19 +13,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tabframe.operators.frame import Frame
 from tabframe.operators.userfunc import as_batch, parse_schema
 from tabframe.plans.settings import setting
+from tabframe.sources import custom
 
 
-def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, **kwargs) -> Frame:
+def load_parts(spark: SparkSession, func: Callable, parts, schema, *args, within: Callable | None = None, **kwargs) -> Frame:
     """Call ``func(part, ...)`` once per part, on the executors.
 
-    ``parts`` is a DataFrame (or a list of dicts) describing the pieces: file
-    names, key ranges, dates.  The function gets one description as a dict and
-    returns, or yields piece by piece, a dict of arrays or ``(matrix, names)``.
+    ``parts`` describes the pieces: file names, key ranges, dates.  The function gets one description and returns, or
+    yields piece by piece, a dict of arrays or ``(matrix, names)``.
+
+    A list (of anything that can be pickled) is a data source of Spark's own kind: with ``within(part)``, which tells the
+    lowest and highest value of columns in a part, parts that a later filter rules out are never read.  A DataFrame is for
+    more descriptions than a list should have; the function gets its rows as dicts, and ``within`` has no use.
     """
     schema = parse_schema(schema)
-    arrow = to_arrow_schema(schema)
     if not isinstance(parts, DataFrame):
-        parts = spark.createDataFrame(pd.DataFrame(list(parts)))
+        @functools.wraps(func)
+        def call(part):
+            return func(part, *args, **kwargs)
+
+        return Frame.of(custom.load(spark, call, parts, schema, within, setting(spark, "loadTasks")))
+    arrow = to_arrow_schema(schema)
     spread = parts.repartition(max(1, min(parts.count(), setting(spark, "loadTasks"))))
 
     def run(batches):

@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(params=["one bucket", "many buckets"])
 def buckets(request, spark):
     """Run a test with the default limits and with limits that force the large-data paths."""
-    small = {"rowsPerBucket": 7, "copiesPerChunk": 3, "aggregateCells": 2, "literalCells": 1, "blockSide": 2}
+    small = {"rowsPerBucket": 7, "copiesPerChunk": 3, "aggregateCells": 2, "literalCells": 1, "blockSide": 2, "blockCells": 2}
     if request.param == "many buckets":
         for name, value in small.items():
             spark.conf.set(f"spark.tabframe.{name}", str(value))

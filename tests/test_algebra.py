@@ -4,8 +4,9 @@ import pytest
 from tabframe import CMP, Frame, Q, multiply_long
 from tabframe.operators.matrix import long_form
 from tabframe.operators.positional import array_frame
-from tests.helpers import frame, placed
+from tests.helpers import frame, placed, rows
 
+INF, NAN = float("inf"), float("nan")
 RNG = np.random.default_rng(5)
 A, B = RNG.normal(size=(9, 3)).round(3), RNG.normal(size=(9, 3)).round(3)
 
@@ -137,14 +138,47 @@ def test_long_products(a, b, buckets):
     assert sorted(map(tuple, multiply_long(sparse, other).collect())) == [(0, 1, 20.0), (700, 800, 0.0)]
 
 
+def cells(spark, *lines):
+    return spark.createDataFrame(list(lines), "i long, j long, v double")
+
+
+@pytest.mark.parametrize("settings", [{}, {"blockSide": "2", "blockCells": "3"}])
+def test_long_products_of_absent_and_infinite_cells(spark, settings):
+    """[inf, 1] times [absent, 2] is 2, as is [inf, 1] times [NULL, 2]; inf times a 0 that is there isn't a number."""
+    for name, value in settings.items():
+        spark.conf.set(f"spark.tabframe.{name}", value)
+    left = cells(spark, (0, 0, INF), (0, 1, 1.0), (1, 1, None), (2, 0, -INF), (2, 5, INF))
+    absent, null = cells(spark, (1, 0, 2.0)), cells(spark, (0, 0, None), (1, 0, 2.0))
+    assert rows(multiply_long(left, absent)) == rows(multiply_long(left, null)) == [(0, 0, 2.0)]
+    zero = multiply_long(left, cells(spark, (0, 0, 0.0), (1, 0, 2.0), (5, 1, 1.0))).collect()
+    assert sorted((r.i, r.j, str(r.v)) for r in zero) == [(0, 0, "nan"), (2, 0, "nan"), (2, 1, "inf")]
+    nothing = cells(spark)
+    assert rows(multiply_long(left, nothing)) == rows(multiply_long(nothing, left)) == rows(multiply_long(left, cells(spark, (77, 0, 1.0)))) == []
+    for name in settings:
+        spark.conf.unset(f"spark.tabframe.{name}")
+
+
+@pytest.mark.parametrize("density", [0.02, 0.6, 1.0])
+@pytest.mark.parametrize("settings", [{}, {"blockSide": "16", "blockCells": "200"}])
+def test_long_products_at_every_density(spark, density, settings):
+    for name, value in settings.items():
+        spark.conf.set(f"spark.tabframe.{name}", value)
+    rng = np.random.default_rng(7)
+    x, y = (np.where(rng.random(shape) < density, rng.normal(size=shape), 0) for shape in ((40, 70), (70, 30)))
+    long = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, v double")
+    got = np.zeros((40, 30))
+    for i, j, v in multiply_long(long(x), long(y).repartition(7)).collect():
+        got[i, j] = v
+    np.testing.assert_allclose(got, x @ y, atol=1e-12)
+    for name in settings:
+        spark.conf.unset(f"spark.tabframe.{name}")
+
+
 def test_matrix_views(a, b):
     np.testing.assert_allclose(b.order("p").to_matrix().matrix, B[B[:, 0].argsort()])
     assert set(a.rows) == {"x", "y", "z"}
 
 
-INF, NAN = float("inf"), float("nan")
-
-
 def _same(got, expected):
     assert len(got) == len(expected)
     for a, b in zip(got, expected):

@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as sf
 
-from tabframe import AVG, COL, COUNT, JOIN, MAX, MIN, SUM, C, CMP, Q, F
+from tabframe import AVG, COL, COUNT, JOIN, MAX, MIN, SUM, C, CMP, Frame, Q, F
+from tabframe.plans import skew
 from tests.helpers import frame, ordered, rows
 
 
@@ -95,6 +99,12 @@ def test_order_head_tail(left):
         left.order("k#sideways")
 
 
+def test_average_of_large_distinct_numbers(spark):
+    t = frame(spark, [(2**62,), (2**62 + 2,), (2**62 + 2,), (2**62 + 4,), (None,)], "x long")
+    assert rows(t.agg(({AVG("x", distinct=True): "a"}, {AVG("x"): "b"}))) == [(float(2**62 + 2), float(2**62 + 2))]
+    assert rows(frame(spark, [(0.5,), (0.5,), (1.0,)], "x double").agg({AVG("x", distinct=True): "a"})) == [(0.75,)]
+
+
 def test_distinct(spark):
     assert rows(frame(spark, [(1, None), (1, None), (2, 3)], "a int, b int").distinct()) == [(1, None), (2, 3)]
 
@@ -103,3 +113,55 @@ def test_having_and_expression_groups(left):
     halves = left.project(({F("v") / 2: "h"}, "k")).agg(("k", {SUM("h"): "h"}), "k").filter(Q("h", 2, CMP.GT))
     assert rows(halves) == [(2, 2.5), (5, 2.5)]
     assert rows(left.filter(Q("s", C("e"))).project("v")) == [(5.0,)]
+
+
+@pytest.fixture
+def skewed(spark):
+    """Full joins look for frequent keys in these tests, however small the tables."""
+    spark.conf.set("spark.tabframe.skewBytes", "0")
+    spark.conf.set("spark.tabframe.skewRows", "20")
+    yield
+    spark.conf.unset("spark.tabframe.skewBytes")
+    spark.conf.unset("spark.tabframe.skewRows")
+
+
+@pytest.mark.parametrize("hot", [("l",), ("r",), ("l", "r"), ()])
+def test_full_join_with_frequent_keys(spark, skewed, hot):
+    sides = {}
+    for side in "lr":
+        keys = [i % 37 for i in range(60)] + [None] * 30 + [100 if side == "l" else 200] * 3
+        keys += ([7] * 90 + [300 if side == "l" else 400] * 50) if side in hot else []
+        sides[side] = [(k, i % 2, f"{side}{i}") for i, k in enumerate(keys)]
+    left, right = (frame(spark, sides[s], f"{s}k long, {s}b int, {s}v string") for s in "lr")
+    for f in (left, right):
+        f.rowset.df = f.rowset.df.repartition(5)
+    got = left.join(right, ["lk", "lb"], ["rk", "rb"], COL.ALL, COL.ALL, JOIN.OUTER)
+    want = []
+    for x in sides["l"]:
+        match = [y for y in sides["r"] if x[0] is not None and x[:2] == y[:2]]
+        want += [x + y for y in match] or [(*x, None, None, None)]
+    want += [(None, None, None, *y) for y in sides["r"] if y[0] is None or not any(x[:2] == y[:2] for x in sides["l"])]
+    assert rows(got) == sorted(want, key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def test_full_join_reads_each_input_once(spark, skewed):
+    """A column that differs at every reading is the same in all rows that come from one row."""
+    left = frame(spark, [(i % 5,) for i in range(100)], "k long")
+    left = Frame.of(left.unsorted().select("k", sf.monotonically_increasing_id().alias("id"), sf.rand().alias("x")))
+    right = frame(spark, [(i,) for i in (0, 0, 1, 9)], "k2 long")
+    got = left.join(right, "k", "k2", COL.ALL, COL.ALL, JOIN.OUTER).df.collect()
+    values = {}
+    for r in got:
+        values.setdefault(r.id, set()).add(r.x)
+    assert len(got) == 20 * 2 + 20 + 60 + 1 and all(len(v) == 1 for v in values.values())
+
+
+def test_frequent_keys(spark):
+    rng = random.Random(2)
+    keys = [("a", 1)] * 400 + [("b", None)] * 300 + [("c", 2)] * 200 + [(f"k{rng.randrange(500)}", 0) for _ in range(600)]
+    rng.shuffle(keys)
+    table = spark.createDataFrame(keys, "x string, y int").repartition(7)
+    total, found = skew.frequent(table, ["x", "y"])
+    assert total == 1200 and 0 < found["a", 1] <= 400 and 0 < found["c", 2] <= 200 and ("b", None) not in found
+    few = skew.compressed({"a": 9, "b": 5, "c": 5, "d": 1}, 2)
+    assert few == {"a": 4}

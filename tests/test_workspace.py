@@ -106,6 +106,25 @@ def test_loaders(spark, ws, tmp_path):
         assert rows(read.project(("n_nationkey", "n_name"))) == rows(ws.nation.project(("n_nationkey", "n_name")))
 
 
+def test_filters_leave_parts_unread(spark, ws, tmp_path):
+    def numbers(part):
+        (tmp_path / f"read{part}").touch()
+        n = np.arange(part * 10, part * 10 + 10)
+        return np.column_stack([n, n / 2]), ["n", "half"]
+
+    def read(*conditions):
+        for mark in tmp_path.glob("read*"):
+            mark.unlink()
+        loaded = ws._L(numbers, parts=range(5), schema="n long, half double", within=lambda part: {"n": (part * 10, part * 10 + 9)})
+        return len(rows(loaded.filter(*conditions))), sorted(int(m.name[4:]) for m in tmp_path.glob("read*"))
+
+    assert read(Q("n", 25, CMP.GTE), Q("n", 31, CMP.LT)) == (6, [2, 3])
+    assert read(Q("n", 17)) == (1, [1]) and read(Q("n", 1000, CMP.GT)) == (0, [])
+    assert read(Q("n", [3, 44], CMP.IN)) == (2, [0, 4])
+    assert read(Q("half", 20.0, CMP.GTE)) == (10, [0, 1, 2, 3, 4])  # nothing is known of this column
+    assert ws._L(numbers, parts=[], schema="n long, half double").numRows == 0
+
+
 def test_materialize_and_fetch(spark, ws):
     for keep in ("cache", "durable"):
         kept = ws.orders.order("o_orderkey", unique=True).loadData(keep=keep)
@@ -120,6 +139,25 @@ def test_materialize_and_fetch(spark, ws):
     spark.conf.unset("spark.tabframe.fetchRows")
 
 
+def test_long_fetch_is_in_order(spark, ws):
+    dear = ws.orders.order(["o_totalprice#desc", "o_orderkey"], unique=True).project(("o_orderkey", "o_totalprice"))
+    want = sorted((tuple(r) for r in dear.df.collect()), key=lambda r: (-r[1], r[0]))
+    whole = lambda t: list(zip(*(c.to_pylist() for c in t.columns)))
+    assert whole(dear.cdata) == want
+    spark.conf.set("spark.tabframe.topRows", "100")
+    spark.conf.set("spark.tabframe.rowsPerBucket", "300")
+    assert whole(dear.cdata) == want
+    parts = list(dear.fetch(400))
+    assert [p.num_rows for p in parts] == [400] * (len(want) // 400) + [len(want) % 400] * bool(len(want) % 400)
+    assert [r for p in parts for r in whole(p)] == want
+    spark.conf.set("spark.tabframe.fetchRows", "200")
+    with pytest.raises(ValueError, match="fetch"):
+        dear.cdata
+    for name in ("topRows", "rowsPerBucket", "fetchRows"):
+        spark.conf.unset(f"spark.tabframe.{name}")
+    assert ws.nation.filter(Q("n_nationkey", 99)).order("n_nationkey").cdata.num_rows == 0
+
+
 def test_sql_result_is_a_frame(ws):
     assert isinstance(ws._executeQry("select n_name from nation"), Frame)
     with pytest.raises(NotImplementedError):
@@ -134,3 +172,99 @@ def test_stateless_operators_take_streams(spark, ws, tmp_path):
     query.awaitTermination(60)
     want = ws.orders.filter(Q("o_totalprice", 400000, CMP.GT)).project(("o_orderkey", "o_totalprice"))
     assert rows(ws.read("parquet", f"{tmp_path}/out")) == rows(want)
+
+
+def test_names_in_sql(spark, ws):
+    ws.rich = ws.customer.filter(Q("c_acctbal", 9000, CMP.GT))
+    n = ws.rich.numRows
+    count = lambda sql: ws._executeQry(sql).df.first()[0]
+    assert count("SELECT COUNT(*) FROM RICH") == count("-- all\n/* of */ select count(*) from `Rich`") == n
+    assert count("select count(*) from (select * from Customer where c_acctbal > 9000)") == n
+    assert count("with poor as (select * from customer where c_acctbal <= 9000) select (select count(*) from customer) - count(*) from poor") == n
+    assert count("with rich as (select 1 as one) select count(*) from rich") == 1  # the query's own name
+    assert count("select count(*) from customer where c_custkey in (select c_custkey from RICH)") == n
+    assert count("select count(*) from nation where n_name <> 'from rich select'") == 25
+    wide = ", ".join(f"{i} as c{i}" for i in range(60))
+    assert count(f"select {wide}, (select count(*) from rich) as m".replace("0 as c0,", "(select count(*) from rich) as c0,", 1)) == n
+    assert [t.name for t in spark.catalog.listTables() if t.name.lower() == "rich"] == []
+
+
+def test_workspaces_have_names_of_their_own(spark, ws):
+    other = Workspace(spark, "/root/testdata/sf0.001")
+    ws.some, other.some = ws.nation.filter(Q("n_regionkey", 1)), ws.nation.filter(Q("n_regionkey", 1, CMP.NE))
+    mine, theirs = (w._executeQry("select count(*) as n from some") for w in (ws, other))
+    assert (mine.df.first().n, theirs.df.first().n) == (5, 20)
+    del ws.some
+    with pytest.raises(Exception, match="some"):
+        ws._executeQry("select * from some")
+    assert other._executeQry("select count(*) as n from some").df.first().n == 20
+
+
+def test_values(spark, ws):
+    ws.k, ws.name, ws.day, ws.none = 5, "o'x", datetime.date(1996, 1, 1), None
+    ws.size = np.float64(2.5)
+    assert (ws.k, ws.name) == (5, "o'x")
+    row = ws._executeQry("select :k as a, k + 1 as b, K as c, :name as d, name as e, :day as f, none is null as g, size * 2 as h").df.first()
+    assert tuple(row) == (5, 6, 5, "o'x", "o'x", datetime.date(1996, 1, 1), True, 5.0)
+    few = ws._executeQry("select n_name from nation where n_nationkey < k")
+    ws.k = 7
+    assert few.numRows == 5 and ws._executeQry("select n_name from nation where n_nationkey < k").numRows == 7
+    hidden = ws._executeQry("select k from (select 1 as k)")  # a column comes first
+    assert rows(hidden) == [(1,)]
+    del ws.k
+    with pytest.raises(Exception, match="k"):
+        ws._executeQry("select k")
+    with pytest.raises(Exception, match="k"):
+        ws._executeQry("select :k")
+    other = Workspace(spark, "/root/testdata/sf0.001")
+    with pytest.raises(KeyError):
+        other.name
+    ws.anything = {"a": [1, 2]}
+    assert ws.anything == {"a": [1, 2]}
+
+
+def test_kinds_of_names_are_not_mixed(ws):
+    ws.k, ws.f = 5, ws.nation.filter(Q("n_regionkey", 1))
+    for name, value in (("k", ws.f), ("f", 5), ("nation", 5)):
+        with pytest.raises(TypeError):
+            setattr(ws, name, value)
+
+
+def test_saving_with_a_path(spark, ws, tmp_path):
+    path = f"{tmp_path}/kept"
+    saved = ws._saveTblrData(ws.nation.project(("n_nationkey", "n_name")), "tabframe_test_path", drop=True, path=path)
+    assert saved.numRows == 25
+    again = ws._saveTblrData(saved.filter(Q("n_nationkey", 5, CMP.LT)), "tabframe_test_path", drop=True, path=path)  # reads itself
+    assert again.numRows == 5 and ws.tabframe_test_path.numRows == 5
+
+    def breaks(batch):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="no"):
+        ws._saveTblrData(ws.nation._U(breaks, schema="x long"), "tabframe_test_path", drop=True, path=path)
+    assert Workspace(spark).tabframe_test_path.numRows == 5
+    assert rows(ws._executeQry("select count(*) as n from tabframe_test_path")) == [(5,)]
+    ws._dropTable("tabframe_test_path")
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_savers_of_one_name(spark, ws, tmp_path, kept):
+    import threading
+
+    failed = []
+
+    def save(n):
+        try:
+            frame = ws.nation.filter(Q("n_nationkey", n, CMP.LT)).project("n_nationkey")
+            Workspace(spark)._saveTblrData(frame, "tabframe_test_race", drop=True, path=f"{tmp_path}/race" if kept else None)
+        except Exception as error:  # the name may be taken between dropping and naming
+            failed.append(error)
+
+    savers = [threading.Thread(target=save, args=(n,)) for n in (3, 9)]
+    for saver in savers:
+        saver.start()
+    for saver in savers:
+        saver.join()
+    assert len(failed) <= 1 and Workspace(spark).tabframe_test_race.numRows in (3, 9)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tabframe_test_race_")]
+    ws._dropTable("tabframe_test_race")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as sf
 
-from tabframe import AVG, COUNT, MAX, MIN, SUM, Frame, multiply_long
+from tabframe import AVG, C, COUNT, F, MAX, MIN, SUM, Frame, multiply_long
 from tabframe.operators.matrix import long_form
 from workload.positional import BY_PRICE, MONTHS, RANKED, monthly
 from workload.registry import query
@@ -159,6 +159,16 @@ def matmul_long(ws):
     return multiply_long(cells.select(sf.col("j").alias("i"), sf.col("i").alias("j"), "v"), cells)
 
 
+@query("""select unnest([0, 0, 0, 1, 1, 1, 2, 2, 2])::bigint as i, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2])::bigint as j,
+    round(unnest([sum(q * q), sum(q * p), sum(q * d), sum(p * q), sum(p * p), sum(p * d), sum(d * q), sum(d * p), sum(d * d)]), 2) as v
+    from (select l_quantity as q, l_extendedprice / 1000 as p, l_discount * 100 as d from lineitem)""", digits=2)
+def matmul_tall(ws):
+    """X.T @ X in long form over all rows of lineitem, numbered by file."""
+    x = ws.lineitem.project(("l_quantity", "l_extendedprice", "l_discount")) * np.array([[1.0, 0.001, 100.0]])
+    cells = long_form(x)
+    return multiply_long(cells.select(sf.col("j").alias("i"), sf.col("i").alias("j"), "v"), cells)
+
+
 @query("""select round(sum(o_totalprice * 1.0), 2) as total, round(sum(o_totalprice * o_custkey) / 1e6, 2) as by_customer
     from orders""", digits=2)
 def matmul_two_frames(ws):
@@ -199,3 +209,35 @@ def algebra_then_sql(ws):
     """Algebra feeds relational operators without leaving the plan."""
     x = ws.lineitem.project(({"l_quantity": "a"}, {"l_extendedprice": "b"})) * np.array([[1.0, 0.001]])
     return ((x.project("a") - 2) * 2).hstack([x.project("b")]).agg(({AVG("a"): "a"}, {MAX("b"): "b"}, {MIN("b"): "low"}))
+
+
+def regression(ws):
+    """Quantity, discount and ones of lineitem, and its price in thousands, over the same rows."""
+    lines = ws.lineitem
+    return (lines.project(({"l_quantity": "q"}, {"l_discount": "d"}, {F(C(1.0)): "one"})),
+            lines.project({"l_extendedprice": "y"}) / 1000)
+
+
+@query("""select unnest([0, 1, 2])::bigint as pos, unnest([round(0.5 - 1e-9 * sum(q * e), 6), round(2 - 1e-9 * sum(d * e), 6), round(1 - 1e-9 * sum(e), 6)]) as w
+    from (select q, d, 0.5 * q + 2 * d + 1 - y as e from
+    (select l_quantity as q, l_discount as d, l_extendedprice / 1000 as y from lineitem))""", digits=6)
+def linreg_step(ws):
+    """A step down the gradient of least squares: products and differences in one pass, and one aggregation."""
+    x, y = regression(ws)
+    w = np.array([[0.5], [2.0], [1.0]])
+    slope = x.T @ (x @ w - y)
+    return (slope * -1e-9 + w).project({next(iter(slope.cells)): "w"}).positions().withColumnRenamed("__pos", "pos")
+
+
+@query("""select round(regr_slope(y, q), 6) as slope, round(regr_intercept(y, q), 6) as intercept, round(sum(pow(y - regr, 2)) / count(*), 5) as error from
+    (select q, y, regr_slope(y, q) over () * q + regr_intercept(y, q) over () as regr from
+    (select l_quantity as q, l_extendedprice / 1000 as y from lineitem))""", digits=6)
+def linreg_normal(ws):
+    """Normal equations: two small products of tall frames are solved, and the errors of all rows summed up."""
+    x, y = regression(ws)
+    x = x.project(("q", "one"))
+    beta = np.linalg.solve((x.T @ x).matrix, (x.T @ y).matrix)
+    rest = (y - x @ beta) ** 2
+    slope, intercept = (float(b) for b in beta[:, 0])
+    found = rest.agg({AVG(next(iter(rest.cells))): "error"}).project(({F(C(slope)): "slope"}, {F(C(intercept)): "intercept"}, "error"))
+    return found.df.withColumn("error", sf.round("error", 5))

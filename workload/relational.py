@@ -1,5 +1,8 @@
 """Filters, projections, joins, aggregates, order and catalog queries."""
 
+import pyarrow as pa
+from pyspark.sql import functions as sf
+
 from tabframe import (
     AVG, C, CASE, CMP, COL, COUNT, DATE, EXTRACT, F, JOIN, MAX, MIN, Q, SUBSTRING, SUM,
 )
@@ -302,6 +305,15 @@ def agg_distinct(ws):
          {MAX("l_linenumber", distinct=True): "high"}), "l_returnflag")
 
 
+@query("""select l_returnflag, round(avg(distinct l_orderkey::bigint * 1000000000000) / 1e9, 3) as mean,
+    count(distinct l_orderkey) as n from lineitem group by 1""", digits=3)
+def agg_distinct_large(ws):
+    """The sum of the distinct keys has more than 64 bits, their mean hasn't."""
+    keys = ws.lineitem.project(("l_returnflag", "l_orderkey", {F("l_orderkey") * 1_000_000_000_000: "large"}))
+    found = keys.agg(("l_returnflag", {AVG("large", distinct=True): "mean"}, {COUNT("l_orderkey", distinct=True): "n"}), "l_returnflag")
+    return found.project(("l_returnflag", {F("mean") / 1e9: "mean"}, "n"))
+
+
 @query("""select o_custkey, count(*) as orders, round(sum(o_totalprice), 2) as spent from orders
     group by o_custkey having count(*) > 10 and sum(o_totalprice) > 3000000""", digits=2)
 def agg_having(ws):
@@ -360,6 +372,44 @@ def bind_and_sql(ws):
     return ws._executeQry("select o_orderpriority, count(*) as n from all_orders group by o_orderpriority")
 
 
+@query("""select o_orderpriority, count(*) as n, 4000 as least from orders where o_totalprice > 4000 * 10 and o_orderstatus = 'F'
+    group by o_orderpriority""")
+def bind_value(ws):
+    """Plain values by name, in a query in capitals over a named frame."""
+    ws.least, ws.status = 4000, "F"
+    ws.done = ws.orders.filter(Q("o_orderstatus", C("F")))
+    return ws._executeQry("""SELECT O_ORDERPRIORITY AS o_orderpriority, COUNT(*) AS n, least FROM DONE
+        WHERE O_TOTALPRICE > :least * 10 AND O_ORDERSTATUS = status GROUP BY O_ORDERPRIORITY""")
+
+
+@query("""select o_orderpriority, year, n, row_number() over (order by n desc, o_orderpriority, year) - 1 as place from
+    (select o_orderpriority, year(o_orderdate)::int as year, count(*) as n from orders group by 1, 2)""")
+def fetch_cdata(ws):
+    """A summary fetched in order, ten rows at a time, and given back as a frame with its places."""
+    years = ws.orders.project(("o_orderpriority", {EXTRACT("o_orderdate", F.OP.YEAR): "year"}))
+    counts = years.agg(("o_orderpriority", "year", {COUNT("*"): "n"}), ["o_orderpriority", "year"])
+    rows = pa.concat_tables(counts.order(["n#desc", "o_orderpriority", "year"], unique=True).fetch(10))
+    return ws._spark.createDataFrame(rows.append_column("place", pa.array(range(rows.num_rows), pa.int64())))
+
+
+@query("""select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings',
+    'pages', 'benchmark', 'labels', 'conversations']) as tableName, (select count(*) from nation) as nations""")
+def list_tables(ws):
+    """The stored tables of the folder, beside a count over one of them."""
+    found = ws._tables().where("tableName not like 'tabframe%'").crossJoin(ws.nation.agg({COUNT("*"): "nations"}).df)
+    return found
+
+
+@query("select count(*) as n, false as there, 25 as kept from customer")
+def drop_table(ws):
+    """A table is saved, read, dropped and gone; the table it came from stays."""
+    saved = ws._saveTblrData(ws.customer.project(("c_custkey", "c_name")), "tabframe_dropped_customer", drop=True)
+    rows = saved.numRows
+    ws._dropTable("tabframe_dropped_customer")
+    there = "tabframe_dropped_customer" in [r.tableName for r in ws._tables().collect()]
+    return ws.nation.agg({COUNT("*"): "kept"}).df.select(sf.lit(rows).alias("n"), sf.lit(there).alias("there"), sf.col("kept").cast("int").alias("kept"))
+
+
 @query("""select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey
     group by n_name""")
 def raw_sql(ws):

@@ -87,8 +87,5 @@ def describe_long_text(ws):
     unnest([quantile_cont(l_quantity, 0.1), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.99)])
       as quantity from lineitem""", digits=4)
 def exact_quantiles(ws):
-    points = [0.1, 0.5, 0.99]
-    values = ws.lineitem.quantiles(points, ["l_extendedprice", "l_quantity"])
-    return ws._spark.createDataFrame(
-        [(p, values["l_extendedprice", p], values["l_quantity", p]) for p in points],
-        "point double, price double, quantity double")
+    found = ws.lineitem.quantiles([0.1, 0.5, 0.99], ["l_extendedprice", "l_quantity"])
+    return found.project(("point", {"l_extendedprice": "price"}, {"l_quantity": "quantity"}))
