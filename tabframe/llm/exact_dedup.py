@@ -92,10 +92,17 @@ def exact_copies(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of equal texts, with the columns of ``docs``."""
-    keep = exact_copies(docs).where("kept").select(sf.col("doc_id").alias("stays"), sf.col("text_sha256").alias("sha")).distinct()
-    own = [sf.col("doc_id").cast("long").eqNullSafe(sf.col("stays")), sf.sha2(normalised(sf.col("text")), 256) == sf.col("sha")]
-    return docs.join(keep, own, "left_semi")
+    """The documents that stay, one of equal texts, with the columns of ``docs``.
+
+    Of equal texts the one with the most code points stays, then the smallest doc_id, as in ``exact_copies``; a null text is
+    empty, so one of all null and blank texts stays. Rows that repeat an id and a text that stay are all kept, as are rows
+    without id of which one stays. Texts are compared whole. An empty table gives no rows. Columns may have any names.
+    """
+    keep = exact_copies(docs).where("kept").select("doc_id", "text_sha256").distinct().alias("keep")
+    mine = docs.alias("docs")
+    own = [sf.col("docs.doc_id").cast("long").eqNullSafe(sf.col("keep.doc_id")),
+           sf.sha2(normalised(sf.col("docs.text")), 256) == sf.col("keep.text_sha256")]
+    return mine.join(keep, own, "left_semi")
 
 
 def op4_exact_dedup(spark, sf_dir):
