@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -296,15 +297,36 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5):
     return net, Logistic(400).fit(summary(*net.logits(held), held.docs), labels[check])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Learn from a bounded sample of labelled documents that are not held out; None if a label is lacking."""
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", sample, 0, SAMPLE_BYTES)
-    found = rows.select("label", "text").toPandas()
+def _state(net: Network, top: Logistic) -> bytes:
+    """A fitted model as plain arrays."""
+    return pickle.dumps([{k: getattr(net, k) for k in ("word", "gram", "peak", "head", "weights")}, vars(top)])
+
+
+def _model(state: bytes):
+    net, top = Network.__new__(Network), Logistic()
+    for made, values in zip((net, top), pickle.loads(state)):
+        vars(made).update(values)
+    return net, top
+
+
+def _learnt(part: pa.Table) -> pa.Table:
+    """The model that some labelled texts give, or null if a label is lacking."""
+    found = part.to_pandas()
     # in an order that follows from the texts alone, and mixes the labels
     found["order"] = [zlib.crc32((t or "").encode()) for t in found["text"]]
     found = found.sort_values(["order", "text", "label"])
     marks = found["label"].to_numpy(np.int64)
-    return fit(pa.array(found["text"], pa.large_string()), marks) if min((marks == 0).sum(), (marks == 1).sum()) >= 8 else None
+    able = min((marks == 0).sum(), (marks == 1).sum()) >= 8
+    return pa.table({"model": pa.array([_state(*fit(pa.array(found["text"], pa.large_string()), marks)) if able else None], pa.binary())})
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
+    """Learn from a bounded sample of labelled documents that are not held out; None if a label is lacking.
+
+    The sample is fitted in one task, and only the weights, whose number is fixed, come to the driver."""
+    rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", sample, 0, SAMPLE_BYTES)
+    row = rows.select("label", "text").groupBy(sf.lit("all")).applyInArrow(_learnt, "model binary").first()
+    return bytes(row.model) if row and row.model else None
 
 
 def scores(model, column) -> np.ndarray:
@@ -326,9 +348,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # of fixed size
 
     def run(batches):
+        known = model.value and _model(model.value)
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
-                found = scores(model.value, piece.column("text")) if model.value else np.zeros(piece.num_rows)
+                found = scores(known, piece.column("text")) if known else np.zeros(piece.num_rows)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": found,
                     "predicted": pa.array((found >= threshold).astype(np.int32))})
@@ -337,15 +360,22 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not predicted to be toxic, with the columns of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    if model.value is None:
+    """The documents that are not predicted to be toxic, with the columns of ``docs``.
+
+    Scores are those of ``score``: whole texts count, a null, empty or blank text has no window and stays unless the model
+    takes that for toxic, rows without id and repeated rows are judged each by its text. With too few labels all rows
+    stay. An empty table gives no rows. Columns may have any names; only doc_id and text are looked at.
+    """
+    state = train(docs, labels)
+    if state is None:
         return docs
+    model = docs.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
+        known = _model(model.value)
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
-                yield piece.filter(pa.array(scores(model.value, piece.column("text")) < threshold))
+                yield piece.filter(pa.array(scores(known, piece.column("text")) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
