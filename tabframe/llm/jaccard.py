@@ -273,6 +273,15 @@ def _members(batches):
                 "set": piece.column("set").take(pa.array(own)), "tokens": pa.array([token[ends[i] - count[i] : ends[i]].tobytes() for i in own], pa.binary())})
 
 
+def _nameless(batches):
+    for batch in batches:
+        for piece in pieces(batch, "text", 1 << 21):
+            token, count = shingles(Texts(piece.column("text")))
+            ends = np.cumsum(count)
+            yield pa.RecordBatch.from_pydict({
+                "set": set_ids(token, count), "tokens": pa.array([token[e - n : e].tobytes() for e, n in zip(ends, count)], pa.binary())})
+
+
 def _verified(pairs: pa.Table, hubs: pa.Table) -> pa.Table:
     """Pairs with a hub that pass the contract: hub's shingles once, the others' one by one."""
     if not hubs.num_rows or not pairs.num_rows:
@@ -311,52 +320,193 @@ def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _crowds(strong: DataFrame) -> DataFrame:
-    """set, crowds: up to eight shingles of each set that at least CROWD sets have picked, the most frequent ones."""
-    often = strong.groupBy("token").agg(sf.count("*").alias("n")).where(sf.col("n") >= CROWD)
+    """set, crowds: up to eight shingles of each set that at least CROWD sets have picked, the most frequent ones, each with
+    the number of tiles of its crowd."""
+    often = strong.groupBy("token").agg(sf.count("*").alias("n"), _tiles(sf.count("*"), sf.sum("size"))).where(sf.col("n") >= CROWD)
     rank = Window.partitionBy("set").orderBy(sf.desc("n"), "token")
-    return written(strong.join(often, "token").select("set", "token", "n", sf.row_number().over(rank).alias("place")).where(
-        "place <= 8").groupBy("set").agg(sf.collect_list(sf.struct("token", "n")).alias("crowds")), "crowds")
+    return written(strong.join(often, "token").select("set", "token", "tiles", sf.row_number().over(rank).alias("place")).where(
+        "place <= 8").groupBy("set").agg(sf.collect_list(sf.struct("token", "tiles")).alias("crowds")), "crowds")
+
+
+def _tiles(sets, size):
+    """In how many tiles so many sets go, with so many shingles in all: bounded in sets and in bytes."""
+    return sf.greatest(sf.ceil(sets / TILE), sf.ceil(size * 8 / PART_BYTES)).alias("tiles")
 
 
-def _block(part: pa.Table) -> pa.Table:
-    """Two tiles of a crowd: links among all their sets, as a forest. Common shingles are counted by products of 0/1
-    matrices, some thousand shingles at a time."""
-    token = [np.frombuffer(t.as_py(), np.uint64) for t in part.column("tokens")]
-    sets, size = np.asarray(part.column("set")), np.array([len(t) for t in token])
-    flat, row = np.concatenate(token), np.repeat(np.arange(len(token)), size)
-    names, column = np.unique(flat, return_inverse=True)
+def _common(token: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common, by products of 0/1 matrices, some thousand shingles at a time."""
+    flat, row = np.concatenate(token), np.repeat(np.arange(len(token)), [len(t) for t in token])
+    names, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.zeros((len(token), len(token)), np.float32)
+    shared = often > 1  # others add to the diagonal alone
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(token), len(token)), np.float32)
-    for at in range(0, len(names), COLUMNS):
+    for at in range(0, int(shared.sum()), COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
-        some = np.zeros((len(token), min(COLUMNS, len(names) - at)), np.float32)
+        some = np.zeros((len(token), min(COLUMNS, int(shared.sum()) - at)), np.float32)
         some[row[a:b], column[a:b] - at] = 1
         common += some @ some.T
-    i, j = np.nonzero(100.0 * common >= PERCENT * (size[:, None] + size[None] - common.astype(np.float64)))
+    return common
+
+
+def _linked(sets: np.ndarray, token: list[np.ndarray], pairs: np.ndarray | None = None):
+    """The links among sets, as a forest; with ``pairs`` (their places) only these are looked at."""
+    size = np.array([len(t) for t in token], np.int64)
+    if pairs is None or len(pairs) > 2 * len(token):
+        common = _common(token)
+        fits = 100.0 * common >= PERCENT * (size[:, None] + size[None] - common.astype(np.float64))
+        if pairs is None:
+            i, j = np.nonzero(np.triu(fits, 1))
+        else:
+            i, j = pairs[fits[pairs[:, 0], pairs[:, 1]]].T
+    else:
+        found = []
+        for i, j in pairs.tolist():
+            place = np.minimum(np.searchsorted(token[i], token[j]), size[i] - 1)
+            common = int((token[i][place] == token[j]).sum())
+            found.append(100 * common >= PERCENT * (size[i] + size[j] - common))
+        i, j = pairs[np.array(found, bool)].T if len(pairs) else (size[:0], size[:0])
     root = forest(i, j, len(token))
     far = np.flatnonzero(root != np.arange(len(token)))
-    return pa.table({"x": pa.array(sets[root[far]]), "y": pa.array(sets[far])})
+    return pa.RecordBatch.from_pydict({"x": pa.array(sets[root[far]]), "y": pa.array(sets[far])})
+
+
+def _opened(column: pa.Array):
+    """The sets and shingles in tiles (lists of set, tokens)."""
+    flat = column.flatten()
+    return np.asarray(flat.field("set")), [np.frombuffer(t.as_py(), np.uint64) for t in flat.field("tokens")]
+
+
+def _blocks(batches):
+    """Two tiles of a crowd: links among all their sets."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sets, token = _opened(batch.column("rows").slice(i, 1))
+            if batch.column("other")[i].is_valid:
+                more, theirs = _opened(batch.column("other").slice(i, 1))
+                sets, token = np.concatenate([sets, more]), token + theirs
+            yield _linked(sets, token)
 
 
 def _crowd_links(crowds: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Links within crowds: tiles of each are compared in pairs inside tasks, which return forests."""
+    """Links within crowds: each tile is one row, and tiles are compared in pairs inside tasks, which return forests."""
     members = _shingles_of(crowds.select("set"), docs, ids)
     placed = crowds.select("set", sf.explode("crowds").alias("c")).select(
-        "set", sf.col("c.token").alias("token"), sf.ceil(sf.col("c.n") / TILE).cast("int").alias("tiles")).withColumn(
-        "tile", sf.pmod(sf.xxhash64("set"), sf.col("tiles")).cast("int"))
-    other = sf.explode(sf.sequence(sf.lit(0), sf.col("tiles") - 1)).alias("other")
-    met = placed.select("set", "token", "tile", other).select(
-        "set", "token", sf.least("tile", "other").alias("a"), sf.greatest("tile", "other").alias("b"))
-    return written(met.join(members, "set").groupBy("token", "a", "b").applyInArrow(_block, "x long, y long"), "links")
+        "set", sf.col("c.token").alias("token"), sf.pmod(sf.xxhash64("set"), sf.col("c.tiles")).alias("tile"))
+    tiles = written(placed.join(members, "set").groupBy("token", "tile").agg(sf.collect_list(sf.struct("set", "tokens")).alias("rows")), "tiles")
+    other = tiles.select("token", sf.col("tile").alias("tile2"), sf.col("rows").alias("other"))
+    met = tiles.join(other, "token").where("tile < tile2").select("rows", "other")
+    alone = tiles.join(other.groupBy("token").agg(sf.count("*").alias("n")).where("n = 1"), "token", "left_semi").select(
+        "rows", sf.lit(None).cast(tiles.schema["rows"].dataType).alias("other"))
+    return written(met.union(alone).mapInArrow(_blocks, "x long, y long"), "links")
+
+
+def _met(batches):
+    """Packs of sets that share a shingle, two in a row or one with itself: the pairs that could link, by the tiles of their
+    sets. A pair that meets at several shingles of a batch is sent once."""
+    for batch in batches:
+        found = [np.zeros((0, 4), np.int64)]
+        own, other = (_Pack(batch.column(c)) for c in ("rows", "other"))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(np.cumsum(own.count[at:] * other.count[at:]), MERGED, "right")) + at)
+            times = np.repeat(other.count[at:to], own.count[at:to])
+            i = np.repeat(np.arange(own.first[at], own.first[to]), times)
+            j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            j += np.repeat(np.repeat(other.first[at:to], own.count[at:to]), times)
+            fits = (100 * np.minimum(own.size[i], other.size[j]) >= PERCENT * np.maximum(own.size[i], other.size[j])) & (own.group[i] != other.group[j])
+            i, j = i[fits], j[fits]
+            reach = lambda x, i, y, j: (x.left[i] >= x.need[i]) & (x.need[i] <= y.left[j]) & (x.need[i] <= y.need[j])
+            fits = reach(own, i, other, j) | reach(other, j, own, i)
+            i, j = i[fits], j[fits]
+            for part in range(0, len(i), MERGED >> 4):
+                a, b = i[part : part + (MERGED >> 4)], j[part : part + (MERGED >> 4)]
+                apart = ~(own.crowds[a][:, :, None] == other.crowds[b][:, None, :]).any((1, 2))
+                a, b = a[apart], b[apart]
+                rows = np.stack([own.tile[a], other.tile[b], own.set[a], other.set[b]], axis=1)
+                turned = (rows[:, 0] > rows[:, 1]) | (rows[:, 0] == rows[:, 1]) & (rows[:, 2] > rows[:, 3])
+                rows[turned] = rows[turned][:, [1, 0, 3, 2]]
+                found.append(np.unique(rows, axis=0))
+            at = to
+        rows = np.unique(np.concatenate(found), axis=0)
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+        parts = np.split(np.ascontiguousarray(rows[:, 2:]), np.flatnonzero(new)[1:]) if len(rows) else []
+        yield pa.RecordBatch.from_pydict({"a": pa.array(rows[new, 0]), "b": pa.array(rows[new, 1]), "pairs": pa.array([r.tobytes() for r in parts], pa.binary())})
+
+
+class _Pack:
+    """Lists of sets that picked a shingle, as arrays."""
+
+    def __init__(self, column: pa.ListArray):
+        flat = column.flatten()
+        self.set, self.size, self.need, self.left, self.group, self.tile = (
+            np.asarray(flat.field(c), np.int64) for c in ("set", "size", "need", "left", "group", "tile"))
+        self.count = np.asarray(pa.compute.list_value_length(column), np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        # crowds of a set, filled up with numbers that no two places share
+        self.crowds = -1 - np.arange(len(flat) * 8, dtype=np.int64).reshape(-1, 8)
+        within = flat.field("crowds")
+        number = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(within), 0), np.int64)
+        column = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        self.crowds[np.repeat(np.arange(len(number)), number), column] = np.asarray(within.flatten(), np.int64)
+
+
+def _compared(pairs: pa.Table, tiles: pa.Table) -> pa.Table:
+    """The pairs between two tiles that are links."""
+    flat = [np.frombuffer(p.as_py(), np.int64).reshape(-1, 2) for p in pairs.column("pairs")]
+    wanted = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *flat]), axis=0)
+    opened = [_opened(chunk) for chunk in tiles.column("rows").chunks if len(chunk)]
+    sets, token = np.concatenate([s for s, _ in opened]), [t for _, some in opened for t in some]
+    # only sets of pairs take part
+    used = np.flatnonzero(np.isin(sets, wanted))
+    used = used[np.argsort(sets[used])]
+    return pa.Table.from_batches([_linked(sets[used], [token[i] for i in used], np.searchsorted(sets[used], wanted))])
+
+
+def _rest_links(index: DataFrame, known: DataFrame, crowds: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links between sets that share a shingle both have picked, aren't joined yet and were in no crowd together.
+
+    The sets that picked a shingle are packed, and packs meet in pairs inside tasks. Sets go to tiles by the most frequent of
+    their shingles, so that sets that meet are mostly in one tile; pairs are sent packed by their two tiles, which get their
+    shingles once for all these pairs. So rows are of packs and of tiles, and none is of a single pair.
+    """
+    groups = known.select(sf.col("node").alias("set"), "component")
+    live = index.join(groups, "set", "left").withColumn("group", sf.coalesce("component", "set")).drop("component", "common")
+    apart = live.groupBy("token").agg(sf.count("*").alias("n"), (sf.min("group") != sf.max("group")).alias("apart")).where("apart").drop("apart")
+    live = written(live.join(apart, "token"), "apart")
+    leads = live.groupBy("set").agg(sf.max_by("token", sf.struct("n", "token")).alias("lead"), sf.max("size").alias("size"))
+    parts = leads.groupBy("lead").agg(_tiles(sf.count("*"), sf.sum("size")))
+    tile = sf.xxhash64("lead", sf.pmod(sf.xxhash64("set"), sf.col("tiles"))).alias("tile")
+    tiles = leads.join(parts, "lead").select("set", tile).join(
+        crowds.select("set", sf.col("crowds.token").alias("crowds")), "set", "left")
+    tiles = written(tiles, "tiles")
+    fields = sf.struct("set", "size", "need", "left", "group", "tile", "crowds")
+    pack = sf.pmod(sf.xxhash64("set"), sf.ceil(sf.col("n") / TILE)).alias("pack")
+    packs = live.join(tiles, "set").groupBy("token", pack).agg(sf.collect_list(fields).alias("rows"))
+    packs = written(packs, "packs")
+    other = packs.select("token", sf.col("pack").alias("pack2"), sf.col("rows").alias("other"))
+    met = written(packs.join(other, "token").where("pack <= pack2").select("rows", "other").mapInArrow(_met, "a long, b long, pairs binary"), "pairs")
+    if met.isEmpty():
+        return met.select(sf.col("a").alias("x"), sf.col("b").alias("y"))
+    between = met.select("a", "b").distinct()
+    ends = between.select(sf.col("a").alias("tile"), "a", "b").union(between.where("a <> b").select("b", "a", "b"))
+    named = tiles.join(ends.select("tile").distinct(), "tile", "left_semi").select("set", "tile")
+    full = _shingles_of(named.select("set"), docs, ids).join(named, "set").groupBy("tile").agg(sf.collect_list(sf.struct("set", "tokens")).alias("rows"))
+    sent = ends.join(full, "tile").select("a", "b", "rows")
+    return written(met.groupBy("a", "b").cogroup(sent.groupBy("a", "b")).applyInArrow(_compared, "x long, y long"), "links")
 
 
 def _shingles_of(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """set, tokens: the shingles of each set, taken from one document that has it."""
     lead = ids.join(sets, "set", "left_semi").groupBy("set").agg(sf.min("doc_id").alias("lead"))
-    # a set that only rows without id have is looked up among these
-    texts = docs.join(lead, sf.col("doc_id").eqNullSafe(sf.col("lead")))
-    return written(texts.select("set", "text").mapInArrow(_members, "set long, tokens binary"), "members")
+    texts = docs.join(lead, sf.col("doc_id") == sf.col("lead")).select("set", "text")
+    # sets that only rows without id have: these rows are read once more and keep the sets that are wanted
+    nameless = docs.where("doc_id is null").select("text").mapInArrow(_nameless, "set long, tokens binary").join(
+        lead.where("lead is null"), "set", "left_semi").dropDuplicates(["set"])
+    return written(texts.mapInArrow(_members, "set long, tokens binary").union(nameless), "members")
 
 
 def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -369,10 +519,7 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
         _picked, "token long, set long, size long, need long, left long, common double"), "index")
     docs = docs.select("doc_id", text)
     strong = index.where("left >= need")
-    fits = (sf.col("need") <= sf.col("left2")) & (sf.col("need") <= sf.col("need2")) & (
-        100 * sf.least("size", "size2") >= PERCENT * sf.greatest("size", "size2"))
     other = index.select("token", sf.col("set").alias("y"), sf.col("size").alias("size2"), sf.col("need").alias("need2"), sf.col("left").alias("left2"))
-    ordered = [sf.least("x", "y").alias("x"), sf.greatest("x", "y").alias("y")]
     # first each set against the hub of each of its shingles: the one that shares most
     hubs = strong.groupBy("token").agg(sf.max_by(sf.struct("set", "size", "need"), sf.struct("common", "set")).alias("hub")).select(
         "token", sf.col("hub.set").alias("x"), sf.col("hub.size").alias("size"), sf.col("hub.need").alias("need"))
@@ -385,22 +532,8 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     if not crowds.isEmpty():
         links = links.union(_crowd_links(crowds, docs, ids))
     # then what shares a shingle, isn't joined yet and was in no crowd together
-    known = components(links, "x", "y")
-    in_crowds = crowds.select("set", sf.col("crowds.token").alias("in"))
-
-    def named(df, c, group, crowd):
-        df = df.join(known.select(sf.col("node").alias(c), "component"), c, "left")
-        df = df.join(in_crowds.select(sf.col("set").alias(c), sf.col("in").alias(crowd)), c, "left")
-        return df.withColumn(group, sf.coalesce("component", c)).drop("component")
-
-    mine = named(strong.withColumnRenamed("set", "x"), "x", "group", "in").select("token", "x", "size", "need", "group", "in")
-    theirs = named(other, "y", "group2", "in2")
-    apart = theirs.groupBy("token").agg((sf.min("group2") != sf.max("group2")).alias("apart")).where("apart").select("token")
-    together = sf.coalesce(sf.arrays_overlap("in", "in2"), sf.lit(False))
-    rest = mine.join(apart, "token").join(theirs, "token").where(fits & (sf.col("group") != sf.col("group2")) & ~together)
-    size = sf.when(sf.col("x") < sf.col("y"), sf.col("size2")).otherwise(sf.col("size")).alias("size")
-    rest = rest.select(*ordered, size).distinct().join(tried.select(*ordered).distinct(), ["x", "y"], "left_anti")
-    return links.union(_links(written(rest, "pairs"), docs, ids))
+    known = written(components(links, "x", "y"), "joined")
+    return links.union(_rest_links(index, known, crowds, docs, ids))
 
 
 def similar(docs: DataFrame) -> DataFrame:
