@@ -9,7 +9,8 @@ import numpy as np
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Names that operators use inside, as columns of their input.
-CLASHES = ("key", "size", "set", "h", "body", "bucket", "label", "ids", "rank", "rows", "kept", "score", "tokens", "held_out")
+CLASHES = ("key", "size", "set", "h", "body", "bucket", "label", "ids", "rank", "rows", "kept", "score", "tokens", "held_out",
+           "stays", "sha", "keep_id", "text_sha256")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
@@ -70,7 +71,8 @@ def similar(rows):
 
 
 def linked(rows, cosine=0.95):
-    fine = {i: np.array(e, float) for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e)}
+    fine = {i: np.array(e, float) / max(map(abs, e)) for i, e in rows  # scaled, as squares of large components overflow
+            if e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e)}
     name, count = {i: i for i, _ in rows}, collections.Counter()
     for i in fine:
         for j in fine:

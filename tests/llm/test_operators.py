@@ -105,6 +105,31 @@ def test_similar_with_hot_shingles(docs, rows, monkeypatch):
     assert got(jaccard.similar(docs)) == helpers.similar(pairs(rows))
 
 
+@pytest.mark.parametrize("crowd", [4, 10**6])
+def test_similar_in_small_tiles(docs, rows, crowd, monkeypatch):
+    """Packs and tiles of three sets; with no crowds all pairs but those with hubs go to them."""
+    for name, value in {"TILE": 3, "CROWD": crowd, "PART_BYTES": 4000, "SALTS": 2}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    assert got(jaccard.similar(docs)) == helpers.similar(pairs(rows))
+
+
+def test_links_of_tiles():
+    rng = np.random.default_rng(2)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.sort(rng.choice(base, n, replace=False)) for n in (100, 80, 70, 75, 60)] + [np.arange(500, 530, dtype=np.uint64)] * 2
+    alike = lambda a, b: 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b))
+    want = {(i, j) for i in range(7) for j in range(i) if alike(sets[i].tolist(), sets[j].tolist())}
+    ids = np.arange(7)
+    for pairs_ in (None, np.array([(j, i) for i in range(7) for j in range(i)]), np.array([(0, 1), (5, 6)])):
+        links = list(zip(*(c.to_pylist() for c in jaccard._linked(ids, sets, pairs_).columns)))
+        wanted = want if pairs_ is None else want & {(j, i) for i, j in pairs_.tolist()}
+        name = {i: i for i in range(7)}
+        for i, j in wanted:
+            a, b = sorted((name[i], name[j]))
+            name = {k: a if v == b else v for k, v in name.items()}
+        assert {j: i for i, j in links} == {i: v for i, v in name.items() if i != v}
+
+
 def test_similar_with_a_shingle_hot_elsewhere(spark):
     """A link whose only shingle in both prefixes is hot where the one set is, and needs less where the other is."""
     rng = random.Random(5)
@@ -243,11 +268,19 @@ def test_toxicity(spark, labels):
     docs = table(spark, FOLDER, "documents")
     found = toxicity.score(odd(spark, docs), labels.unionByName(labels.limit(1))).collect()
     assert len(found) == docs.count() + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
-    assert accuracy(found, {r.doc_id: r.toxic for r in labels.collect()}, "predicted") >= 0.88
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found if r.doc_id is not None)
     assert {r.score for r in toxicity.score(docs.limit(3), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxic_documents_are_found(spark):
+    """Recall and precision on held-out documents; always saying 0 would have recall 0."""
+    folder = FOLDER.replace("0.01", "0.1")
+    marks = {r.doc_id: r.toxic for r in table(spark, folder, "labels").collect()}
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).where("held_out").collect()
+    said, toxic = {r.doc_id for r in found if r.predicted and r.doc_id in marks}, {r.doc_id for r in found if marks.get(r.doc_id) == 1}
+    assert len(said & toxic) >= 0.65 * len(toxic) and len(said & toxic) >= 0.95 * len(said)
+
+
 def test_network_gradients():
     words = toxicity.Words(pa.array(["a clown is here and a clown", "hello"], pa.large_string()))
     net = toxicity.Network()
