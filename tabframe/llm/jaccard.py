@@ -492,11 +492,11 @@ def _rest_links(index: DataFrame, known: DataFrame, crowds: DataFrame, docs: Dat
     if met.isEmpty():
         return met.select(sf.col("a").alias("x"), sf.col("b").alias("y"))
     between = met.select("a", "b").distinct()
-    ends = between.select(sf.col("a").alias("tile"), "a", "b").union(between.where("a <> b").select("b", "a", "b"))
+    ends = between.select(sf.col("a").alias("tile"), "a", "b").union(between.where("a <> b").select(sf.col("b").alias("tile"), "a", "b"))
     named = tiles.join(ends.select("tile").distinct(), "tile", "left_semi").select("set", "tile")
     full = _shingles_of(named.select("set"), docs, ids).join(named, "set").groupBy("tile").agg(sf.collect_list(sf.struct("set", "tokens")).alias("rows"))
-    sent = ends.join(full, "tile").select("a", "b", "rows")
-    return written(met.groupBy("a", "b").cogroup(sent.groupBy("a", "b")).applyInArrow(_compared, "x long, y long"), "links")
+    sent = ends.join(full, "tile").select(sf.col("a").alias("c"), sf.col("b").alias("d"), "rows")
+    return written(met.groupBy("a", "b").cogroup(sent.groupBy("c", "d")).applyInArrow(_compared, "x long, y long"), "links")
 
 
 def _shingles_of(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
