@@ -113,6 +113,31 @@ def test_similar_in_small_tiles(docs, rows, crowd, monkeypatch):
     assert got(jaccard.similar(docs)) == helpers.similar(pairs(rows))
 
 
+@pytest.mark.parametrize("tile", [512, 3])
+def test_near_copies_that_fall_short(spark, tile, monkeypatch):
+    """Many sets about as alike as a link asks for: what hubs and crowds leave is compared in tiles."""
+    monkeypatch.setattr(jaccard, "CROWD", 10**6)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng, seen, write = random.Random(6), [], jaccard.written
+    base = [f"w{rng.randrange(1 << 40)}" for _ in range(120)]
+    data = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 6)):
+            words[at] = f"x{rng.randrange(1 << 40)}"
+        data.append((i, " ".join(words)))
+
+    def noted(df, name):
+        out = write(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert got(jaccard.similar(docs)) == helpers.similar(data)
+    assert [n for name, n in seen if name == "pairs"][-1] > 0
+
+
 def test_links_of_tiles():
     rng = np.random.default_rng(2)
     base = np.arange(100, dtype=np.uint64)
