@@ -373,34 +373,21 @@ def _linked(sets: np.ndarray, token: list[np.ndarray], pairs: np.ndarray | None
     return pa.RecordBatch.from_pydict({"x": pa.array(sets[root[far]]), "y": pa.array(sets[far])})
 
 
-def _opened(column: pa.Array):
-    """The sets and shingles in tiles (lists of set, tokens)."""
-    flat = column.flatten()
-    return np.asarray(flat.field("set")), [np.frombuffer(t.as_py(), np.uint64) for t in flat.field("tokens")]
-
-
-def _blocks(batches):
+def _block(part: pa.Table) -> pa.Table:
     """Two tiles of a crowd: links among all their sets."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            sets, token = _opened(batch.column("rows").slice(i, 1))
-            if batch.column("other")[i].is_valid:
-                more, theirs = _opened(batch.column("other").slice(i, 1))
-                sets, token = np.concatenate([sets, more]), token + theirs
-            yield _linked(sets, token)
+    return pa.Table.from_batches([_linked(np.asarray(part.column("set")), [np.frombuffer(t.as_py(), np.uint64) for t in part.column("tokens")])])
 
 
 def _crowd_links(crowds: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Links within crowds: each tile is one row, and tiles are compared in pairs inside tasks, which return forests."""
+    """Links within crowds: tiles of each are compared in pairs inside tasks, which return forests."""
     members = _shingles_of(crowds.select("set"), docs, ids)
     placed = crowds.select("set", sf.explode("crowds").alias("c")).select(
-        "set", sf.col("c.token").alias("token"), sf.pmod(sf.xxhash64("set"), sf.col("c.tiles")).alias("tile"))
-    tiles = written(placed.join(members, "set").groupBy("token", "tile").agg(sf.collect_list(sf.struct("set", "tokens")).alias("rows")), "tiles")
-    other = tiles.select("token", sf.col("tile").alias("tile2"), sf.col("rows").alias("other"))
-    met = tiles.join(other, "token").where("tile < tile2").select("rows", "other")
-    alone = tiles.join(other.groupBy("token").agg(sf.count("*").alias("n")).where("n = 1"), "token", "left_semi").select(
-        "rows", sf.lit(None).cast(tiles.schema["rows"].dataType).alias("other"))
-    return written(met.union(alone).mapInArrow(_blocks, "x long, y long"), "links")
+        "set", sf.col("c.token").alias("token"), sf.col("c.tiles").cast("int").alias("tiles")).withColumn(
+        "tile", sf.pmod(sf.xxhash64("set"), sf.col("tiles")).cast("int"))
+    other = sf.explode(sf.sequence(sf.lit(0), sf.col("tiles") - 1)).alias("other")
+    met = placed.select("set", "token", "tile", other).select(
+        "set", "token", sf.least("tile", "other").alias("a"), sf.greatest("tile", "other").alias("b"))
+    return written(met.join(members, "set").groupBy("token", "a", "b").applyInArrow(_block, "x long, y long"), "links")
 
 
 def _met(batches):
@@ -454,24 +441,32 @@ class _Pack:
         self.crowds[np.repeat(np.arange(len(number)), number), column] = np.asarray(within.flatten(), np.int64)
 
 
-def _compared(pairs: pa.Table, tiles: pa.Table) -> pa.Table:
+def _sets_of(batches):
+    """The sets of pairs, by the two tiles that they are sent under."""
+    for batch in batches:
+        found = [np.unique(np.frombuffer(p.as_py(), np.int64)) for p in batch.column("pairs")]
+        times = [len(f) for f in found]
+        flat = np.concatenate([np.zeros(0, np.int64), *found])
+        tiles = [np.repeat(np.asarray(batch.column(c), np.int64), times) for c in "ab"]
+        yield pa.RecordBatch.from_pydict({"c": tiles[0], "d": tiles[1], "set": flat})
+
+
+def _compared(pairs: pa.Table, members: pa.Table) -> pa.Table:
     """The pairs between two tiles that are links."""
     flat = [np.frombuffer(p.as_py(), np.int64).reshape(-1, 2) for p in pairs.column("pairs")]
     wanted = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *flat]), axis=0)
-    opened = [_opened(chunk) for chunk in tiles.column("rows").chunks if len(chunk)]
-    sets, token = np.concatenate([s for s, _ in opened]), [t for _, some in opened for t in some]
-    # only sets of pairs take part
-    used = np.flatnonzero(np.isin(sets, wanted))
-    used = used[np.argsort(sets[used])]
-    return pa.Table.from_batches([_linked(sets[used], [token[i] for i in used], np.searchsorted(sets[used], wanted))])
+    sets = np.asarray(members.column("set"))
+    order = np.argsort(sets)
+    token = [np.frombuffer(members.column("tokens")[i].as_py(), np.uint64) for i in order.tolist()]
+    return pa.Table.from_batches([_linked(sets[order], token, np.searchsorted(sets[order], wanted))])
 
 
 def _rest_links(index: DataFrame, known: DataFrame, crowds: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Links between sets that share a shingle both have picked, aren't joined yet and were in no crowd together.
 
     The sets that picked a shingle are packed, and packs meet in pairs inside tasks. Sets go to tiles by the most frequent of
-    their shingles, so that sets that meet are mostly in one tile; pairs are sent packed by their two tiles, which get their
-    shingles once for all these pairs. So rows are of packs and of tiles, and none is of a single pair.
+    their shingles, so that sets that meet are mostly in one tile; pairs are sent packed by their two tiles, and the shingles
+    of a set once for all its pairs between these. So no row is of a single pair.
     """
     groups = known.select(sf.col("node").alias("set"), "component")
     live = index.join(groups, "set", "left").withColumn("group", sf.coalesce("component", "set")).drop("component", "common")
@@ -491,11 +486,9 @@ def _rest_links(index: DataFrame, known: DataFrame, crowds: DataFrame, docs: Dat
     met = written(packs.join(other, "token").where("pack <= pack2").select("rows", "other").mapInArrow(_met, "a long, b long, pairs binary"), "pairs")
     if met.isEmpty():
         return met.select(sf.col("a").alias("x"), sf.col("b").alias("y"))
-    between = met.select("a", "b").distinct()
-    ends = between.select(sf.col("a").alias("tile"), "a", "b").union(between.where("a <> b").select(sf.col("b").alias("tile"), "a", "b"))
-    named = tiles.join(ends.select("tile").distinct(), "tile", "left_semi").select("set", "tile")
-    full = _shingles_of(named.select("set"), docs, ids).join(named, "set").groupBy("tile").agg(sf.collect_list(sf.struct("set", "tokens")).alias("rows"))
-    sent = ends.join(full, "tile").select(sf.col("a").alias("c"), sf.col("b").alias("d"), "rows")
+    needed = written(met.mapInArrow(_sets_of, "c long, d long, set long").distinct(), "needed")
+    members = _shingles_of(needed.select("set").distinct(), docs, ids)
+    sent = needed.join(members, "set")
     return written(met.groupBy("a", "b").cogroup(sent.groupBy("c", "d")).applyInArrow(_compared, "x long, y long"), "links")
 
 
