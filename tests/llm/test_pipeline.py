@@ -3,6 +3,7 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,3 +58,36 @@ def test_tokens(steps):
 
 def test_run(spark, steps):
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, steps[-1].collect()))
+
+
+def hard(spark):
+    """Nulls in any column, blank, repeated and very long texts, odd names, rows without id."""
+    rng = np.random.default_rng(1)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    long, plain = words(40_000), words(80)
+    data = [(1, plain, "en", "a", 1), (1, plain, "en", "a", 1), (2, plain.replace(" ", "\n"), None, None, None), (3, None, None, None, None),
+            (4, "", "en", "b", 0), (5, " \t\n", "de", "b", 3), (None, plain + " end", "en", "a", 2), (None, None, None, None, None), (6, long, "en", "c", 9),
+            (7, long + " more", "en", "c", 9), (8, "x", "en", None, 1), (9, "é", "fr", "a", 1), *[(i, words(50), "en", "a", 1) for i in range(20, 40)]]
+    names = [c for c in helpers.CLASHES]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    return spark.createDataFrame([(*r, *["y"] * len(names)) for r in data], schema).repartition(3)
+
+
+def test_stages_take_hard_rows_and_none(spark):
+    docs = hard(spark)
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, rows, FOLDER), "test-stage")
+            assert out.columns == docs.columns
+            rows = out
+        last = corpus_pipeline.STAGES[-1][1](spark, rows, FOLDER)
+        assert last.count() == rows.count()
+    assert rows.count() == 0
+
+
+def test_copies_of_hard_rows(spark):
+    docs = hard(spark)
+    kept = [r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, FOLDER).collect()]
+    assert sorted(i for i in kept if i is not None and i < 20) == [1, 1, 5, 6, 7, 8, 9] and kept.count(None) == 1
+    near = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+    assert sorted(i for i in near if i is not None and i < 20) == [1, 3, 4, 5, 6, 8, 9] and near.count(None) == 2
