@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as sf
 
-from tabframe.llm.common import Texts, components, pieces, table, tasks, written
+from tabframe.llm.common import Texts, components, pieces, table, written
 from tabframe.llm.embeddings import forest
 from tabframe.llm.features import IS_SPACE, LOWER, mixed, word_bounds, word_hashes
 
@@ -19,8 +19,8 @@ STEPS = (0.05, 0.1, 0.2, 0.4, 0.75)
 FREQUENT, HOT = 2, 64
 #: Entries that a task merges at once.
 MERGED = 1 << 21
-#: Bytes of text whose entries go to a bucket, about.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text whose entries go to a bucket, about, and buckets at least.
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 32
 #: Sets that picked a shingle, from which on they are a crowd; sets in a tile of one; shingles that are counted together.
 CROWD, TILE, COLUMNS = 16, 512, 4096
 #: Parts that the pairs of a hub go to, at least; bytes of shingles in a part of a hub that needs more, about.
@@ -506,7 +506,8 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Links (x, y) between sets: enough of them to join all that are linked, each with at least the wanted similarity."""
     text = sf.encode(sf.coalesce("text", sf.lit("")), "utf-8").alias("text")
     size = docs.agg(sf.sum(sf.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * tasks(docs), size // BUCKET_BYTES)
+    # by size alone: entries go from every bucket to every other, so more buckets than the texts need are many small rows
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     dealt = docs.select(text).mapInArrow(_index(buckets), ROWS).groupBy("bucket").applyInArrow(_own(buckets), ROWS)
     index = written(dealt.groupBy("bucket").applyInArrow(
         _picked, "token long, set long, size long, need long, left long, common double"), "index")
