@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import array
+import collections
 import hashlib
 import itertools
 import json
@@ -37,13 +39,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array.array("i", ids).tobytes()
+
+
 class Ragged:
     """Variable-length arrays end to end."""
 
     def __init__(self, parts, kind):
         self.lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.concatenate([np.asarray(p, kind) for p in parts]) if len(parts) else np.zeros(0, kind)
+        self.flat = np.fromiter(itertools.chain.from_iterable(parts), kind, int(self.lengths.sum()))
 
     def take(self, index):
         """The arrays at ``index``, joined, and their lengths."""
@@ -75,21 +81,17 @@ class Vocabulary:
             letters_of[i] = word
         for word, i in self.special.items():
             letters_of[i] = word.encode()
-        self.bytes_of = Ragged([np.frombuffer(b, np.uint8) for b in letters_of], np.uint8)
-        self.decimal = Ragged([np.frombuffer(b"%d," % i, np.uint8) for i in range(size)], np.uint8)
-        #: for up to three last bytes, the lengths of the tokens that can end there, longest first
-        self.ending = {}
-        for word in self.ids:
-            for n in range(1, min(3, len(word)) + 1):
-                self.ending.setdefault(word[-n:], set()).add(len(word))
-        for end in sorted(self.ending, key=len):
-            self.ending[end] |= {n for n in self.ending.get(end[1:], ()) if n < len(end)}
-        self.ending = {end: sorted(lengths, reverse=True) for end, lengths in self.ending.items()}
-        self.edges, self.fits = {}, {}
+        self.bytes_of = Ragged(letters_of, np.uint8)
+        self.decimal = Ragged([b"%d," % i for i in range(size)], np.uint8)
+        #: what tokens start with; what is reached from such a start by one more byte is looked up once, see reach
+        self.starts = {word[:n] for word in self.ids for n in range(len(word) + 1)}
+        self.edges = {}
+        self._forget()
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.safe = regex.compile(r"(?<=\S) (?=\p{L})")
-        self.known = {}
+        self.named = {word: _packed([i]) for word, i in self.special.items()}
+        self.known = dict(self.named)
 
     def edge(self, token, right: bool):
         """The tokens at the right (or left) end of ``token`` while it is put together, each with the rank of the merge
@@ -115,52 +117,63 @@ class Vocabulary:
                     return False
         return True
 
+    def _forget(self):
+        """No steps, and for each token no tokens known to stay apart from it or not."""
+        self.steps, self.fits, self.tried = {}, collections.defaultdict(dict), 0
+
+    def reach(self, read: bytes):
+        """Of the bytes read, the longest end that a token starts with, and the tokens that they end with, longest first:
+        each with its length and the tokens before it of which it is known whether they stay apart from it."""
+        state = read
+        while state not in self.starts:
+            state = state[1:]
+        ends = (state[i:] for i in range(len(state)))
+        found = self.steps[read] = state, [(self.ids[e], len(e), self.fits[self.ids[e]]) for e in ends if e in self.ids]
+        return found
+
     def walk(self, words: list[bytes]):
         """Ids of distinct words in sorted order. Going through the trie of the words depth first, each node is given
         the last token of the encoding of its prefix, which follows from nodes above it; shared prefixes come once."""
-        ids, ending, fits, last, before, out = self.ids, self.ending, self.fits, [], b"", []
+        steps, states, last, sizes, before = self.steps, [b""], [], [], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                tail = word[max(0, end - 3) : end]
-                while tail not in ending:
-                    tail = tail[1:]
-                for length in ending[tail]:
-                    if length > end:
-                        continue
-                    token = ids.get(word[end - length : end])
-                    if token is None:
-                        continue
-                    if length == end:
+            del last[shared:], sizes[shared:], states[shared + 1 :]
+            state = states[-1]
+            for end in range(shared, len(word)):
+                read = state + word[end : end + 1]
+                state, ends = steps.get(read) or self.reach(read)
+                for token, size, fits in ends:
+                    if size > end:
                         break
-                    pair = (last[end - length - 1][0], token)
-                    fit = fits.get(pair)
+                    left = last[end - size]
+                    fit = fits.get(left)
                     if fit is None:
-                        fit = fits[pair] = self.stay_apart(*pair)
+                        fit = fits[left] = self.stay_apart(left, token)
+                        self.tried += 1
                     if fit:
                         break
-                last.append((token, length))
+                last.append(token)
+                sizes.append(size)
+                states.append(state)
             at, found = len(word), []
             while at:
-                token, length = last[at - 1]
-                found.append(token)
-                at -= length
-            out.append(found[::-1])
+                found.append(last[at - 1])
+                at -= sizes[at - 1]
+            found.reverse()
+            yield found
             before = word
-        return out
 
-    def learn(self, words):
+    def learn(self, words: set):
         """Encode the words not yet known."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        if len(self.fits) > 4 * REMEMBERED:
-            self.fits = {}
-        fresh = sorted(w.encode() for w in words if w not in self.known)
+            self.known = dict(self.named)
+        if self.tried + len(self.steps) > 4 * REMEMBERED:
+            self._forget()
+        fresh = sorted(w.encode() for w in words.difference(self.known))
         for word, found in zip(fresh, self.walk(fresh)):
-            self.known[word.decode()] = found
+            self.known[word.decode()] = _packed(found)
 
     def stretches(self, text: str):
         """Parts of a text that split into words independently, few of them much longer than STRETCH."""
@@ -192,13 +205,10 @@ class Vocabulary:
 
     def _encode(self, group, ids, counts):
         split = [[part] if part in self.special else self.pattern.findall(part) for _, part in group]
-        words = {word: i for i, word in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
-        plain = [w for w in words if w not in self.special]
-        self.learn(plain)
         # a special token can't be a word of the pattern: it has both letters and signs
-        spelt = Ragged([[self.special[w]] if w in self.special else self.known[w] for w in words], np.int32)
+        self.learn(set().union(*split))
         for (n, _), found in zip(group, split):
-            got, _ = spelt.take(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+            got = np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.int32)
             ids.append(got)
             counts[n] += len(got)
 

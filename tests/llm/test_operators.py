@@ -386,6 +386,24 @@ def test_bpe_in_stretches(monkeypatch):
     assert words.encode([text])[0].tolist() == Tokenizer.from_file(bpe.standard_path()).encode(text).ids
 
 
+def test_bpe_steps(monkeypatch):
+    """A step lists the tokens that what was read ends with, longest first, and nothing else; steps can be forgotten."""
+    from tokenizers import Tokenizer
+
+    words = bpe.Vocabulary(open(bpe.standard_path(), encoding="utf-8").read())
+    state, ends = words.reach(b"xqzhello")
+    assert [size for _, size, _ in ends] == [n for n in range(len(state), 0, -1) if state[-n:] in words.ids]
+    assert b"xqzhello".endswith(state) and not any(b"xqzhello"[i:] in words.starts for i in range(8 - len(state)))
+    monkeypatch.setattr(bpe, "REMEMBERED", 1)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh thing ’é漢\n1'", k=60)) for _ in range(200)] + ["<|endoftext|>", ""]
+    known = Tokenizer.from_file(bpe.standard_path())
+    for some in (texts, texts[:9], texts[::-1]):
+        ids, counts = words.encode(some)
+        assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [
+            known.encode(t, add_special_tokens=False).ids for t in some]
+
+
 @pytest.mark.parametrize("run", [
     substrings.repeats, jaccard.similar, jaccard.representatives, exact_dedup.exact_copies, exact_dedup.unique, mixing.mix, mixing.mixed,
     langid.identify, bpe.round_trip], ids=lambda f: f.__name__)
