@@ -32,6 +32,7 @@ ENTRY = np.dtype([("low", "<u4"), ("set", "<i8"), ("size", "<u4"), ("need", "<u4
 SHARED = np.dtype([("set", "<i8"), ("token", "<i8"), ("size", "<u4"), ("need", "<u4"), ("count", "<u4"), ("other", "<u4")])
 ENTRIES, REPLIES = 0, 1
 ROWS = "bucket long, kind int, rows binary"
+PAIRS = "a long, b long, pairs binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -390,34 +391,45 @@ def _crowd_links(crowds: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFram
     return written(met.join(members, "set").groupBy("token", "a", "b").applyInArrow(_block, "x long, y long"), "links")
 
 
+def _reached(sets, rows: int):
+    """Places of two sets, one in a row and one in the row ``rows`` further on (or back), that could link by what the first
+    shares with others: only sets that share what they need reach others, and only those of a size that could link."""
+    strong = np.flatnonzero(sets.left >= sets.need)
+    base = (sets.row[strong] + rows) % (2 * rows) * OFTEN
+    low = np.searchsorted(sets.order, base + required(sets.size[strong]))
+    count = np.searchsorted(sets.order, base + 100 * sets.size[strong] // PERCENT, "right") - low
+    ends, at = np.cumsum(count), 0
+    while at < len(strong):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + MERGED, "right")))
+        i = np.repeat(strong[at:to], count[at:to])
+        j = np.arange(len(i)) + np.repeat(low[at:to] - (ends[at:to] - count[at:to] - (ends[at] - count[at])), count[at:to])
+        fits = (sets.group[i] != sets.group[j]) & (sets.need[i] <= sets.left[j]) & (sets.need[i] <= sets.need[j])
+        yield i[fits], j[fits]
+        at = to
+
+
 def _met(batches):
     """Packs of sets that share a shingle, two in a row or one with itself: the pairs that could link, by the tiles of their
     sets. A pair that meets at several shingles of a batch is sent once."""
     for batch in batches:
-        found = [np.zeros((0, 4), np.int64)]
-        own, other = (_Pack(batch.column(c)) for c in ("rows", "other"))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(np.cumsum(own.count[at:] * other.count[at:]), MERGED, "right")) + at)
-            times = np.repeat(other.count[at:to], own.count[at:to])
-            i = np.repeat(np.arange(own.first[at], own.first[to]), times)
-            j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            j += np.repeat(np.repeat(other.first[at:to], own.count[at:to]), times)
-            fits = (100 * np.minimum(own.size[i], other.size[j]) >= PERCENT * np.maximum(own.size[i], other.size[j])) & (own.group[i] != other.group[j])
-            i, j = i[fits], j[fits]
-            reach = lambda x, i, y, j: (x.left[i] >= x.need[i]) & (x.need[i] <= y.left[j]) & (x.need[i] <= y.need[j])
-            fits = reach(own, i, other, j) | reach(other, j, own, i)
-            i, j = i[fits], j[fits]
-            for part in range(0, len(i), MERGED >> 4):
-                a, b = i[part : part + (MERGED >> 4)], j[part : part + (MERGED >> 4)]
-                apart = ~(own.crowds[a][:, :, None] == other.crowds[b][:, None, :]).any((1, 2))
-                a, b = a[apart], b[apart]
-                rows = np.stack([own.tile[a], other.tile[b], own.set[a], other.set[b]], axis=1)
-                turned = (rows[:, 0] > rows[:, 1]) | (rows[:, 0] == rows[:, 1]) & (rows[:, 2] > rows[:, 3])
-                rows[turned] = rows[turned][:, [1, 0, 3, 2]]
-                found.append(np.unique(rows, axis=0))
-            at = to
-        rows = np.unique(np.concatenate(found), axis=0)
+        if not batch.num_rows:
+            continue
+        sets = _Pack(pa.concat_arrays([batch.column("rows"), batch.column("other")]))
+        names, first, code = np.unique(sets.set, return_index=True, return_inverse=True)
+        found = [np.zeros(0, np.int64)]
+        for i, j in _reached(sets, batch.num_rows):
+            found.append(np.unique(np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j])))
+        met = np.unique(np.concatenate(found))
+        rows = [np.zeros((0, 4), np.int64)]
+        for part in range(0, len(met), MERGED >> 4):
+            some = met[part : part + (MERGED >> 4)]
+            i, j = first[some // len(names)], first[some % len(names)]
+            apart = ~(sets.crowds[i][:, :, None] == sets.crowds[j][:, None, :]).any((1, 2))
+            rows.append(np.stack([c[k[apart]] for c in (sets.tile, sets.set) for k in (i, j)], axis=1))
+        rows = np.concatenate(rows)
+        turned = (rows[:, 0] > rows[:, 1]) | (rows[:, 0] == rows[:, 1]) & (rows[:, 2] > rows[:, 3])
+        rows[turned] = rows[turned][:, [1, 0, 3, 2]]
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
         parts = np.split(np.ascontiguousarray(rows[:, 2:]), np.flatnonzero(new)[1:]) if len(rows) else []
@@ -425,24 +437,36 @@ def _met(batches):
 
 
 class _Pack:
-    """Lists of sets that picked a shingle, as arrays."""
+    """Lists of sets that picked a shingle, as arrays in order of list and size."""
 
     def __init__(self, column: pa.ListArray):
         flat = column.flatten()
-        self.set, self.size, self.need, self.left, self.group, self.tile = (
-            np.asarray(flat.field(c), np.int64) for c in ("set", "size", "need", "left", "group", "tile"))
-        self.count = np.asarray(pa.compute.list_value_length(column), np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        count = np.asarray(pa.compute.list_value_length(column), np.int64)
+        row, size = np.repeat(np.arange(len(count)), count), np.asarray(flat.field("size"), np.int64)
+        order = np.lexsort((size, row))
+        self.row, self.size, self.order = row, size[order], row * OFTEN + size[order]
+        self.set, self.need, self.left, self.group, self.tile = (
+            np.asarray(flat.field(c), np.int64)[order] for c in ("set", "need", "left", "group", "tile"))
         # crowds of a set, filled up with numbers that no two places share
         self.crowds = -1 - np.arange(len(flat) * 8, dtype=np.int64).reshape(-1, 8)
         within = flat.field("crowds")
         number = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(within), 0), np.int64)
         column = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
         self.crowds[np.repeat(np.arange(len(number)), number), column] = np.asarray(within.flatten(), np.int64)
+        self.crowds = self.crowds[order]
+
+
+def _once(part: pa.Table) -> pa.Table:
+    """All pairs between two tiles, each once: sets meet at several shingles, in several batches."""
+    pairs = np.concatenate([np.frombuffer(p.as_py(), np.int64).reshape(-1, 2) for p in part.column("pairs")])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return part.slice(0, 1).set_column(2, "pairs", pa.array([pairs[new].tobytes()], pa.binary()))
 
 
 def _sets_of(batches):
-    """The sets of pairs, by the two tiles that they are sent under."""
+    """The sets of the pairs between two tiles, each once."""
     for batch in batches:
         found = [np.unique(np.frombuffer(p.as_py(), np.int64)) for p in batch.column("pairs")]
         times = [len(f) for f in found]
@@ -453,8 +477,7 @@ def _sets_of(batches):
 
 def _compared(pairs: pa.Table, members: pa.Table) -> pa.Table:
     """The pairs between two tiles that are links."""
-    flat = [np.frombuffer(p.as_py(), np.int64).reshape(-1, 2) for p in pairs.column("pairs")]
-    wanted = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *flat]), axis=0)
+    wanted = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(p.as_py(), np.int64).reshape(-1, 2) for p in pairs.column("pairs"))])
     sets = np.asarray(members.column("set"))
     order = np.argsort(sets)
     token = [np.frombuffer(members.column("tokens")[i].as_py(), np.uint64) for i in order.tolist()]
@@ -479,14 +502,22 @@ def _rest_links(index: DataFrame, known: DataFrame, crowds: DataFrame, docs: Dat
         crowds.select("set", sf.col("crowds.token").alias("crowds")), "set", "left")
     tiles = written(tiles, "tiles")
     fields = sf.struct("set", "size", "need", "left", "group", "tile", "crowds")
-    pack = sf.pmod(sf.xxhash64("set"), sf.ceil(sf.col("n") / TILE)).alias("pack")
-    packs = live.join(tiles, "set").groupBy("token", pack).agg(sf.collect_list(fields).alias("rows"))
+    # a group with many of a token's sets has packs of its own, which don't meet each other
+    large = live.groupBy("token", "group").agg(sf.count("*").alias("most")).where(sf.col("most") >= TILE)
+    rest = sf.col("n") - sf.coalesce("taken", sf.lit(0))
+    parted = live.join(large, ["token", "group"], "left").join(
+        large.groupBy("token").agg(sf.sum("most").alias("taken")), "token", "left")
+    pack = sf.pmod(sf.xxhash64("set"), sf.ceil(sf.coalesce("most", rest) / TILE)).alias("pack")
+    lot = sf.when(sf.col("most").isNotNull(), sf.col("group")).otherwise(0).alias("lot")
+    packs = parted.join(tiles, "set").groupBy("token", lot, pack).agg(sf.collect_list(fields).alias("rows"))
     packs = written(packs, "packs")
-    other = packs.select("token", sf.col("pack").alias("pack2"), sf.col("rows").alias("other"))
-    met = written(packs.join(other, "token").where("pack <= pack2").select("rows", "other").mapInArrow(_met, "a long, b long, pairs binary"), "pairs")
+    other = packs.select("token", sf.col("lot").alias("lot2"), sf.col("pack").alias("pack2"), sf.col("rows").alias("other"))
+    meet = "lot < lot2 or lot = lot2 and lot = 0 and pack <= pack2"
+    found = packs.join(other, "token").where(meet).select("rows", "other").mapInArrow(_met, PAIRS)
+    met = written(found.groupBy("a", "b").applyInArrow(_once, PAIRS), "pairs")
     if met.isEmpty():
         return met.select(sf.col("a").alias("x"), sf.col("b").alias("y"))
-    needed = written(met.mapInArrow(_sets_of, "c long, d long, set long").distinct(), "needed")
+    needed = met.mapInArrow(_sets_of, "c long, d long, set long")
     members = _shingles_of(needed.select("set").distinct(), docs, ids)
     sent = needed.join(members, "set")
     return written(met.groupBy("a", "b").cogroup(sent.groupBy("c", "d")).applyInArrow(_compared, "x long, y long"), "links")
@@ -502,8 +533,24 @@ def _shingles_of(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(_members, "set long, tokens binary").union(nameless), "members")
 
 
-def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Links (x, y) between sets: enough of them to join all that are linked, each with at least the wanted similarity."""
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with further links (x, y): a component that is known counts as one node."""
+    if links.isEmpty():
+        return known
+    ends = links
+    for end in "xy":
+        named = known.select(sf.col("node").alias(end), sf.col("component").alias(f"of_{end}"))
+        ends = ends.join(named, end, "left").withColumn(f"of_{end}", sf.coalesce(f"of_{end}", end))
+    more = written(components(ends, "of_x", "of_y"), "joined")
+    new = more.join(known.select("node"), "node", "left_anti")
+    wider = more.select(sf.col("node").alias("component"), sf.col("component").alias("wider"))
+    return known.join(wider, "component", "left").select("node", sf.coalesce("wider", "component").alias("component")).union(
+        new.select("node", "component"))
+
+
+def set_groups(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, component) of every set that links: components of links between sets, enough of them to join all that are
+    linked, each with at least the wanted similarity."""
     text = sf.encode(sf.coalesce("text", sf.lit("")), "utf-8").alias("text")
     size = docs.agg(sf.sum(sf.octet_length("text"))).first()[0] or 0
     # by size alone: entries go from every bucket to every other, so more buckets than the texts need are many small rows
@@ -527,7 +574,7 @@ def set_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
         links = links.union(_crowd_links(crowds, docs, ids))
     # then what shares a shingle, isn't joined yet and was in no crowd together
     known = written(components(links, "x", "y"), "joined")
-    return links.union(_rest_links(index, known, crowds, docs, ids))
+    return _joined(known, _rest_links(index, known, crowds, docs, ids))
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -547,7 +594,7 @@ def similar(docs: DataFrame) -> DataFrame:
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, set long, size long"
     ids = written(docs.select("doc_id", text).mapInArrow(_ids, kind), "sets")
     some = ids.where("size > 0")
-    groups = components(set_links(docs, some), "x", "y")
+    groups = set_groups(docs, some)
     lowest = some.groupBy("set").agg(sf.min("doc_id").alias("lowest"))
     named = lowest.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", sf.coalesce("component", "set"))
     names = named.groupBy("component").agg(sf.min("lowest").alias("component_id"))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabframe.llm import bpe, embeddings, exact_dedup, jaccard, langid, mixing, quality, queries, substrings, toxicity, warc
+from tabframe.llm import bpe, common, embeddings, exact_dedup, jaccard, langid, mixing, quality, queries, substrings, toxicity, warc
 from tabframe.llm.common import Texts, components, fresh_folder, table
 from tests.llm import helpers
 
@@ -386,6 +386,37 @@ def test_bpe_in_stretches(monkeypatch):
     assert words.encode([text])[0].tolist() == Tokenizer.from_file(bpe.standard_path()).encode(text).ids
 
 
+def test_pairs_between_packs():
+    """Sets at like places of two packs meet, whatever their number of crowds; sets that share too little don't; a pair that
+    several tasks have found is named once."""
+    def pack(*sets):
+        return [[dict(zip(("set", "size", "need", "left", "group", "tile", "crowds"), x)) for x in sets]]
+
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("set", "size", "need", "left", "group", "tile")] + [("crowds", pa.list_(pa.int64()))]))
+    own = pack((1, 100, 3, 3, 1, 7, None), (2, 100, 3, 4, 2, 7, [5, 6]), (3, 74, 3, 4, 3, 7, None))
+    other = pack((11, 100, 4, 4, 11, 8, None), (12, 100, 3, 4, 2, 8, [9]), (13, 100, 3, 4, 13, 8, [6]), (14, 100, 3, 2, 14, 8, None))
+    batch = pa.RecordBatch.from_pydict({"rows": pa.array(own, kind), "other": pa.array(other, kind)})
+    found = list(jaccard._met([batch, batch]))
+    merged = jaccard._once(pa.Table.from_batches(found))
+    assert merged.num_rows == 1 and merged.select(["a", "b"]).to_pylist() == [{"a": 7, "b": 8}]
+    pairs_ = np.frombuffer(merged.column("pairs")[0].as_py(), np.int64).reshape(-1, 2).tolist()
+    assert pairs_ == [[1, 11], [1, 12], [1, 13], [2, 11]]
+    sets = list(jaccard._sets_of(merged.to_batches()))
+    assert sets[0].column("set").to_pylist() == [1, 2, 11, 12, 13]
+
+
+def test_components_of_long_paths(spark):
+    """Stars are known as such, and nothing else is taken for one: a long path, a star, a pair, an edge to itself."""
+    edges = [(i, i + 1) for i in range(300)] + [(400, 400 + i) for i in range(1, 50)] + [(901, 900), (950, 950)]
+    random.Random(2).shuffle(edges)
+    found = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(301)} | {400 + i: 400 for i in range(50)} | {900: 900, 901: 900}
+    known = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, component long")
+    links = spark.createDataFrame([(2, 9), (9, 8), (6, 8), (20, 21)], "x long, y long")
+    joined = jaccard._joined(known, links)
+    assert sorted(map(tuple, joined.collect())) == [(1, 1), (2, 1), (5, 1), (6, 1), (8, 1), (9, 1), (20, 20), (21, 20)]
+
+
 def test_bpe_steps(monkeypatch):
     """A step lists the tokens that what was read ends with, longest first, and nothing else; steps can be forgotten."""
     from tokenizers import Tokenizer
