@@ -51,6 +51,53 @@ class Batch:
         return self._data.num_rows
 
 
+class _Whole:
+    """A batch whose columns become arrays once, for all its parts."""
+
+    def __init__(self, data: pa.RecordBatch):
+        self.data, self.arrays = data, None
+
+    def part(self, start: int, stop: int) -> Batch:
+        return _Part(self, start, stop)
+
+    def rows(self, start: int, stop: int) -> dict[str, np.ndarray]:
+        if self.arrays is None:
+            self.arrays = [(name, *_masked(_numpy(self.data.column(i)))) for i, name in enumerate(self.data.schema.names)]
+        out = {}
+        for name, values, mask in self.arrays:
+            values = values[start:stop]
+            if mask is not None and mask[start:stop].any():
+                values = np.ma.MaskedArray(values, mask[start:stop])
+            out[name] = values
+        return out
+
+
+class _Part(Batch):
+    """Rows of a batch next to each other."""
+
+    def __init__(self, whole: _Whole, start: int, stop: int):
+        self._whole, self._start, self._stop = whole, start, stop
+
+    @property
+    def _data(self):
+        return self._whole.data.slice(self._start, len(self))
+
+    @property
+    def rows(self) -> dict[str, np.ndarray]:
+        return self._whole.rows(self._start, self._stop)
+
+    @property
+    def columns(self) -> list[str]:
+        return self._whole.data.schema.names
+
+    def __len__(self):
+        return self._stop - self._start
+
+
+def _masked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    return (values.data, np.ma.getmaskarray(values)) if isinstance(values, np.ma.MaskedArray) else (values, None)
+
+
 def _numpy(column: pa.Array) -> np.ndarray:
     kind = column.type
     number = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)
@@ -243,7 +290,8 @@ class UserFunctions:
             for chunk in _chunks(batches):
                 chunk, first = _sorted_by(chunk, by)
                 ends = [*first[1:], chunk.num_rows]
-                found = [partial(Batch(chunk.slice(a, b - a))) for a, b in zip(first, ends)]
+                whole = _Whole(chunk)
+                found = [partial(whole.part(a, b)) for a, b in zip(first, ends)]
                 yield _lines(chunk, by, first, found, to_arrow_schema(states))
 
         def merge_some(batches):
@@ -251,8 +299,7 @@ class UserFunctions:
 
         def merge_all(batches):
             for batch in _merged(batches, by, merge, fan, to_arrow_schema(states)):
-                values = batch.select(state.names)
-                found = [finish(_row(values, i)) for i in range(batch.num_rows)]
+                found = [finish(values) for values in batch.select(state.names).to_pylist()]
                 yield _lines(batch, by, range(batch.num_rows), found, to_arrow_schema(results))
 
         keyed = [named(k) for k in by]
@@ -321,18 +368,27 @@ def _merged(batches, by, merge, fan: int, arrow: pa.Schema):
 
 def _settled(batch, first, by, merge, fan, arrow) -> pa.RecordBatch:
     """One state for each run of rows; a state that is alone is the result."""
-    names = arrow.names[len(by):]
-    values, found = batch.select(names), []
-    for a, b in zip(first, [*first[1:], batch.num_rows]):
-        if b - a == 1:
-            found.append(_row(values, a))
+    first = np.asarray(first, np.int64)
+    ends = np.append(first[1:], batch.num_rows)
+    alone = ends - first == 1
+    values, found = batch.select(arrow.names[len(by):]), []
+    whole = _Whole(values)
+    for a, b in zip(first[~alone].tolist(), ends[~alone].tolist()):
+        if b - a <= fan:
+            found.append(merge(whole.part(a, b)))
             continue
         some = values.slice(a, b - a)
         while some.num_rows > 1:
             lines = [merge(Batch(some.slice(i, fan))) for i in range(0, some.num_rows, fan)]
             some = _lines(some, [], range(len(lines)), lines, values.schema)
         found.append(_row(some, 0))
-    return _lines(batch, by, first, found, arrow)
+    merged = _lines(batch, by, first[~alone], found, arrow)
+    if not alone.any():
+        return merged
+    at = pa.array(first[alone])
+    kept = pa.RecordBatch.from_arrays([batch.column(f.name).take(at).cast(f.type) for f in arrow], schema=arrow)
+    order = np.argsort(np.concatenate([first[alone], first[~alone]]))
+    return pa.Table.from_batches([kept, merged]).take(pa.array(order)).combine_chunks().to_batches()[0]
 
 
 def _row(batch: pa.RecordBatch, i: int) -> dict:

@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabframe import COUNT
+from tabframe.operators import userfunc
 from tests.helpers import frame, rows
 
 
@@ -73,6 +75,36 @@ def test_groups_of_two_keys_in_small_batches(spark, fan):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_groups_share_the_arrays_of_their_batch(monkeypatch):
+    """Columns become arrays once for all groups of a batch, masked only in groups that have NULLs; a state that is alone
+    passes as it is."""
+    made, convert = [], userfunc._numpy
+    monkeypatch.setattr(userfunc, "_numpy", lambda column: made.append(len(column)) or convert(column))
+    n = 300
+    arrow = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), ("s", pa.string()), ("l", pa.list_(pa.int64()))])
+    k = sorted([*range(n), *range(0, n, 3)])
+    batch = pa.RecordBatch.from_pydict({
+        "k": k, "n": [None if i % 4 == 0 else i for i in k], "x": [float("nan") if i % 5 == 0 else i / 3 for i in k],
+        "s": [None if i % 2 else f"s{i}" for i in k], "l": [[i, -i] for i in k]}, schema=arrow)
+    seen = []
+
+    def merge(states):
+        rows = states.rows
+        assert set(rows) == set(states.columns) and len(states) == 2
+        masked = isinstance(rows["n"], np.ma.MaskedArray)
+        assert masked == (rows["s"][0] is not None and int(rows["s"][0][1:]) % 4 == 0)
+        seen.append(len(states))
+        return {"n": None if masked else rows["n"].sum(), "x": rows["x"].max(), "s": rows["s"][0], "l": list(rows["l"][1])}
+
+    first = [i for i in range(len(k)) if i == 0 or k[i] != k[i - 1]]
+    out = userfunc._settled(batch, first, ["k"], merge, 64, arrow)
+    assert len(seen) == n // 3 and len(made) == 4
+    want = [{"k": i, "n": None if i % 4 == 0 else i * (1 if i % 3 else 2), "s": None if i % 2 else f"s{i}", "l": [i, -i]} for i in range(n)]
+    got = out.to_pylist()
+    assert [{c: r[c] for c in r if c != "x"} for r in got] == want and out.schema == arrow
+    assert all(r["x"] != r["x"] if r["k"] % 5 == 0 else r["x"] == r["k"] / 3 for r in got)
+
+
 def test_nulls_and_large_whole_numbers_survive(spark):
     big = 2 ** 62 + 1
     table = frame(spark, [(big, None), (None, 1.0), (big, float("nan"))], "k long, x double")
