@@ -6,6 +6,7 @@ import datetime
 import decimal
 import numbers
 import re
+import threading
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -26,6 +27,10 @@ _RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\], \[")
 _SCALARS = (numbers.Number, str, datetime.date, datetime.timedelta, decimal.Decimal, bytes, type(None))
 
 
+#: One saver of this driver at a time drops and names tables: dropping one deletes its folder, which another may just have filled.
+_NAMING = threading.Lock()
+
+
 class Workspace:
     """Access to tables by attribute, and a place to name frames and values.
 
@@ -234,24 +239,29 @@ class Workspace:
         if path:
             location = f"{path.rstrip('/')}/version={version}"
             frame.df.write.mode("errorifexists").format("parquet").save(location)
-            self._refuse_existing(full, drop)
-            # nothing but the catalog changes now
-            self._spark.sql(f"DROP TABLE IF EXISTS {full}")
-            self._spark.catalog.createTable(full, location, "parquet", frame.df.schema)
+            with _NAMING:
+                self._refuse_existing(full, drop)
+                # nothing but the catalog changes now
+                self._spark.sql(f"DROP TABLE IF EXISTS {full}")
+                self._spark.catalog.createTable(full, location, "parquet", frame.df.schema)
         else:
             staged = quoted(database, f"{tableName}_{version}")
             frame.df.write.mode("errorifexists").format("parquet").saveAsTable(staged)
             try:
-                self._refuse_existing(full, drop)
-                self._spark.sql(f"DROP TABLE IF EXISTS {full}")
-                self._spark.sql(f"ALTER TABLE {staged} RENAME TO {full}")
+                with _NAMING:
+                    self._refuse_existing(full, drop)
+                    self._spark.sql(f"DROP TABLE IF EXISTS {full}")
+                    self._spark.sql(f"ALTER TABLE {staged} RENAME TO {full}")
             except Exception:
                 self._spark.sql(f"DROP TABLE IF EXISTS {staged}")
                 raise
         self._forget(tableName)
         if tableName in self._names:
             self._dropTblUDF(None, tableName)
-        return self._getDBTable(tableName, dbName)
+        with _NAMING:
+            # a reader may have come between dropping and naming, and left what it saw
+            self._spark.catalog.refreshTable(full)
+            return self._getDBTable(tableName, dbName)
 
     def _refuse_existing(self, full: str, drop: bool) -> None:
         if not drop and self._spark.catalog.tableExists(full):
