@@ -14,12 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as st
 
-from tabframe.llm.common import pieces, table
+from tabframe.llm.common import pieces, table, tidy
 
 #: Fixed value of byte-level vocabularies: what counts as one word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct words whose ids a task remembers before it starts anew: some tens of MB, whatever the texts.
+REMEMBERED = 100_000
 #: Characters of a long text that are handled at once.
 STRETCH = 1 << 20
 NEVER = 1 << 60
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = [c for c in docs.columns if c != "ids"]
     kept = docs.select(*names)
     schema = st.StructType([*kept.schema.fields, st.StructField("ids", st.ArrayType(st.IntegerType()))])
-    return kept.mapInArrow(lambda batches: _encoded(Vocabulary(shared.value), batches, "text", names), schema)
+    return kept.mapInArrow(tidy(lambda batches: _encoded(Vocabulary(shared.value), batches, "text", names)), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -280,7 +280,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     shared = _shared(encoded.sparkSession, path)
     kept = encoded.select(*(c for c in encoded.columns if c != "decoded"))
     schema = st.StructType([*kept.schema.fields, st.StructField("decoded", st.StringType())])
-    return kept.mapInArrow(lambda batches: _decoded(Vocabulary(shared.value), batches), schema)
+    return kept.mapInArrow(tidy(lambda batches: _decoded(Vocabulary(shared.value), batches)), schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -294,7 +294,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         return _digests(vocabulary, _decoded(vocabulary, _encoded(vocabulary, batches, "text", ["doc_id"])))
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 
@@ -91,6 +92,23 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
         at = to
 
 
+def tidy(run):
+    """``run`` over the batches of a task; before and after it, what Arrow and the C library hold without using it goes back
+    to the system: Python workers outlive their tasks, and what one stage has left would stand beside what the next needs."""
+
+    def unused():
+        pa.default_memory_pool().release_unused()
+        # numpy's arrays are the C library's; one that can't do this has no such function
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+    def tidied(batches):
+        unused()
+        yield from run(batches)
+        unused()
+
+    return tidied
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) of every node of ``edges``; a component is named by its smallest node.
 

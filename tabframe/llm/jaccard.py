@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as sf
 
-from tabframe.llm.common import Texts, components, pieces, table, written
+from tabframe.llm.common import Texts, components, pieces, table, tidy, written
 from tabframe.llm.embeddings import forest
 from tabframe.llm.features import IS_SPACE, LOWER, mixed, word_bounds, word_hashes
 
@@ -513,11 +513,11 @@ def _rest_links(index: DataFrame, known: DataFrame, crowds: DataFrame, docs: Dat
     packs = written(packs, "packs")
     other = packs.select("token", sf.col("lot").alias("lot2"), sf.col("pack").alias("pack2"), sf.col("rows").alias("other"))
     meet = "lot < lot2 or lot = lot2 and lot = 0 and pack <= pack2"
-    found = packs.join(other, "token").where(meet).select("rows", "other").mapInArrow(_met, PAIRS)
+    found = packs.join(other, "token").where(meet).select("rows", "other").mapInArrow(tidy(_met), PAIRS)
     met = written(found.groupBy("a", "b").applyInArrow(_once, PAIRS), "pairs")
     if met.isEmpty():
         return met.select(sf.col("a").alias("x"), sf.col("b").alias("y"))
-    needed = met.mapInArrow(_sets_of, "c long, d long, set long")
+    needed = met.mapInArrow(tidy(_sets_of), "c long, d long, set long")
     members = _shingles_of(needed.select("set").distinct(), docs, ids)
     sent = needed.join(members, "set")
     return written(met.groupBy("a", "b").cogroup(sent.groupBy("c", "d")).applyInArrow(_compared, "x long, y long"), "links")
@@ -528,9 +528,9 @@ def _shingles_of(sets: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     lead = ids.join(sets, "set", "left_semi").groupBy("set").agg(sf.min("doc_id").alias("lead"))
     texts = docs.join(lead, sf.col("doc_id") == sf.col("lead")).select("set", "text")
     # sets that only rows without id have: these rows are read once more and keep the sets that are wanted
-    nameless = docs.where("doc_id is null").select("text").mapInArrow(_nameless, "set long, tokens binary").join(
+    nameless = docs.where("doc_id is null").select("text").mapInArrow(tidy(_nameless), "set long, tokens binary").join(
         lead.where("lead is null"), "set", "left_semi").dropDuplicates(["set"])
-    return written(texts.mapInArrow(_members, "set long, tokens binary").union(nameless), "members")
+    return written(texts.mapInArrow(tidy(_members), "set long, tokens binary").union(nameless), "members")
 
 
 def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -555,7 +555,7 @@ def set_groups(docs: DataFrame, ids: DataFrame) -> DataFrame:
     size = docs.agg(sf.sum(sf.octet_length("text"))).first()[0] or 0
     # by size alone: entries go from every bucket to every other, so more buckets than the texts need are many small rows
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
-    dealt = docs.select(text).mapInArrow(_index(buckets), ROWS).groupBy("bucket").applyInArrow(_own(buckets), ROWS)
+    dealt = docs.select(text).mapInArrow(tidy(_index(buckets)), ROWS).groupBy("bucket").applyInArrow(_own(buckets), ROWS)
     index = written(dealt.groupBy("bucket").applyInArrow(
         _picked, "token long, set long, size long, need long, left long, common double"), "index")
     docs = docs.select("doc_id", text)
@@ -592,7 +592,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """
     text = sf.encode(sf.coalesce("text", sf.lit("")), "utf-8").alias("text")
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, set long, size long"
-    ids = written(docs.select("doc_id", text).mapInArrow(_ids, kind), "sets")
+    ids = written(docs.select("doc_id", text).mapInArrow(tidy(_ids), kind), "sets")
     some = ids.where("size > 0")
     groups = set_groups(docs, some)
     lowest = some.groupBy("set").agg(sf.min("doc_id").alias("lowest"))

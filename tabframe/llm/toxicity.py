@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as sf
 
-from tabframe.llm.common import Texts, held_out, pieces, table
+from tabframe.llm.common import Texts, held_out, pieces, table, tidy
 from tabframe.llm.features import LOWER, Logistic, labelled_sample, sigmoid, word_bounds, word_hashes
 
 #: Words in a window, and from one window's start to the next.
@@ -356,7 +356,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
                     "doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": found,
                     "predicted": pa.array((found >= threshold).astype(np.int32))})
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, kind)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(tidy(run), kind)
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -377,7 +377,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
             for piece in pieces(batch, "text", 2 << 20):
                 yield piece.filter(pa.array(scores(known, piece.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_toxicity(spark, sf_dir):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import duckdb
@@ -435,6 +436,35 @@ def test_bpe_steps(monkeypatch):
             known.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_bpe_remembers_little():
+    """However many distinct words a task meets, those it remembers take some tens of MB."""
+    words, rng = bpe.Vocabulary(open(bpe.standard_path(), encoding="utf-8").read()), random.Random(11)
+    most = 0
+    for _ in range(9):
+        words.encode([" ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(50_000))])
+        most = max(most, sys.getsizeof(words.known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in words.known.items()))
+    assert most < 40e6
+
+
+def test_tidy():
+    """Memory that a task's arrays had goes back at its end, also where something small was made after them."""
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+    def run(batches):
+        freed = [np.ones(1 << 21) for _ in range(8)]
+        del freed  # from now on the C library takes arrays of this size from its heap
+        many = [np.ones(3000) for _ in range(8000)]
+        last = many.pop()
+        del many
+        yield from batches
+        yield last
+
+    before = held()
+    rows = list(common.tidy(run)([1, 2]))
+    assert rows[:2] == [1, 2] and held() - before < 60
+
+
 @pytest.mark.parametrize("run", [
     substrings.repeats, jaccard.similar, jaccard.representatives, exact_dedup.exact_copies, exact_dedup.unique, mixing.mix, mixing.mixed,
     langid.identify, bpe.round_trip], ids=lambda f: f.__name__)
