@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import array
-import collections
 import hashlib
 import itertools
 import json
@@ -14,14 +13,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as st
 
-from tabframe.llm.common import pieces, table, tidy
+from tabframe.llm.common import pieces, table, tidy, written
 
 #: Fixed value of byte-level vocabularies: what counts as one word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a task remembers before it starts anew: some tens of MB, whatever the texts.
 REMEMBERED = 100_000
-#: Characters of a long text that are handled at once.
-STRETCH = 1 << 20
+#: Characters of long or of many short texts that are handled at once: their words, as Python strings, take some MB.
+STRETCH = 1 << 18
+#: Bytes of texts whose ids and digests a task makes at once.
+PIECE = 1 << 20
+#: Rows that come to a task at once: it holds two such batches, and the JVM one, beside what it has learnt.
+BATCH_ROWS = 512
+#: Arrays that are joined at once.
+JOINED = 1 << 15
 NEVER = 1 << 60
 
 
@@ -54,10 +59,16 @@ class Ragged:
     def take(self, index):
         """The arrays at ``index``, joined, and their lengths."""
         lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = np.repeat(self.starts[index] - (ends - lengths), lengths)
-        return self.flat[shift + np.arange(total)], lengths
+        out, at = np.empty(int(lengths.sum()), self.flat.dtype), 0
+        # places take many times the bytes that they lead to, so there are never more than those of JOINED arrays
+        for first in range(0, len(index), JOINED):
+            some = lengths[first : first + JOINED]
+            ends = np.cumsum(some)
+            places = np.repeat(self.starts[index[first : first + JOINED]] - (ends - some), some)
+            places += np.arange(len(places))
+            out[at : at + len(places)] = self.flat[places]
+            at += len(places)
+        return out, lengths
 
 
 class Vocabulary:
@@ -118,17 +129,24 @@ class Vocabulary:
         return True
 
     def _forget(self):
-        """No steps, and for each token no tokens known to stay apart from it or not."""
-        self.steps, self.fits, self.tried = {}, collections.defaultdict(dict), 0
+        """No steps, and for no token any tokens known to stay apart from it or not."""
+        self.steps, self.ends, self.tried = {}, {}, 0
+
+    def end(self, word: bytes):
+        """The token ``word``, its length and the tokens before it of which it is known whether they stay apart from it;
+        one object for all steps that lead to it."""
+        if word not in self.ends:
+            self.ends[word] = self.ids[word], len(word), {}
+        return self.ends[word]
 
     def reach(self, read: bytes):
-        """Of the bytes read, the longest end that a token starts with, and the tokens that they end with, longest first:
-        each with its length and the tokens before it of which it is known whether they stay apart from it."""
+        """Of the bytes read, the longest end that a token starts with, and the tokens that they end with, longest first,
+        each as in ``end``."""
         state = read
         while state not in self.starts:
             state = state[1:]
         ends = (state[i:] for i in range(len(state)))
-        found = self.steps[read] = state, [(self.ids[e], len(e), self.fits[self.ids[e]]) for e in ends if e in self.ids]
+        found = self.steps[read] = state, tuple(self.end(e) for e in ends if e in self.ids)
         return found
 
     def walk(self, words: list[bytes]):
@@ -220,7 +238,7 @@ def offsets(lengths) -> np.ndarray:
 def _encoded(vocabulary: Vocabulary, batches, column: str, names: list[str]):
     """Batches with the ids of ``column`` as a last column."""
     for batch in batches:
-        for piece in pieces(batch, column, 2 << 20):
+        for piece in pieces(batch, column, PIECE):
             texts = ["" if t is None else t for t in piece.column(column).to_pylist()]
             ids, counts = vocabulary.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), pa.array(ids, pa.int32()))
@@ -286,15 +304,17 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, from its ids and from the text decoded from these.
 
-    ``docs`` needs doc_id and text, which may be null; other columns, whatever their names, are not looked at."""
+    ``docs`` needs doc_id and text, which may be null; other columns, whatever their names, are not looked at. The digests,
+    small beside the texts, are written and read again, as texts then come in batches of BATCH_ROWS."""
     shared = _shared(docs.sparkSession, path)
 
     def run(batches):
         vocabulary = Vocabulary(shared.value)
         return _digests(vocabulary, _decoded(vocabulary, _encoded(vocabulary, batches, "text", ["doc_id"])))
 
-    return docs.select("doc_id", "text").mapInArrow(
-        tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return written(docs.select("doc_id", "text").mapInArrow(
+        tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"),
+        "tokens", BATCH_ROWS)
 
 
 def op10_bpe(spark, sf_dir):

@@ -30,17 +30,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors. The shuffles that made it
-    are given up at once, not when the driver happens to collect its garbage."""
+    are given up at once, not when the driver happens to collect its garbage. ``batch_rows``: rows that go to a Python
+    worker at a time at most, where the session's number would be many MB of long texts."""
     path, conf = fresh_folder(df.sparkSession, name), df.sparkSession.conf
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(clean)
-    conf.set(clean, "true")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows and not 0 < int(conf.get(rows)) <= batch_rows:
+        wanted[rows] = str(batch_rows)
+    before = {key: conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            conf.set(key, value)
         df.write.parquet(path)
     finally:
-        conf.set(clean, before)
+        for key, value in before.items():
+            conf.set(key, value)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 
 import duckdb
@@ -446,6 +447,34 @@ def test_bpe_remembers_little():
     assert most < 40e6
 
 
+def test_bpe_joins_little_at_once():
+    """The places of joined arrays, many times their bytes, are never there for all tokens of a text; results are the same."""
+    rng = np.random.default_rng(4)
+    parts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in rng.integers(0, 9, 200)]
+    ragged, index = bpe.Ragged(parts, np.uint8), rng.integers(0, len(parts), 500_000)
+    tracemalloc.start()
+    try:
+        data, lengths = ragged.take(index)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert data.tobytes() == b"".join(parts[i] for i in index) and lengths.tolist() == [len(parts[i]) for i in index]
+    assert most < 20e6
+    assert ragged.take(index[:0])[0].dtype == np.uint8 and not len(ragged.take(index[:0])[0])
+
+
+def test_bpe_batches(spark, monkeypatch):
+    """Texts come to a task in batches of few rows, whatever the session's number, which stays as it was."""
+    monkeypatch.setattr(bpe, "BATCH_ROWS", 7)
+    monkeypatch.setattr(bpe, "_encoded", lambda vocabulary, batches, column, names: (pa.RecordBatch.from_pydict({
+        "doc_id": b.column("doc_id"), "ids": pa.array([[b.num_rows]] * b.num_rows, pa.list_(pa.int32()))}) for b in batches))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(40).selectExpr("id doc_id", "'a' text").coalesce(1)
+    seen = {r.ids_sha256 for r in bpe.round_trip(docs).collect()}
+    assert seen == {hashlib.sha256(n).hexdigest() for n in (b"7", b"5")} and spark.conf.get(key) == before
+
+
 def test_tidy():
     """Memory that a task's arrays had goes back at its end, also where something small was made after them."""
     def held():
