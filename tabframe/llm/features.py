@@ -103,14 +103,19 @@ class Logistic:
         return (x @ self.beta[:-1] + self.beta[-1]) / np.sqrt(x.shape[1] + 1)
 
 
-def powers(count: int) -> np.ndarray:
+def powers(count: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Powers of an odd number modulo 2 ** 64."""
-    out = np.full(count, 0x9E3779B97F4A7C15, np.uint64)
+    out = np.full(count, base, np.uint64)
     if count:
         out[0] = 1
     return np.multiply.accumulate(out)
 
 
+#: Bytes hashed together; powers up to there, and of the inverse.
+PART = 1 << 15
+POWERS = powers(PART), powers(PART, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
 def word_bounds(data: np.ndarray, inside: np.ndarray):
     """Starts and ends of the runs of bytes for which ``inside`` (by byte value) is true."""
     flags = np.zeros(len(data) + 2, np.int8)
@@ -123,12 +128,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each of the disjoint, ordered stretches of ``data``: a polynomial in its bytes, mixed."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.repeat(starts, lengths) + within
-    values = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
-    out = np.add.reduceat(values, np.cumsum(lengths) - lengths)
-    return mixed(out + lengths.astype(np.uint64))
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        # sums from the start of a part on, brought back to the start of each stretch; a longer stretch is a part by itself
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + PART, "right")))
+        part = data[first : ends[to - 1]]
+        up, down = POWERS if len(part) <= PART else (powers(len(part)), POWERS[1][:1])
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.add(part, 1, out=sums[1:], dtype=np.uint64)
+        sums[1:] *= up[: len(part)]
+        np.cumsum(sums, out=sums)
+        begin = starts[at:to] - first
+        out[at:to] = (sums[ends[at:to] - first] - sums[begin]) * down[begin]
+        at = to
+    return mixed(out + (ends - starts).astype(np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

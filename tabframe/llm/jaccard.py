@@ -48,22 +48,26 @@ def shingles(texts: Texts):
         word_hashes(data, begin[i : i + (1 << 18)], end[i : i + (1 << 18)]) for i in range(0, len(begin), 1 << 18))])
     first = np.searchsorted(begin, texts.starts)
     count = np.diff(first)
-    full = np.maximum(count - SHINGLE + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), full)
-    at = np.arange(full.sum()) + np.repeat(first[:-1] - (np.cumsum(full) - full), full)
-    token = np.zeros(len(at), np.uint64)
-    for i in range(SHINGLE):
-        token = (token + words[at + i]) * BASE
-    short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    if len(short):
-        few = np.array([_sequence(words[first[i] : first[i + 1]]) for i in short], np.uint64)
-        doc, token = np.concatenate([doc, short]), np.concatenate([token, few])
-    token = mixed(token)
-    order = np.lexsort((token, doc))
-    doc, token = doc[order], token[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
-    return token[new], np.bincount(doc[new], minlength=len(texts))
+    # of every SHINGLE words in a row, also where they cross texts; these are left out
+    rolled = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE if len(rolled) else 0):
+        rolled += words[i : i + len(rolled)]
+        rolled *= BASE
+    rolled = mixed(rolled)
+    full = np.where(count < SHINGLE, count > 0, count - SHINGLE + 1)
+    ends = np.cumsum(full)
+    token = np.empty(int(full.sum()), np.uint64)
+    for at, n, size, end in zip(first.tolist(), count.tolist(), full.tolist(), ends.tolist()):
+        if n >= SHINGLE:
+            # texts are sorted one by one: values alone, without their places
+            token[end - size : end] = np.sort(rolled[at : at + size])
+        elif n:
+            token[end - 1] = mixed(np.array([_sequence(words[at : at + n])], np.uint64))[0]
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    new[(ends - full)[full > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return token[new], kept[ends] - kept[ends - full]
 
 
 def _sequence(words) -> int:
@@ -99,6 +103,21 @@ def least_other(size):
     return lengths(required(size), 0)[1]
 
 
+def _repeated(token, times: int) -> np.ndarray:
+    """Whether each shingle is there at least so many times: values are sorted alone, and only the shingles that agree in
+    some of their bits with one that is are looked up."""
+    inside = np.sort(token)
+    often = np.unique(inside[times - 1 :][inside[times - 1 :] == inside[: len(inside) - times + 1]])
+    out = np.zeros(len(token), bool)
+    if len(often):
+        slots = np.zeros(1 << 22, bool)
+        slots[often & np.uint64(len(slots) - 1)] = True
+        maybe = np.flatnonzero(slots[token & np.uint64(len(slots) - 1)])
+        place = np.minimum(np.searchsorted(often, token[maybe]), len(often) - 1)
+        out[maybe] = often[place] == token[maybe]
+    return out
+
+
 def adapted(token, count):
     """The prefix of each set: its length and need. ``token`` are the sets' shingles in order, ``count`` of each.
 
@@ -107,8 +126,7 @@ def adapted(token, count):
     what is needed, so that they cost nothing; where there is none, the set is likely a near copy, and the
     second step does.
     """
-    names, where, often = np.unique(token, return_inverse=True, return_counts=True)
-    frequent = np.concatenate([[0], np.cumsum(often[where] >= FREQUENT)])
+    frequent = np.concatenate([[0], np.cumsum(_repeated(token, FREQUENT))])
     start = np.cumsum(count) - count
     length, need = lengths(count, 0)
     seen = frequent[start + length] - frequent[start]
@@ -175,10 +193,12 @@ def _index(buckets: int):
         token = mixed(token ^ BASE)
         slot = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         token = (slot << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
-        order = np.lexsort((sets, token))
+        order = np.argsort(token, kind="stable")  # sets are in order already
         token, sets, size, need = token[order], sets[order], size[order], need[order]
-        _, where, often = np.unique(token, return_inverse=True, return_counts=True)
-        hot = often[where] >= HOT
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        often = np.diff(np.append(np.flatnonzero(new), len(token)))
+        hot = np.repeat(often, often) >= HOT
         out = []
         if hot.any():
             replies = _replies(token[hot], sets[hot], size[hot], need[hot], np.zeros(int(hot.sum()), bool))
@@ -187,10 +207,10 @@ def _index(buckets: int):
             replies["other"] = least_other(replies["size"].astype(np.int64))
             out += _dealt(replies, replies["set"] % buckets, REPLIES)
         # of a hot shingle the owner gets the two sets with the least needs, as the others see them
-        rank = np.lexsort((need, where))
-        place = np.empty(len(where), np.int64)
-        place[rank] = np.arange(len(where)) - np.searchsorted(where[rank], where[rank])
-        sent = ~hot | (place < 2)
+        crowded = np.flatnonzero(hot)
+        rank = crowded[np.lexsort((need[crowded], token[crowded]))]
+        sent = ~hot
+        sent[rank[np.arange(len(rank)) - np.searchsorted(token[rank], token[rank]) < 2]] = True
         rows = np.zeros(int(sent.sum()), ENTRY)
         token = token[sent]
         rows["low"], rows["set"], rows["size"], rows["need"], rows["hot"] = token & np.uint64(0xFFFFFFFF), sets[sent], size[sent], need[sent], hot[sent]

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabframe.llm import bpe, common, embeddings, exact_dedup, jaccard, langid, mixing, quality, queries, substrings, toxicity, warc
+from tabframe.llm import bpe, common, embeddings, exact_dedup, features, jaccard, langid, mixing, quality, queries, substrings, toxicity, warc
 from tabframe.llm.common import Texts, components, fresh_folder, table
 from tests.llm import helpers
 
@@ -157,6 +157,41 @@ def test_links_of_tiles():
         assert {j: i for i, j in links} == {i: v for i, v in name.items() if i != v}
 
 
+def test_shingles_in_little_room():
+    """Shingles are made without places and powers for every byte: some 11 bytes for each byte of text, not 30."""
+    rng = random.Random(3)
+    words = lambda: " ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(300))
+    texts = Texts(pa.array([words() for _ in range(500)]))
+    jaccard.shingles(texts)
+    tracemalloc.start()
+    try:
+        jaccard.shingles(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 16 * len(texts.data)
+
+
+@pytest.mark.parametrize("part", [4, 1 << 15])
+def test_word_hashes(monkeypatch, part):
+    """Hashes are the same wherever parts end, also of stretches longer than a part."""
+    base = 0x9E3779B97F4A7C15
+    monkeypatch.setattr(features, "PART", part)
+    data = np.frombuffer("a bb  ccc dddd é eeeeeeeeeee \x00 ff".encode() + b" " + b"g" * 40_000 + b" a", np.uint8)
+    starts, ends = features.word_bounds(data, ~features.IS_SPACE)
+    plain = [(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(data[s:e].tolist())) + int(e - s)) % (1 << 64) for s, e in zip(starts, ends)]
+    assert features.word_hashes(data, starts, ends).tolist() == features.mixed(np.array(plain, np.uint64)).tolist()
+    assert not len(features.word_hashes(data, starts[:0], ends[:0]))
+
+
+def test_repeated_shingles():
+    rng = np.random.default_rng(6)
+    for token in (rng.integers(0, 300, 400).astype(np.uint64) << np.uint64(22), np.zeros(0, np.uint64), np.zeros(1, np.uint64)):
+        names, where, often = np.unique(token, return_inverse=True, return_counts=True)
+        for times in (2, 3):
+            assert jaccard._repeated(token, times).tolist() == (often[where] >= times).tolist()
+
+
 def test_similar_with_a_shingle_hot_elsewhere(spark):
     """A link whose only shingle in both prefixes is hot where the one set is, and needs less where the other is."""
     rng = random.Random(5)
