@@ -6,6 +6,7 @@ import array
 import hashlib
 import itertools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,10 @@ from tabframe.llm.common import pieces, table, tidy, written
 
 #: Fixed value of byte-level vocabularies: what counts as one word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a task remembers before it starts anew: some tens of MB, whatever the texts.
+#: The same for text of ASCII alone, in classes that need no tables of Unicode.
+PLAIN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x20\x09-\x0DA-Za-z0-9]+"
+         r"|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+#: Distinct words whose ids a task remembers, about: some tens of MB, whatever the texts. Half of them in turn make room.
 REMEMBERED = 100_000
 #: Characters of long or of many short texts that are handled at once: their words, as Python strings, take some MB.
 STRETCH = 1 << 18
@@ -98,11 +102,12 @@ class Vocabulary:
         self.starts = {word[:n] for word in self.ids for n in range(len(word) + 1)}
         self.edges = {}
         self._forget()
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.plain = regex.compile(PATTERN), re.compile(PLAIN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.safe = regex.compile(r"(?<=\S) (?=\p{L})")
         self.named = {word: _packed([i]) for word, i in self.special.items()}
-        self.known = dict(self.named)
+        #: ids of words: those met since the last turn, and those of the turn before, which come back when met again
+        self.known, self.older = dict(self.named), {}
 
     def edge(self, token, right: bool):
         """The tokens at the right (or left) end of ``token`` while it is put together, each with the rank of the merge
@@ -185,13 +190,17 @@ class Vocabulary:
 
     def learn(self, words: set):
         """Encode the words not yet known."""
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.named)
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = dict(self.named), self.known
         if self.tried + len(self.steps) > 4 * REMEMBERED:
             self._forget()
-        fresh = sorted(w.encode() for w in words.difference(self.known))
+        known, older = self.known, self.older
+        fresh = words.difference(known)
+        met = fresh.intersection(older)
+        known.update((word, older.pop(word)) for word in met)
+        fresh = sorted(w.encode() for w in fresh.difference(met))
         for word, found in zip(fresh, self.walk(fresh)):
-            self.known[word.decode()] = _packed(found)
+            known[word.decode()] = _packed(found)
 
     def stretches(self, text: str):
         """Parts of a text that split into words independently, few of them much longer than STRETCH."""
@@ -222,7 +231,7 @@ class Vocabulary:
         return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.asarray(counts, np.int64)
 
     def _encode(self, group, ids, counts):
-        split = [[part] if part in self.special else self.pattern.findall(part) for _, part in group]
+        split = [[part] if part in self.special else (self.plain if part.isascii() else self.pattern).findall(part) for _, part in group]
         # a special token can't be a word of the pattern: it has both letters and signs
         self.learn(set().union(*split))
         for (n, _), found in zip(group, split):

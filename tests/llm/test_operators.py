@@ -482,6 +482,31 @@ def test_bpe_remembers_little():
     assert most < 40e6
 
 
+def test_bpe_keeps_words_that_come_back(monkeypatch):
+    """Words that come again and again are encoded once, however many others a task meets, and what is remembered is bounded."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    words, walked = bpe.Vocabulary(open(bpe.standard_path(), encoding="utf-8").read()), []
+    walk = words.walk
+    monkeypatch.setattr(words, "walk", lambda fresh: (walked.extend(fresh), walk(fresh))[1])
+    rng = random.Random(12)
+    often = ["oftenmetword", "éaoftenmet"]
+    for _ in range(60):
+        some = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(40)]
+        ids, _ = words.encode([" ".join(["", *often, *some])])
+        assert words.bytes_of.take(ids)[0].tobytes().decode() == " ".join(["", *often, *some])
+        assert len(words.known) + len(words.older) < 200 + 2 * 50
+    assert [walked.count(f" {w}".encode()) for w in often] == [1, 1]
+
+
+def test_bpe_plain_pattern():
+    """ASCII text splits the same by the pattern in ASCII classes, whatever signs it has."""
+    words, rng = bpe.Vocabulary(open(bpe.standard_path(), encoding="utf-8").read()), random.Random(13)
+    every, few = [chr(i) for i in range(128)], list(" \t\n'srtvemld1a_.\x1c\x1f\x0b\r\x00")
+    for i in range(20_000):
+        text = "".join(rng.choices(every if i % 2 else few, k=rng.randrange(24)))
+        assert words.plain.findall(text) == words.pattern.findall(text)
+
+
 def test_bpe_joins_little_at_once():
     """The places of joined arrays, many times their bytes, are never there for all tokens of a text; results are the same."""
     rng = np.random.default_rng(4)
