@@ -30,15 +30,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors. The shuffles that made it
-    are given up at once, not when the driver happens to collect its garbage. ``batch_rows``: rows that go to a Python
-    worker at a time at most, where the session's number would be many MB of long texts."""
+    are given up at once, not when the driver happens to collect its garbage. ``batch_rows``, ``batch_bytes``: rows that go
+    to a Python worker at a time at most, and bytes of them, about, where the session's number would be many MB of long
+    values; both the executor and the worker hold a batch outside the heap, twice while it grows."""
     path, conf = fresh_folder(df.sparkSession, name), df.sparkSession.conf
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     if batch_rows and not 0 < int(conf.get(rows)) <= batch_rows:
         wanted[rows] = str(batch_rows)
+    if batch_bytes and int(str(conf.get(size)).removesuffix("b")) > batch_bytes:
+        wanted[size] = str(batch_bytes)
     before = {key: conf.get(key) for key in wanted}
     try:
         for key, value in wanted.items():

@@ -298,6 +298,22 @@ def test_embeddings(spark, tile):
     assert got(embeddings.near_copies(vectors, size=tile)) == helpers.linked(data)
 
 
+def test_tiles_meet_without_an_exchange(spark):
+    """Single precision stays so in tiles, and pairs of tiles are read from the files of tiles: no vector is sent for them."""
+    rng = np.random.default_rng(5)
+    hub = rng.normal(size=12)
+    data = [(i, (hub * (i % 3) + rng.normal(size=12) * 0.3).astype(np.float32).tolist()) for i in range(90)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    tiles, _ = embeddings.tiled(vectors, 7)
+    assert all(len(r.x) == 12 * 4 * len(r.ids) // 8 for r in tiles.collect())
+    met = embeddings.tile_pairs(tiles)
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    names = [(r.a, r.b, len(r.x), len(r.x2)) for r in met.collect()]
+    assert len(set(names)) == len(names) and {(r.name, r.name, len(r.x), len(r.x)) for r in tiles.collect()} <= set(names)
+    assert all(a <= b for a, b, _, _ in names)
+    assert got(embeddings.near_copies(vectors, size=7)) == helpers.linked(data)
+
+
 def test_embeddings_with_odd_ids(spark):
     data = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])]
     out = got(embeddings.near_copies(spark.createDataFrame(data, "vec_id long, embedding array<float>")))
