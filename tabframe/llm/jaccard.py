@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as sf
 
-from tabframe.llm.common import Texts, components, pieces, table, tidy, written
+from tabframe.llm import common
+from tabframe.llm.common import Texts, components, pieces, table, tidy
 from tabframe.llm.embeddings import forest
 from tabframe.llm.features import IS_SPACE, LOWER, mixed, word_bounds, word_hashes
 
@@ -17,8 +20,10 @@ SHINGLE, PERCENT = 5, 75
 STEPS = (0.05, 0.1, 0.2, 0.4, 0.75)
 #: Sets in which a task has a shingle, from which on the shingle counts as frequent there; and from which on it is hot.
 FREQUENT, HOT = 2, 64
-#: Entries that a task merges at once.
+#: Entries that a task merges at once; pairs are looked at an eighth as many at a time.
 MERGED = 1 << 21
+#: Bytes that go to a Python worker at a time, and bytes of packed rows that it hands back, about.
+BATCH_BYTES, PACKED = 8 << 20, 2 << 20
 #: Bytes of text whose entries go to a bucket, about, and buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 32
 #: Sets that picked a shingle, from which on they are a crowd; sets in a tile of one; shingles that are counted together.
@@ -34,6 +39,7 @@ ENTRIES, REPLIES = 0, 1
 ROWS = "bucket long, kind int, rows binary"
 PAIRS = "a long, b long, pairs binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+written = partial(common.written, batch_bytes=BATCH_BYTES)
 
 
 def shingles(texts: Texts):
@@ -108,13 +114,16 @@ def _repeated(token, times: int) -> np.ndarray:
     some of their bits with one that is are looked up."""
     inside = np.sort(token)
     often = np.unique(inside[times - 1 :][inside[times - 1 :] == inside[: len(inside) - times + 1]])
+    del inside
     out = np.zeros(len(token), bool)
     if len(often):
         slots = np.zeros(1 << 22, bool)
         slots[often & np.uint64(len(slots) - 1)] = True
-        maybe = np.flatnonzero(slots[token & np.uint64(len(slots) - 1)])
-        place = np.minimum(np.searchsorted(often, token[maybe]), len(often) - 1)
-        out[maybe] = often[place] == token[maybe]
+        for at in range(0, len(token), 1 << 18):
+            part = token[at : at + (1 << 18)]
+            maybe = np.flatnonzero(slots[part & np.uint64(len(slots) - 1)])
+            place = np.minimum(np.searchsorted(often, part[maybe]), len(often) - 1)
+            out[at + maybe] = often[place] == part[maybe]
     return out
 
 
@@ -126,7 +135,8 @@ def adapted(token, count):
     what is needed, so that they cost nothing; where there is none, the set is likely a near copy, and the
     second step does.
     """
-    frequent = np.concatenate([[0], np.cumsum(_repeated(token, FREQUENT))])
+    frequent = np.zeros(len(token) + 1, np.int32 if len(token) < OFTEN else np.int64)
+    np.cumsum(_repeated(token, FREQUENT), out=frequent[1:])
     start = np.cumsum(count) - count
     length, need = lengths(count, 0)
     seen = frequent[start + length] - frequent[start]
@@ -152,6 +162,26 @@ def _dealt(rows, buckets, kind):
     return [{"bucket": int(b), "kind": kind, "rows": part.tobytes()} for b, part in zip(named, np.split(rows[order], at[1:]))] if len(rows) else []
 
 
+def _sent(rows, buckets, kind):
+    """Batches of a row for each bucket, with what goes there: some buckets at a time, so that rows aren't held thrice."""
+    if (buckets[1:] < buckets[:-1]).any():
+        order = np.argsort(buckets, kind="stable")
+        rows, buckets = rows[order], buckets[order]
+    new = np.ones(len(buckets), bool)
+    new[1:] = buckets[1:] != buckets[:-1]
+    at = np.flatnonzero(new)
+    named, ends, first = buckets[at], np.append(at[1:], len(rows)), 0
+    while first < len(named):
+        to = max(first + 1, int(np.searchsorted(ends, at[first] + PACKED // rows.itemsize, "right")))
+        yield _pack([{"bucket": int(named[i]), "kind": kind, "rows": rows[at[i] : ends[i]].tobytes()} for i in range(first, to)])
+        first = to
+
+
+def _taken(values, start, length):
+    """Stretches of ``values``, joined; no place is made for each value."""
+    return np.concatenate([values[:0], *(values[a:b] for a, b in zip(start.tolist(), (start + length).tolist()))])
+
+
 def _replies(token, sets, size, need, hot):
     """What sets share with others, from entries in order of shingle and set, each pair once. ``hot``: entries that stand
     for many; their own sets have their replies already."""
@@ -178,17 +208,16 @@ def _replies(token, sets, size, need, hot):
 def _index(buckets: int):
     def flush(held):
         token, count, sets = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         # copies among these texts are one set
         _, once = np.unique(sets, return_index=True)
         once = once[count[once] > 0]
         start = (np.cumsum(count) - count)[once]
         own, sets = count[once], sets[once]
-        at = np.arange(own.sum()) + np.repeat(start - (np.cumsum(own) - own), own)
-        token = token[at]
+        token = _taken(token, start, own)
         length, need = adapted(token, own)
-        start = np.cumsum(own) - own
-        at = np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
-        token, sets, size, need = token[at], np.repeat(sets, length), np.repeat(own, length), np.repeat(need, length)
+        token = _taken(token, np.cumsum(own) - own, length)
+        sets, size, need = np.repeat(sets, length), *(np.repeat(x.astype(np.int32), length) for x in (own, need))
         # a shingle goes by its owner and part of its hash, mixed again because prefixes have the least hashes
         token = mixed(token ^ BASE)
         slot = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -199,13 +228,13 @@ def _index(buckets: int):
         new[1:] = token[1:] != token[:-1]
         often = np.diff(np.append(np.flatnonzero(new), len(token)))
         hot = np.repeat(often, often) >= HOT
-        out = []
         if hot.any():
             replies = _replies(token[hot], sets[hot], size[hot], need[hot], np.zeros(int(hot.sum()), bool))
             replies["count"] = OFTEN
             # a set of another batch may have a smaller need than all here, and only the owner would hear of it
             replies["other"] = least_other(replies["size"].astype(np.int64))
-            out += _dealt(replies, replies["set"] % buckets, REPLIES)
+            yield from _sent(replies, replies["set"] % buckets, REPLIES)
+            del replies
         # of a hot shingle the owner gets the two sets with the least needs, as the others see them
         crowded = np.flatnonzero(hot)
         rank = crowded[np.lexsort((need[crowded], token[crowded]))]
@@ -214,7 +243,8 @@ def _index(buckets: int):
         rows = np.zeros(int(sent.sum()), ENTRY)
         token = token[sent]
         rows["low"], rows["set"], rows["size"], rows["need"], rows["hot"] = token & np.uint64(0xFFFFFFFF), sets[sent], size[sent], need[sent], hot[sent]
-        return _pack(out + _dealt(rows, (token >> np.uint64(32)).astype(np.int64), ENTRIES))
+        del sets, size, need, hot, sent, order, new
+        yield from _sent(rows, (token >> np.uint64(32)).astype(np.int64), ENTRIES)
 
     def run(batches):
         held, size = [], 0
@@ -224,10 +254,10 @@ def _index(buckets: int):
                 held.append((token, count, set_ids(token, count)))
                 size += len(token)
                 if size >= MERGED:
-                    yield flush(held)
+                    yield from flush(held)
                     held, size = [], 0
         if size:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
@@ -420,7 +450,7 @@ def _reached(sets, rows: int):
     count = np.searchsorted(sets.order, base + 100 * sets.size[strong] // PERCENT, "right") - low
     ends, at = np.cumsum(count), 0
     while at < len(strong):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + MERGED, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + (MERGED >> 3), "right")))
         i = np.repeat(strong[at:to], count[at:to])
         j = np.arange(len(i)) + np.repeat(low[at:to] - (ends[at:to] - count[at:to] - (ends[at] - count[at])), count[at:to])
         fits = (sets.group[i] != sets.group[j]) & (sets.need[i] <= sets.left[j]) & (sets.need[i] <= sets.need[j])
@@ -430,30 +460,43 @@ def _reached(sets, rows: int):
 
 def _met(batches):
     """Packs of sets that share a shingle, two in a row or one with itself: the pairs that could link, by the tiles of their
-    sets. A pair that meets at several shingles of a batch is sent once."""
+    sets. A pair that meets at several shingles of a batch is sent once, unless there are too many pairs to be held."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sets = _Pack(pa.concat_arrays([batch.column("rows"), batch.column("other")]))
         names, first, code = np.unique(sets.set, return_index=True, return_inverse=True)
-        found = [np.zeros(0, np.int64)]
+        found, held = [], 0
         for i, j in _reached(sets, batch.num_rows):
             found.append(np.unique(np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j])))
-        met = np.unique(np.concatenate(found))
-        rows = [np.zeros((0, 4), np.int64)]
-        for part in range(0, len(met), MERGED >> 4):
-            some = met[part : part + (MERGED >> 4)]
-            i, j = first[some // len(names)], first[some % len(names)]
-            apart = ~(sets.crowds[i][:, :, None] == sets.crowds[j][:, None, :]).any((1, 2))
-            rows.append(np.stack([c[k[apart]] for c in (sets.tile, sets.set) for k in (i, j)], axis=1))
-        rows = np.concatenate(rows)
-        turned = (rows[:, 0] > rows[:, 1]) | (rows[:, 0] == rows[:, 1]) & (rows[:, 2] > rows[:, 3])
-        rows[turned] = rows[turned][:, [1, 0, 3, 2]]
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-        parts = np.split(np.ascontiguousarray(rows[:, 2:]), np.flatnonzero(new)[1:]) if len(rows) else []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(rows[new, 0]), "b": pa.array(rows[new, 1]), "pairs": pa.array([r.tobytes() for r in parts], pa.binary())})
+            held += len(found[-1])
+            if held > MERGED >> 3:
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+                if held > MERGED >> 4:
+                    yield _by_tiles(sets, first, found[0])
+                    found, held = [], 0
+        if held:
+            yield _by_tiles(sets, first, np.unique(np.concatenate(found)))
+
+
+def _by_tiles(sets, first, met):
+    """The pairs ``met`` (by the numbers of their sets, whose places are ``first``) that were in no crowd together, packed by
+    their two tiles."""
+    rows = [np.zeros((0, 4), np.int64)]
+    for part in range(0, len(met), MERGED >> 4):
+        some = met[part : part + (MERGED >> 4)]
+        i, j = first[some // len(first)], first[some % len(first)]
+        apart = ~(sets.crowds[i][:, :, None] == sets.crowds[j][:, None, :]).any((1, 2))
+        rows.append(np.stack([c[k[apart]] for c in (sets.tile, sets.set) for k in (i, j)], axis=1))
+    rows = np.concatenate(rows)
+    turned = (rows[:, 0] > rows[:, 1]) | (rows[:, 0] == rows[:, 1]) & (rows[:, 2] > rows[:, 3])
+    rows[turned] = rows[turned][:, [1, 0, 3, 2]]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    parts = np.split(np.ascontiguousarray(rows[:, 2:]), np.flatnonzero(new)[1:]) if len(rows) else []
+    return pa.RecordBatch.from_pydict({"a": pa.array(rows[new, 0]), "b": pa.array(rows[new, 1]), "pairs": pa.array([r.tobytes() for r in parts], pa.binary())})
 
 
 class _Pack:
@@ -478,11 +521,22 @@ class _Pack:
 
 def _once(part: pa.Table) -> pa.Table:
     """All pairs between two tiles, each once: sets meet at several shingles, in several batches."""
-    pairs = np.concatenate([np.frombuffer(p.as_py(), np.int64).reshape(-1, 2) for p in part.column("pairs")])
+    held, size = [], 0
+    for p in part.column("pairs"):
+        held.append(np.frombuffer(p.as_py(), np.int64).reshape(-1, 2))
+        size += len(held[-1])
+        if size > MERGED >> 3:
+            held = [_distinct(held)]
+            size = 0  # of what is added to it
+    return part.slice(0, 1).set_column(2, "pairs", pa.array([_distinct(held).tobytes()], pa.binary()))
+
+
+def _distinct(held):
+    pairs = np.concatenate(held)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-    return part.slice(0, 1).set_column(2, "pairs", pa.array([pairs[new].tobytes()], pa.binary()))
+    return pairs[new]
 
 
 def _sets_of(batches):

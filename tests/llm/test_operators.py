@@ -172,6 +172,54 @@ def test_shingles_in_little_room():
     assert most < 16 * len(texts.data)
 
 
+def _traced(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_index_in_little_room():
+    """What a task sends to owners goes in batches of some 2 MB, and merging takes few copies of the shingles."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 2500))).encode() for _ in range(500)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 50], pa.binary())}) for i in range(0, 500, 50)]
+    sent, most = _traced(lambda: [(b.nbytes, b.column("bucket").to_pylist()) for b in jaccard._index(256)(batches)])
+    assert max(size for size, _ in sent) < 3 << 20
+    names = [n for _, buckets in sent for n in buckets]
+    assert sorted(names) == list(range(256))
+    assert most < 40 * 500 * 2496
+
+
+def test_pairs_between_packs_in_little_room():
+    """Two full packs have 262,144 pairs; those of many packs aren't held at once, and none is lost."""
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("set", "size", "need", "left", "group", "tile")] + [("crowds", pa.list_(pa.int64()))]))
+    pack = lambda at: [{"set": at + i, "size": 100, "need": 3, "left": 4, "group": at + i, "tile": at, "crowds": None} for i in range(512)]
+    batch = pa.RecordBatch.from_pydict({
+        "rows": pa.array([pack(1024 * k) for k in range(8)], kind), "other": pa.array([pack(1024 * k + 512) for k in range(8)], kind)})
+    found, most = _traced(lambda: list(jaccard._met([batch])))
+    assert most < 130 << 20
+    for k in range(8):
+        part = pa.Table.from_batches(found).filter(pa.compute.field("a") == 1024 * k)
+        assert set(part.column("b").to_pylist()) == {1024 * k + 512}
+        merged = np.frombuffer(jaccard._once(part).column("pairs")[0].as_py(), np.int64).reshape(-1, 2)
+        assert len(merged) == 1 << 18 and len(np.unique(merged[:, 0] * 8192 + merged[:, 1])) == 1 << 18
+        assert (merged[:, 0] // 512 == 2 * k).all() and (merged[:, 1] // 512 == 2 * k + 1).all()
+
+
+def test_batches_of_bounded_bytes(spark):
+    """Workers of the Jaccard join get some 8 MB of texts at a time, not 10,000 texts."""
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    texts = spark.range(6000).selectExpr("repeat('x', 4000) AS text").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    found = jaccard.written(texts.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in found) == 6000 and max(r["size"] for r in found) < 9 << 20
+    assert spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("part", [4, 1 << 15])
 def test_word_hashes(monkeypatch, part):
     """Hashes are the same wherever parts end, also of stretches longer than a part."""
